@@ -3,14 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillon.io import table
+from quillon.llm import canonical, split
 from quillon.llm.bpe import encode_column
 
+FIELDS = ["content", "full_text"]
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    texts = split.text_fields(table(spark, sf, "document_node"), "node_key", FIELDS).where(F.char_length("value") > 1200)
+    pieces = split.split_oversized(texts, ["node_key", "field"], "value", with_text=False)
+    return pieces.where("piece_no = 0").select("node_key", "field", F.when(F.col("text_forced"), "forced").otherwise("free").alias("cut"))
+
+
+def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    texts = split.text_fields(table(spark, sf, "document_node"), "node_key", FIELDS)
+    return split.split_oversized(texts, ["node_key", "field"], "value").drop("text_forced")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    titles = canonical.alike_pairs(table(spark, sf, "document_metadata"), "meta_id", "ten_van_ban")
+    contents = canonical.alike_pairs(table(spark, sf, "document_node"), "node_key", "content")
+    name = lambda t: F.lit(t).alias("tbl")
+    return titles.select(name("document_metadata"), "key_a", "key_b").unionByName(contents.select(name("document_node"), "key_a", "key_b"))
+
+
+def p5_titles(spark: SparkSession, sf: str) -> DataFrame:
+    return canonical.canonical_column(table(spark, sf, "document_metadata"), "meta_id", "ten_van_ban")
+
 
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_column(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p6_ids": p6_ids}
-ORACLE: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p5_found": p5_found, "p5_titles": p5_titles, "p6_ids": p6_ids}
+
+_P5 = "SELECT '{t}' AS tbl, a.k AS key_a, b.k AS key_b FROM (SELECT {k} AS k, {c} AS s, {f} AS f FROM {t}) a JOIN (SELECT {k} AS k, {c} AS s, {f} AS f FROM {t}) b ON a.f = b.f AND a.k < b.k AND a.s <> b.s WHERE a.f <> ''"
+ORACLE = {
+    "p1_found": r"""
+SELECT node_key, field, CASE WHEN list_max(list_transform(regexp_split_to_array(v, '[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]'), lambda x: length(x))) > 1200 THEN 'forced' ELSE 'free' END AS cut
+FROM (SELECT node_key, 'content' AS field, content AS v FROM document_node UNION ALL SELECT node_key, 'full_text', full_text FROM document_node) WHERE length(v) > 1200""",
+    "p5_found": " UNION ALL ".join(_P5.format(t=t, k=k, c=c, f=canonical.canonical_sql(c)) for t, k, c in (("document_metadata", "meta_id", "ten_van_ban"), ("document_node", "node_key", "content"))),
+    "p5_titles": f"SELECT meta_id, {canonical.canonical_sql('ten_van_ban')} AS canonical FROM document_metadata",
+}
