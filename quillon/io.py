@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.session import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """``<sf_dir>/<name>.parquet``, a file or a folder of files."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +43,21 @@ def _base(spark: SparkSession) -> str:
     return own
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the workers, wherever they run; once for each application."""
+    context = spark.sparkContext
+    if getattr(context, "_quillon_shipped", False):
+        return
+    context._quillon_shipped = True
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="quillon-")) / "quillon_package.zip"
+    with zipfile.ZipFile(target, "w") as package:
+        for source in sorted(root.rglob("*.py")):
+            package.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(target))
+    atexit.register(shutil.rmtree, str(target.parent), True)
+
+
 class Scratch:
     """A folder of written tables that cut lineage and survive the loss of executors.
 
@@ -48,6 +66,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark = spark
         self.path = f"{_base(spark).rstrip('/')}/quillon/{label}-{uuid.uuid4().hex[:12]}"
         atexit.register(self._clear)
