@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.io import table
-from quillon.llm import canonical, split
+from quillon.llm import canonical, knn, split
 from quillon.llm.bpe import encode_column
+from quillon.llm.mixing import Mixture
 
 FIELDS = ["content", "full_text"]
 
@@ -23,6 +24,17 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split.split_oversized(texts, ["node_key", "field"], "value").drop("text_forced")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = knn.similar_pairs(table(spark, sf, "embedding_result"), "vec_id", "vector", k=5, least=0.9)
+    return pairs.select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
+
+
+def p2_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The five most similar rows, however similar, of each row whose id is divisible by 20."""
+    found = knn.nearest(table(spark, sf, "embedding_result"), "vec_id", "vector", k=5, margin=None, max_probes=24, every_query=20)
+    return found.select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour"), "similarity", "rank")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     titles = canonical.alike_pairs(table(spark, sf, "document_metadata"), "meta_id", "ten_van_ban")
     contents = canonical.alike_pairs(table(spark, sf, "document_node"), "node_key", "content")
@@ -38,7 +50,15 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_column(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p5_found": p5_found, "p5_titles": p5_titles, "p6_ids": p6_ids}
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return Mixture(table(spark, sf, "documents"), table(spark, sf, "mix_target")).rows()
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return Mixture(table(spark, sf, "documents"), table(spark, sf, "mix_target")).shares()
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_search": p2_search, "p7_mix": p7_mix, "p7_shares": p7_shares, "p5_found": p5_found, "p5_titles": p5_titles, "p6_ids": p6_ids}
 
 _P5 = "SELECT '{t}' AS tbl, a.k AS key_a, b.k AS key_b FROM (SELECT {k} AS k, {c} AS s, {f} AS f FROM {t}) a JOIN (SELECT {k} AS k, {c} AS s, {f} AS f FROM {t}) b ON a.f = b.f AND a.k < b.k AND a.s <> b.s WHERE a.f <> ''"
 ORACLE = {
