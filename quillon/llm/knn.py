@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 
 from quillon.session import Scratch
 
-ROWS_PER_CELL = 400
+ROWS_PER_CELL = 1600
 MAX_CELLS = 4096
 SAMPLE_PER_CELL = 32
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 8192
 QUERY_CHUNK = 2048
 EPSILON = 1.9  # width of the error bound in deviations
 _SEED = 20240229
@@ -261,7 +261,7 @@ def _search(centers, turn: np.ndarray, k: int, least: float):
     return run
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float = -1.0, dim: int = 64, margin: float | None = 0.12, max_probes: int = 16, every_query: int = 1) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float = -1.0, dim: int = 64, margin: float | None = 0.06, max_probes: int = 5, every_query: int = 1) -> DataFrame:
     """``(a, b, similarity, rank)``: for each row ``a`` whose key is divisible by ``every_query`` its ``k`` most similar rows of at least ``least``.
 
     ``margin`` suits searches with a high ``least``; with ``None`` each query goes to its
