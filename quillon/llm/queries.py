@@ -9,6 +9,7 @@ from quillon.io import table
 from quillon.llm import canonical, knn, split
 from quillon.llm.bpe import encode_column
 from quillon.llm.mixing import Mixture
+from quillon.llm.sentences import sentence_column
 
 FIELDS = ["content", "full_text"]
 
@@ -58,7 +59,11 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return Mixture(table(spark, sf, "documents"), table(spark, sf, "mix_target")).shares()
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_search": p2_search, "p7_mix": p7_mix, "p7_shares": p7_shares, "p5_found": p5_found, "p5_titles": p5_titles, "p6_ids": p6_ids}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentence_column(table(spark, sf, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p8_found": p8_found, "p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_search": p2_search, "p7_mix": p7_mix, "p7_shares": p7_shares, "p5_found": p5_found, "p5_titles": p5_titles, "p6_ids": p6_ids}
 
 _P5 = "SELECT '{t}' AS tbl, a.k AS key_a, b.k AS key_b FROM (SELECT {k} AS k, {c} AS s, {f} AS f FROM {t}) a JOIN (SELECT {k} AS k, {c} AS s, {f} AS f FROM {t}) b ON a.f = b.f AND a.k < b.k AND a.s <> b.s WHERE a.f <> ''"
 ORACLE = {
