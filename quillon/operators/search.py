@@ -11,6 +11,8 @@ from quillon.functions.vectors import METRICS
 #: Section types that hold text of their own; the default filter of a search.
 LEAF_TYPES = ("dieu", "khoan", "diem", "phu_luc_phan", "phu_luc")
 MOST_RESULTS = 100
+#: Most queries that are held against all rows in one pass.
+MOST_QUERIES = 100
 
 
 def metadata_filter(conditions: dict[str, object], columns: dict[str, Column] | None = None) -> Column | None:

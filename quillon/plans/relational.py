@@ -134,11 +134,9 @@ def delete_triple(spark: SparkSession, sf: str) -> DataFrame:
 def nearest_position(spark: SparkSession, sf: str) -> DataFrame:
     """For each purchase the click of the same user that is nearest in time, the earlier event on ties: the neighbours before and after are found by windows, not by a join of all pairs."""
     e = table(spark, sf, "events").where("event_type in ('purchase', 'click')").select("event_id", "user_id", F.col("event_type").alias("t"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    own = F.struct("at", F.when(F.col("t") == "click", F.col("event_id")).alias("id"))
-    click = F.when(F.col("t") == "click", own)
-    w = Window.partitionBy("user_id").orderBy("at", "event_id")
-    before = F.last(click, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(click, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    click = F.when(F.col("t") == "click", F.struct("at", F.col("event_id").alias("id")))
+    so_far = lambda *order: F.last(click, ignorenulls=True).over(Window.partitionBy("user_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))  # noqa: E731  a running value either way
+    before, after = so_far("at", "event_id"), so_far(F.desc("at"), F.desc("event_id"))
     both = e.select("event_id", "t", "at", before.alias("b"), after.alias("a")).where("t = 'purchase' and (a is not null or b is not null)")
     gap_b, gap_a = F.col("at") - F.col("b.at"), F.col("a.at") - F.col("at")
     return both.select("event_id", F.least(gap_b, gap_a).alias("gap"))
