@@ -37,7 +37,7 @@ ROWS_PER_CELL = 1600
 MAX_CELLS = 4096
 SAMPLE_PER_CELL = 32
 BLOCK_ROWS = 8192
-QUERY_CHUNK = 2048
+QUERY_CHUNK = 1024
 EPSILON = 1.9  # width of the error bound in deviations
 _SEED = 20240229
 

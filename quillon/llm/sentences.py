@@ -59,7 +59,12 @@ LABEL = re.compile(
 )
 ITEM = re.compile(r"\s*(?:[-*•+–—▪◦]\s|\d+(?:\.\d+)*[.)]\s|[a-zđ]\)\s|[IVXLC]+[.)]\s|\([0-9a-zđ]{1,3}\)\s)")
 HEADING = re.compile(r"\s*(?:điều|chương|phần|mục|phụ lục|article|section|chapter|part|chapitre|titre)\s+(?:thứ\s+)?[\w.]{1,8}(?:[.:]|\s*$)", re.IGNORECASE)
+#: Words whose number follows: a line that ends with one goes on.
+COUNTS = re.compile(r"(?:^|\s)(?:phụ lục|phần|chương|bảng|mục|điều|khoản|điểm|tờ|mẫu|hình|số|ngày|từ|đến|mức)$", re.IGNORECASE)
 SPEAKER = re.compile(r"\s*[^\W\d_][^:.?!\n]{0,24}:\s")
+#: Words before an index letter or number, and what follows the name of someone who speaks.
+INDEXED = frozenset("lục bảng tờ mẫu phần chương mục hình phụ schedule annex form table figure".split())
+SPEAKS = re.compile(r"\s*(?:trình bày|ghi|nói|phát biểu|khai|said|says|déclare)\b")
 INITIALS = re.compile(r"(?:[^\W\d_]\.)*[^\W\d_]")
 WORD_BEFORE = re.compile(r"[^\s()\[\]{}“”«»「」『』（）\"，、。]*$")
 INNER = re.compile(r"(\w\w)[.!?…]+[”»\"')]*\s+(?=[A-ZĐÀ-ỸƠƯĂÂÊÔ])")
@@ -140,7 +145,9 @@ def _hard_breaks(text: str) -> list[tuple[int, int]]:
     for i in range(len(lines) - 1):
         a, b = strip[i], strip[i + 1]
         wrap = sure[i]
-        if not wrap and width and a and b and " | " not in a and " | " not in b and not ITEM.match(b + " "):
+        if not wrap and width and _tail(a) * 2 >= width and COUNTS.search(a) and re.match(r"\d|[IVXLC]+\b|[A-Z]\b", b):
+            wrap = True
+        elif not wrap and width and a and b and " | " not in a and " | " not in b and not ITEM.match(b + " "):
             open_end = a[-1] not in ".!?…;:。！？" and not (a[-1] in "”»\"" and a[-2:-1] in ".!?…")
             full = width in _widths(a, b, reach)
             if b[0].isdigit() and open_end and not COUNTED.match(b):
@@ -176,7 +183,7 @@ def _period_ends(text: str, start: int, i: int, after: int, following: int, end:
         return c not in GOES_ON and bool(_first_letter(text, following + 1, end))
     if first.islower():
         return False
-    if i - start < 40 and LABEL.fullmatch(_nfc(text[max(start, text.rfind("\n", start, i) + 1) : i + 1])):
+    if i - start < 40 and LABEL.fullmatch(_nfc(text[start : i + 1])):
         return False
     initial = last.isupper() and bool(INITIALS.fullmatch(bare))
     if bare in TITLES and not initial:
@@ -188,14 +195,14 @@ def _period_ends(text: str, start: int, i: int, after: int, following: int, end:
     if bare in PLACES or initial:
         if first.isdigit():
             return _counted(text, following)
+        before = _nfc(text[max(start, i - len(word) - 14) : i - len(word)]).split()
+        if before and before[-1].lower() in INDEXED:
+            return True  # an index, not a name
         two = TWO_WORDS.match(text, following, end)
-        second = two[2] if two else None
-        if second and second[0].isupper():
-            return False  # a name
-        if initial and len(bare) > 1:
-            return False
-        before = text[max(start, i - 14) : i - 1].split()
-        if initial and before and before[-1].rstrip(".").lower() in TITLES | PERSONS:
+        if two and two[2] and two[2][0].isupper():  # a name, unless one that speaks begins a sentence
+            speaks = SPEAKS.match(_nfc(text[two.end() : two.end() + 24]))
+            return bool(speaks and before and before[-1].islower())
+        if initial and (len(bare) > 1 or before and before[-1].rstrip(".").lower() in TITLES | PERSONS):
             return False
         return True
     return True
