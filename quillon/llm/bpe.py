@@ -32,6 +32,8 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Most distinct pre-tokens that a worker remembers; beyond it the memory starts anew.
 MEMO = 400_000
+#: Code points that are cut into pieces at once.
+PORTION = 1 << 20
 #: With fewer pre-tokens in work than this, plain Python is faster than arrays.
 FEW = 24
 _NONE = np.int64(1) << 62
@@ -273,7 +275,18 @@ class Encoder:
         self.pieces.add(pieces, ids, np.diff(before[np.array(ends)]))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """``(offsets, ids)`` of the texts."""
+        """``(offsets, ids)`` of the texts, taken in portions of about ``PORTION`` code points so that a batch of any size needs little memory."""
+        offsets, values, held, at = [np.zeros(1, np.int64)], [], 0, 0
+        for end, text in enumerate(texts, 1):
+            held += len(text) if text else 0
+            if held >= PORTION or end == len(texts):
+                more, ids = self._portion(texts[at:end])
+                offsets.append(offsets[-1][-1] + more[1:])
+                values.append(ids)
+                held, at = 0, end
+        return np.concatenate(offsets), np.concatenate(values) if values else np.empty(0, np.int32)
+
+    def _portion(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.pieces.place) > MEMO:
             self.pieces = _Memo()
         keys: list = []
