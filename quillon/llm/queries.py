@@ -15,8 +15,8 @@ FIELDS = ["content", "full_text"]
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    texts = split.text_fields(table(spark, sf, "document_node"), "node_key", FIELDS).where(F.char_length("value") > 1200)
-    pieces = split.split_oversized(texts, ["node_key", "field"], "value", with_text=False)
+    texts = split.text_fields(table(spark, sf, "document_node"), "node_key", FIELDS)
+    pieces = split.split_oversized(texts, ["node_key", "field"], "value", with_text=False, small=False)
     return pieces.where("piece_no = 0").select("node_key", "field", F.when(F.col("text_forced"), "forced").otherwise("free").alias("cut"))
 
 

@@ -101,11 +101,12 @@ def pieces_of(text: str, limit: int, overlap: int, sizes: np.ndarray | None = No
         cut = end
 
 
-def split_oversized(df: DataFrame, keys: list[str], text: str, limit: int = 1200, overlap: int = 200, with_text: bool = True, unit: str = "code_points") -> DataFrame:
+def split_oversized(df: DataFrame, keys: list[str], text: str, limit: int = 1200, overlap: int = 200, with_text: bool = True, unit: str = "code_points", small: bool = True) -> DataFrame:
     """``(*keys, piece_no, start_pos, end_pos, forced, text_forced[, piece])`` of every text.
 
     ``unit`` is ``code_points`` or ``bytes`` (of UTF-8).  ``forced``: the piece ends
     inside a run without white space; ``text_forced``: one of the text's pieces does.
+    Without ``small``, texts within the limit are left out, and their rows not read again.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
@@ -131,10 +132,12 @@ def split_oversized(df: DataFrame, keys: list[str], text: str, limit: int = 1200
 
     rows = df.select(*keys, F.col(text).alias("_text"))
     large = rows.where(size("_text") > limit).mapInArrow(run, schema)
+    if not small:
+        return large
     no: Column = F.lit(False)
-    small = rows.where((size("_text") <= limit) & (F.col("_text") != ""))
-    small = small.select(*keys, F.lit(0).alias("piece_no"), F.lit(0).cast("long").alias("start_pos"), F.char_length("_text").cast("long").alias("end_pos"), no.alias("forced"), no.alias("text_forced"), *([F.col("_text").alias("piece")] if with_text else []))
-    return large.unionByName(small)
+    whole = rows.where((size("_text") <= limit) & (F.col("_text") != ""))
+    whole = whole.select(*keys, F.lit(0).alias("piece_no"), F.lit(0).cast("long").alias("start_pos"), F.char_length("_text").cast("long").alias("end_pos"), no.alias("forced"), no.alias("text_forced"), *([F.col("_text").alias("piece")] if with_text else []))
+    return large.unionByName(whole)
 
 
 def text_fields(nodes: DataFrame, key: str, fields: list[str]) -> DataFrame:
