@@ -210,15 +210,18 @@ def document_type_sql(text: str, head: int = 3000) -> str:
     return f"coalesce(list_filter(list_transform(list_transform(string_split(left({text}, {head}), chr(10)), lambda l: {line}), lambda u: CASE WHEN length(u) > 50 THEN NULL {cases} END), lambda c: c IS NOT NULL)[1], 'unknown')"
 
 
-def heading(line: Column) -> tuple[Column, Column]:
-    """``(type, index)`` of a heading line, null for other lines; index in lower case, dots as ``_``."""
-    kind = index = None
+#: Cheap test that every heading passes; most lines fail it and are tried no further.
+HEADING_START = r"(?i)^(?:\d|[a-zđ][\\.),;/]|[ivxl]+[\\/.)]|phụ|mục|danh|từ|chữ|nơi|kt\.|kí|phần|chương|điều|khoản|điểm)"
+
+
+def heading(line: Column) -> Column:
+    """``struct(type, idx)`` of a heading line, null for other lines; the index in lower case, dots as ``_``."""
+    found = F.when(F.coalesce(line == "", F.lit(True)) | ~matches(line, HEADING_START), F.lit(None))
     for name, pattern in HEADINGS:
-        test = matches(line, pattern)
         group = F.replace(F.lower(F.regexp_extract(line, _java(pattern), 1)), F.lit("."), F.lit("_"))
         value = F.when(group == "", "1").otherwise(group) if name == "phu_luc" else group
-        kind, index = (F.when(test, name), F.when(test, value)) if kind is None else (kind.when(test, name), index.when(test, value))
-    return kind, index
+        found = found.when(matches(line, pattern), F.struct(F.lit(name).alias("type"), value.alias("idx")))
+    return found
 
 
 def heading_sql(line: str) -> tuple[str, str]:

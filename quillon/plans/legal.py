@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from quillon.functions import legal as L
 from quillon.functions import text as T
-from quillon.io import table
+from quillon.io import spread, table
 from quillon.operators import search
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where("text is not null")
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).where("text is not null")
 
 
 def extract_title(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,7 +33,7 @@ def list_items(spark: SparkSession, sf: str) -> DataFrame:
 
 def self_refs(spark: SparkSession, sf: str) -> DataFrame:
     """Self-references of each node, resolved by its own id."""
-    rows = table(spark, sf, "document_node").where("id is not null and content is not null").select("node_key", F.concat("id", F.lit("\u0001"), "content").alias("both"))
+    rows = spread(table(spark, sf, "document_node").select("node_key", "id", "content")).where("id is not null and content is not null").select("node_key", F.concat("id", F.lit("\u0001"), "content").alias("both"))
     return L.per_text(rows, "node_key", "both", _self, "refs", "array<string>").where("size(refs) > 0")
 
 
@@ -50,7 +50,7 @@ def _self(both: str) -> list[str]:
 
 def extract_refs(spark: SparkSession, sf: str) -> DataFrame:
     """Citations in each node's text."""
-    rows = table(spark, sf, "document_node").where("id is not null and content is not null").where(T.matches(F.col("content"), T.REFERENCE))
+    rows = spread(table(spark, sf, "document_node").select("node_key", "id", "content")).where("id is not null and content is not null").where(T.matches(F.col("content"), T.REFERENCE))
     both = rows.select("node_key", F.concat("id", F.lit("\u0001"), "content").alias("both"))
     found = L.per_text(both, "node_key", "both", _refs, "refs", "array<string>")
     return found.select("node_key", F.posexplode("refs").alias("pos", "ref_id"))

@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.io import table
+from quillon.io import spread, table
 
 Q = T.quote
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where("text is not null")
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).where("text is not null")
 
 
 def _shown(df: DataFrame, key: str, value: Column) -> DataFrame:
@@ -108,9 +108,13 @@ def format_id(spark: SparkSession, sf: str) -> DataFrame:
 
 def parse_heading(spark: SparkSession, sf: str) -> DataFrame:
     """Type and index of every line of every document that is a heading."""
-    lines = _docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "l")).select("doc_id", "line_no", T.apply(F.col("l"), T.STRIP).alias("l")).where("l <> ''")
-    kind, index = T.heading(F.col("l"))
-    return lines.select("doc_id", "line_no", kind.alias("type"), index.alias("idx")).where("type is not null")
+    heads = _docs(spark, sf).select("doc_id", F.posexplode(F.transform(_trimmed_lines(), T.heading)).alias("line_no", "h"))
+    return heads.where("h is not null").select("doc_id", "line_no", "h.type", "h.idx")
+
+
+def _trimmed_lines() -> Column:
+    """Lines as an array: a trimmed line is then computed once, however often it is used."""
+    return F.transform(F.split("text", "\n"), lambda l: T.apply(l, T.STRIP))
 
 
 _LINES = f"(SELECT doc_id, line_no, {T.apply_sql('l', T.STRIP)} AS l FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS l FROM documents WHERE text IS NOT NULL))"
@@ -119,10 +123,10 @@ _HEAD = T.heading_sql("l")
 
 def heading_fill(spark: SparkSession, sf: str) -> DataFrame:
     """The article that each line stands under: the last article heading above it."""
-    lines = _docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "l")).select("doc_id", "line_no", T.apply(F.col("l"), T.STRIP).alias("l"))
-    article = T.extract(F.col("l"), rf"(?i)^điều{T.WHITE}+(\d+)[.:]")
+    article_of = lambda l: T.extract(l, rf"(?i)^điều{T.WHITE}+(\d+)[.:]")
+    lines = _docs(spark, sf).select("doc_id", F.posexplode(F.transform(_trimmed_lines(), article_of)).alias("line_no", "a"))
     above = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)  # as many as the document has lines
-    return lines.select("doc_id", "line_no", F.last(article, ignorenulls=True).over(above).alias("article")).where("article is not null")
+    return lines.select("doc_id", "line_no", F.last("a", ignorenulls=True).over(above).alias("article")).where("article is not null")
 
 
 def normalize_number(spark: SparkSession, sf: str) -> DataFrame:
