@@ -83,3 +83,13 @@ def test_copies(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], DDL + ", cell int, k long")
     assert knn.similar_pairs(empty, "vec_id", "vector").count() == 0
+
+
+def test_pairs_across_cell_borders(spark, monkeypatch):
+    """Rows that form no clusters: most pairs lie near a border, many near several."""
+    monkeypatch.setattr(knn, "ROWS_PER_CELL", 60)
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((3000, 8)) @ rng.standard_normal((8, 64)) + 0.2 * rng.standard_normal((3000, 64))
+    truth = exact(v, least=0.9)
+    got = {tuple(r) for r in knn.similar_pairs(table(spark, v), "vec_id", "vector").collect()}
+    assert len(got & truth) >= 0.93 * len(truth)
