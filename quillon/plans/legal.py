@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import legal as L
 from quillon.functions import text as T
 from quillon.io import spread, table
-from quillon.operators import search
+from quillon.operators import search, titles
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,32 +84,27 @@ def _pieces(function):
     return query
 
 
-def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Titles of removed documents beside the titles that end in the same three words, folded: the candidates to be ranked by likeness."""
-    key = lambda c: F.concat_ws(" ", F.slice(F.split(F.trim(T.fold(F.col(c))), " +"), -3, 3))
-    enough = lambda c: F.size(F.split(F.trim(F.col(c)), " +")) >= 3
-    old = table(spark, sf, "document_legacy").where(enough("ten_van_ban")).select(F.col("so_hieu").alias("asked"), F.col("ten_van_ban").alias("asked_title"), key("ten_van_ban").alias("k"))
-    now = table(spark, sf, "document_metadata").where(enough("ten_van_ban")).select("meta_id", "so_hieu", "ten_van_ban", key("ten_van_ban").alias("n_k"))
-    pairs = old.join(now, F.col("k") == F.col("n_k")).select("meta_id", "asked", "so_hieu", F.concat("asked_title", F.lit("\u0001"), "ten_van_ban").alias("both"))
-    keyed = pairs.select(F.concat_ws("\u0001", F.col("meta_id").cast("string"), "asked", "so_hieu").alias("pair"), "both")
-    scored = L.per_text(keyed, "pair", "both", lambda b: round(L.likeness(*b.split("\u0001", 1)), 6), "ratio", "double")
-    parts = F.split("pair", "\u0001")
-    return scored.select(parts[0].cast("long").alias("meta_id"), parts[1].alias("asked"), parts[2].alias("so_hieu"), "ratio")
+def _alike(spark: SparkSession, sf: str, least: float, most: int | None = None) -> DataFrame:
+    """Titles of removed documents beside all titles of at least so much likeness."""
+    old = table(spark, sf, "document_legacy").select(F.col("so_hieu").alias("key"), F.col("ten_van_ban").alias("title"))
+    now = table(spark, sf, "document_metadata").select(F.col("meta_id").cast("long").alias("key"), F.col("so_hieu").alias("number"), F.col("ten_van_ban").alias("title"))
+    return titles.alike(old, now, least, most).select("meta_id", "asked", "so_hieu", "ratio")
 
 
 def fuzzy_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    return _candidates(spark, sf)
+    """All pairs of at least half likeness."""
+    return _alike(spark, sf, 0.5)
 
 
 def doc_metadata_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates of at least half likeness, the five best of each title."""
-    ranked = search.rerank(_candidates(spark, sf).where("ratio >= 0.5"), ["asked"], F.col("ratio"), 5, "meta_id")
+    """Titles of at least half likeness, the five best of each title."""
+    ranked = search.rerank(_alike(spark, sf, 0.5, 5), ["asked"], F.col("ratio"), 5, "meta_id")
     return ranked.select("asked", "meta_id", "so_hieu", "ratio", "rank")
 
 
 def resolve_title(spark: SparkSession, sf: str) -> DataFrame:
     """The document that a title most likely names."""
-    ranked = search.rerank(_candidates(spark, sf).where("ratio >= 0.6"), ["asked"], F.col("ratio"), 1, "meta_id")
+    ranked = search.rerank(_alike(spark, sf, 0.6, 1), ["asked"], F.col("ratio"), 1, "meta_id")
     return ranked.select("asked", "meta_id", "so_hieu", "ratio")
 
 
