@@ -100,10 +100,14 @@ def _jump_local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _jump_local_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As :func:`_jump_local`; rows in or into a local cycle end there, and the row with a cycle's smallest key is marked by gain -1."""
+    """As :func:`_jump_local`; rows in or into a local cycle end there, and the row with a cycle's smallest key is marked by gain -1.
+
+    Marks are no gains: a row that leads to a marked row is not marked, and rows that are done keep theirs.
+    """
     a = _gather(batches)
     if a is None:
         return
+    marks = np.where(a["done"].astype(bool), a["gain"], 0)
     nxt = _local_next(a)
     first = nxt.copy()
     caught = _chase(a, nxt)
@@ -113,7 +117,8 @@ def _jump_local_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         on = _peel(rest)
         minima = _cycle_minima(a["key"], rest, on)
         a["done"][caught] = True
-        a["gain"] = np.where(np.isin(a["key"], minima), -1, 0)
+        marks[np.isin(a["key"], minima)] = -1
+    a["gain"] = marks
     yield _batch(a)
 
 

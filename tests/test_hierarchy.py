@@ -76,3 +76,28 @@ def test_empty_null_and_extra_columns(spark):
     assert found(spark, [(1, None, "x"), (2, None, None)]) == {}
     df = spark.createDataFrame([(1, "a", "b", "k", 5), (2, "b", None, "pk", 6)], DDL + ", k string, root int")
     assert {(r.node_id, r.depth) for r in Hierarchy(df).found().collect()} == {("a", 1), ("b", 0)}
+
+
+@pytest.mark.parametrize("spread", [False, True])
+def test_tails_into_cycles_across_partitions(spread):
+    """Chains that lead over several partitions into a cycle inside one: only the cycle is marked."""
+    import pyarrow as pa
+
+    from quillon.operators import pointers
+
+    names = ["key", "ptr", "steps", "gain", "done"]
+
+    def jump(rows):
+        out = pointers._jump_local_cut(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)]))
+        return [tuple(r.values()) for b in out for r in b.to_pylist()]
+
+    # partition = key // 1000; the cycle 1 -> 2 -> 3 -> 1 and tails over partitions 5 to 1 into it
+    edges = {1: 2, 2: 3, 3: 1} | {p * 1000 + t: (p - 1) * 1000 + t if p > 1 else 1 + t % 3 for p in range(1, 6) for t in range(10, 19)}
+    if spread:  # a cycle over five partitions
+        edges |= {p * 1000 + 50: p % 5 * 1000 + 1050 for p in range(1, 6)}
+    parts = [[(k, p, 1, 0, False) for k, p in edges.items() if k // 1000 == n] for n in range(6)]
+    first = [r for part in parts for r in jump(part)]
+    needed = {r[1] for r in first if not r[4]}
+    core = jump([r for r in first if r[0] in needed])
+    assert {r[0] for r in first + core if r[3] == -1} == ({1, 1050} if spread else {1})
+    assert all(r[4] for r in core)
