@@ -41,16 +41,33 @@ PLACES = frozenset("tp tx tt h q p x t đ d kp st ave rd".split())
 CLOSING = frozenset("v.v vv etc a.m p.m co ltd inc corp jr sr s.a cie bros".split())
 
 #: Terminators, openers with their closers, and signs after which the sentence goes on.
-ALWAYS = "。！？｡។៕॥।؟۔။།"
+#: All of Sentence_Break=STerm but ! and ?, which have rules of their own, and the Tibetan shad;
+ALWAYS = (
+    "\u0589\u061d\u061e\u061f\u06d4\u0700\u0701\u0702\u07f9\u0837\u0839\u083d\u083e\u0964"
+    "\u0965\u0f0d\u104a\u104b\u1362\u1367\u1368\u166e\u1735\u1736\u17d4\u17d5\u1803\u1809"
+    "\u1944\u1945\u1aa8\u1aa9\u1aaa\u1aab\u1b4e\u1b4f\u1b5a\u1b5b\u1b5e\u1b5f\u1b7d\u1b7e"
+    "\u1b7f\u1c3b\u1c3c\u1c7e\u1c7f\u203c\u203d\u2047\u2048\u2049\u2cf9\u2cfa\u2cfb\u2e2e"
+    "\u2e3c\u2e53\u2e54\u2e60\u2e61\u3002\ua4ff\ua60e\ua60f\ua6f3\ua6f7\ua876\ua877\ua8ce"
+    "\ua8cf\ua92f\ua9c8\ua9c9\uaa5d\uaa5e\uaa5f\uaaf0\uaaf1\uabeb\ufe12\ufe15\ufe16\ufe56"
+    "\ufe57\uff01\uff1f\uff61\U00010a56\U00010a57\U00010f55\U00010f56\U00010f57\U00010f58\U00010f59\U00010f86\U00010f87\U00010f88"
+    "\U00010f89\U00011047\U00011048\U000110be\U000110bf\U000110c0\U000110c1\U00011141\U00011142\U00011143\U000111c5\U000111c6\U000111cd\U000111de"
+    "\U000111df\U00011238\U00011239\U0001123b\U0001123c\U000112a9\U000113d4\U000113d5\U0001144b\U0001144c\U000115c2\U000115c3\U000115c9\U000115ca"
+    "\U000115cb\U000115cc\U000115cd\U000115ce\U000115cf\U000115d0\U000115d1\U000115d2\U000115d3\U000115d4\U000115d5\U000115d6\U000115d7\U00011641"
+    "\U00011642\U0001173c\U0001173d\U0001173e\U00011944\U00011946\U00011a42\U00011a43\U00011a9b\U00011a9c\U00011c41\U00011c42\U00011ef7\U00011ef8"
+    "\U00011f43\U00011f44\U00016a6e\U00016a6f\U00016af5\U00016b37\U00016b38\U00016b44\U00016d6e\U00016d6f\U00016e98\U0001bc9f\U0001da88"
+)
+#: Sentence_Break=ATerm but the full stop.
+WIDE_STOPS = "\u2024\ufe52\uff0e"
 OPENERS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "「": "」", "『": "』", "（": "）", "【": "】", "〈": "〉", "《": "》", "„": "“", "‹": "›"}
 CLOSERS = frozenset(OPENERS.values()) | {"’", "'", "›"}
-GOES_ON = frozenset(",;:%)]}»”’、，；：）」』】》/=|&")
+#: With Sentence_Break=SContinue, but for dashes, which may open an item or a speech.
+GOES_ON = frozenset(",;:%)]}»”’、，；：）」』】》/=|&\u037e\u055d\u060c\u060d\u07f8\u1802\u1808\ufe10\ufe11\ufe13\ufe14\ufe50\ufe51\ufe54\ufe55\uff64")
 _OPEN_CLASS = re.escape("".join(OPENERS))
 _CLOSE_CLASS = re.escape("".join(c for c in set(OPENERS.values())))
 _THAI = "\u0e01-\u0e3a\u0e40-\u0e4e"
 _LAO = "\u0e81-\u0ebd\u0ec0-\u0ecd\u0edc-\u0edf"
 
-EVENT = re.compile(rf'[{_OPEN_CLASS}]|[{_CLOSE_CLASS}]|"|[.!?…{ALWAYS}]+|(?<=[{_THAI}])[^\S\r\n]+(?=[{_THAI}])|(?<=[{_LAO}])[^\S\r\n]+(?=[{_LAO}])')
+EVENT = re.compile(rf'[{_OPEN_CLASS}]|[{_CLOSE_CLASS}]|"|[.!?…{WIDE_STOPS}{ALWAYS}]+|(?<=[{_THAI}])[^\S\r\n]+(?=[{_THAI}])|(?<=[{_LAO}])[^\S\r\n]+(?=[{_LAO}])')
 LINE = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 #: What may stand at the head of a line before the text that it belongs to.
 LABEL = re.compile(
@@ -256,7 +273,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
                 k = i - 1
                 while k > at and text[k].isspace():
                     k -= 1
-                if text[k] not in ".!?…" and text[k] not in ALWAYS:
+                if text[k] not in ".!?…" and text[k] not in WIDE_STOPS and text[k] not in ALWAYS:
                     continue
                 nxt = j
                 while nxt < end and text[nxt].isspace():
@@ -264,7 +281,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
                 if nxt >= end:
                     continue
                 f = text[nxt]
-                if f in GOES_ON or f in ".!?…" or f in ALWAYS or f in PARTICLES:
+                if f in GOES_ON or f in ".!?…" or f in WIDE_STOPS or f in ALWAYS or f in PARTICLES:
                     continue
                 first = _first_letter(text, nxt, end)
                 if first.islower() or not first:
@@ -297,6 +314,11 @@ def sentences(text: str) -> list[tuple[int, int]]:
                 ends = True
             elif f in GOES_ON:
                 continue
+            elif any(x in WIDE_STOPS for x in mark):
+                before = text[i - 1 : i]
+                if nxt == j and (f.isnumeric() or f.isupper() and (before.isupper() or before.islower())):
+                    continue
+                ends = not _first_letter(text, nxt, end).islower()
             elif mark == ".":
                 ends = _period_ends(text, at, i, j, nxt, end)
             elif mark[0] == "…" or set(mark) == {"."}:

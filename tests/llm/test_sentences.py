@@ -71,3 +71,22 @@ def test_table(spark):
     got = [tuple(r) for r in sentence_column(df, "doc_id", "text").collect()]
     assert sorted(got) == [(3, 0, 4), (3, 0, 4), (3, 5, 9), (3, 5, 9), (4, 0, 200_001), (4, 200_002, 200_006)]
     assert sentence_column(df.where("false"), "doc_id", "text").count() == 0
+
+
+def test_terminators_of_all_scripts():
+    for mark in "։።፧၊။᠃᠉‼⁇⁈⁉।؞꓿\U00011047﹒．":
+        assert cut(f"Առաջին{mark} Երկրորդ{mark}") == [f"Առաջին{mark}", f"Երկրորդ{mark}"], hex(ord(mark))
+    assert cut("第一文．第二文．") == ["第一文．", "第二文．"]
+    assert cut("値は３．５である") == ["値は３．５である"]
+    assert cut("Առաջին։ ՝ շարունակ") == ["Առաջին։ ՝ շարունակ"]
+
+
+def test_terminators_are_the_property():
+    regex = pytest.importorskip("regex")
+    from quillon.llm.sentences import ALWAYS, WIDE_STOPS
+
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000)]):
+        if regex.match(r"\p{Sentence_Break=STerm}", c):
+            assert c in ALWAYS or c in "!?"
+        elif regex.match(r"\p{Sentence_Break=ATerm}", c):
+            assert c in WIDE_STOPS or c == "."
