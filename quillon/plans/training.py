@@ -23,7 +23,13 @@ def p3_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_spans(spark: SparkSession, sf: str) -> DataFrame:
-    return Hierarchy(table(spark, sf, "document_node")).spans().select("node_id", "tree_depth", "n_descendants")
+    return Hierarchy(table(spark, sf, "document_node")).spans().select("node_id", "root", "tree_depth", "entry", "exit", "n_descendants")
+
+
+def p3_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """All descendants of each node that a row with a key divisible by 20 names."""
+    rows = table(spark, sf, "document_node")
+    return Hierarchy(rows).descendants(rows.where("node_key % 20 = 0 and id is not null").select("id"))
 
 
 def endpoints(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,7 +62,7 @@ def p4_report(spark: SparkSession, sf: str) -> DataFrame:
     return orphan_state(spark, sf).snapshot()
 
 
-QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_spans": p3_spans, "p4_found": p4_found, "p4_report": p4_report}
+QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_spans": p3_spans, "p3_descendants": p3_descendants, "p4_found": p4_found, "p4_report": p4_report}
 
 _KEY = r"regexp_replace(regexp_replace(replace(lower(nfc_normalize({0})), 'đ', 'd'), '[^\p{{L}}\p{{M}}\p{{N}}]+', '_', 'g'), '^_|_$', '', 'g')"
 _WS = r"[^\x{{9}}-\x{{D}}\x{{20}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]"

@@ -101,3 +101,18 @@ def test_tails_into_cycles_across_partitions(spread):
     core = jump([r for r in first if r[0] in needed])
     assert {r[0] for r in first + core if r[3] == -1} == ({1, 1050} if spread else {1})
     assert all(r[4] for r in core)
+
+
+def test_registered_descendants(spark, sf):
+    from quillon.plans import training
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/document_node.parquet").select(*[c.split()[0] for c in DDL.split(", ")]).collect()]
+    outcome, parents = brute(rows)
+    asked = {i for k, i, _ in rows if k % 20 == 0 and i is not None and outcome[i][1] >= 0}
+    below = lambda n: parents[n] and {parents[n]} | below(parents[n]) or set()
+    truth = {(a, n) for n, (_, depth) in outcome.items() if depth >= 0 for a in below(n) & asked}
+    plain = lambda r: outcome[r.node_id][1] >= 0
+    assert truth and {tuple(r) for r in training.p3_descendants(spark, sf).collect() if plain(r)} == truth
+    spans = [r for r in training.p3_spans(spark, sf).collect() if plain(r)]
+    read = {(a.node_id, n.node_id) for a in spans if a.node_id in asked for n in spans if n.root == a.root and a.exit < n.entry < a.entry}
+    assert read == truth
