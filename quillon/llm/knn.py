@@ -1,30 +1,39 @@
 """The k most similar vectors of every vector, by randomly rotated one-bit codes.
 
-1. Vectors are checked, scaled to unit length and stored with 16 bits a number and a
-   scale of their own (an error of some 1e-5 in a similarity).
-2. Exact copies are searched once: the smallest key stands for the group.
-3. Coarse centroids are fitted on a bounded sample (:data:`SAMPLE_PER_CELL` rows a
-   cell, at most :data:`MAX_CELLS` cells, so at most 131,072 rows; documented bound);
-   every row is indexed in its nearest cell.
-4. A row is sent as a query to its own cell and to those cells whose border is nearer
-   than ``margin`` (at most ``max_probes``): the accuracy loss is set by these two.
-5. In a cell, a base row is the sign bits of its rotated residual and three correction
-   scalars.  A query's inner product with it is estimated from the bits, with an error
-   bound; only rows whose upper bound reaches the least similarity asked for, or the
-   query's k-th best lower bound, are reranked with the stored vectors.
+1. Vectors are checked, scaled to unit length and stored with 24 bits a number.
+2. Vectors of which there are very many exact copies (:func:`_copies_limit`) are searched
+   once: the smallest key stands for the group.
+3. A tree of centroids is fitted on a bounded sample (:data:`SAMPLE_PER_CELL` rows a
+   cell); the number of cells grows in proportion to the rows (:data:`CELL_ROWS` each).
+   Every row is indexed in its nearest cell.
+4. A row visits its own cell and those cells whose border is nearer than ``margin`` (at
+   most ``max_probes``).  A visit serves both sides: what a row finds there also counts
+   as found by the rows it meets, so a pair is lost only if both its rows lie farther
+   than ``margin`` from the border.
+5. A cell is cut into small cells by the same rule, with the margin ``inner``.  There a base row is the packed sign
+   bits of its rotated residual and three correction scalars.  A visitor's inner product
+   with it is estimated from the bits, with an error bound; only rows whose upper bound
+   reaches the least similarity asked for and the k-th best known so far of either side
+   are reranked, with the stored vectors.
 6. The k best over all cells are merged, copies are put back.
 
+The whole set of cells is broadcast, at most :data:`MAX_CELLS` rows.  Of more rows than
+so many cells may hold, regions are made first by the same routing; they are written
+to the shared folder and searched one after the other.
+
 Cells that the sample shows to be larger than :data:`BLOCK_ROWS` are split into blocks;
-a query goes to every block, so no row is dropped.
+a visitor goes to every block, so no row is dropped.
 
 Defined results: rows whose vector is null, of another length, with a null or a number
-that is not finite, or all zero take no part.  Ties go to the smaller key.  Of more than
-``k`` exact copies each has the smallest other keys as neighbours.
+that is not finite, or all zero take no part.  Ties go to the smaller key.  A vector with
+more exact copies than the limit has the smallest other keys among them as neighbours.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +42,18 @@ from pyspark.sql import functions as F
 
 from quillon.session import Scratch
 
-ROWS_PER_CELL = 1600
-MAX_CELLS = 4096
+CELL_ROWS = 16384
+SMALL_ROWS = 512
+MAX_CELLS = 16384
+#: Up to so many cells the tree has one level; beyond, a row looks at the cells of its nearest ROOTS roots.
+ONE_LEVEL = 1024
+ROOTS = 12
 SAMPLE_PER_CELL = 32
-BLOCK_ROWS = 8192
-QUERY_CHUNK = 1024
-EPSILON = 1.9  # width of the error bound in deviations
+BLOCK_ROWS = 65536
+CHUNK = 1024
+EPSILON = 2.5  # width of the error bound in deviations
 _SEED = 20240229
+_ROUTED = "cell int, block int, role int, k long, v binary"
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -49,36 +63,40 @@ def rotation(dim: int) -> np.ndarray:
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
-    """Fixed-width rows of bytes as a binary array."""
+    """Rows of numbers as a binary array of one width."""
     rows = np.ascontiguousarray(rows)
-    width = rows.shape[1] * rows.itemsize
-    offsets = np.arange(len(rows) + 1, dtype=np.int32) * width
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * (rows.shape[1] * rows.itemsize)
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
 
 
-def _bytes(column: pa.Array, width: int) -> np.ndarray:
+def _bytes(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     """The reverse of :func:`_binary`."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not len(column):
         return np.empty((0, width), np.uint8)
-    start = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset]
+    start = int(np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset])
     return np.frombuffer(column.buffers()[2], dtype=np.uint8)[start : start + len(column) * width].reshape(len(column), width)
 
 
 def _pack(unit: np.ndarray) -> np.ndarray:
-    """Rows of 16-bit numbers behind a 32-bit scale."""
-    scale = np.maximum(np.abs(unit).max(axis=1), 1e-30).astype(np.float32)
-    whole = np.rint(unit / scale[:, None] * 32767).astype(np.int16)
-    return np.concatenate((scale[:, None].view(np.uint8), whole.view(np.uint8)), axis=1)
+    """Numbers of unit vectors with 24 bits each: an error of 6e-8, as that of 32-bit floating point."""
+    whole = np.rint(unit * 8388607).astype("<i4")
+    return np.ascontiguousarray(whole).view(np.uint8).reshape(*whole.shape, 4)[..., :3].reshape(len(whole), 3 * whole.shape[1])
 
 
 def _unpack(rows: np.ndarray) -> np.ndarray:
-    scale = np.ascontiguousarray(rows[:, :4]).view(np.float32)
-    return np.ascontiguousarray(rows[:, 4:]).view(np.int16).astype(np.float32) * (scale / 32767)
+    wide = np.zeros((len(rows), rows.shape[1] // 3, 4), dtype=np.uint8)
+    wide[..., 1:] = rows.reshape(len(rows), rows.shape[1] // 3, 3)
+    return wide.view("<i4")[..., 0].astype(np.float32) * np.float32(1 / (8388607 * 256))
+
 
+def _vectors(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    return _unpack(_bytes(column, 3 * dim))
 
-def _prepare(dim: int):
+
+def _prepare(dim: int, vectors: bool):
+    """``(k, g1, g2[, v])`` of usable rows: two digests of the vector as stored, and the unit vector."""
     mixers = np.random.default_rng(_SEED + 1).integers(1, 1 << 62, size=(2, dim), dtype=np.int64) | 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,27 +106,33 @@ def _prepare(dim: int):
             right = np.flatnonzero(lengths == dim)
             if not len(right):
                 continue
-            kept = lists.take(pa.array(right))
-            values = kept.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)  # nulls become NaN
+            values = lists.take(pa.array(right)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)  # nulls become NaN
             norm = np.sqrt(np.einsum("ij,ij->i", values, values))
             good = np.isfinite(values).all(axis=1) & np.isfinite(norm) & (norm > 0)
             values, norm, right = values[good], norm[good], right[good]
-            unit = values / norm[:, None]
             bits = (values.astype(np.float32) + np.float32(0)).view(np.int32).astype(np.int64)
             with np.errstate(over="ignore"):
                 marks = [(bits * m).sum(axis=1) ^ ((bits * m) >> 29).sum(axis=1) for m in mixers]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(right)), pa.array(marks[0]), pa.array(marks[1]), _binary(_pack(unit))], names=["k", "g1", "g2", "v"])
+            columns = [b.column(0).take(pa.array(right)), pa.array(marks[0]), pa.array(marks[1])]
+            if vectors:
+                columns.append(_binary(_pack(values / norm[:, None])))
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "g1", "g2", "v"][: len(columns)])
 
     return run
 
 
+def _nearest_center(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    half = 0.5 * (centers**2).sum(axis=1)
+    return np.concatenate([np.argmax(p @ centers.T - half, axis=1) for p in np.array_split(rows, max(1, len(rows) // 4096))])
+
+
 def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 6) -> np.ndarray:
     """Lloyd's rounds on the sample; a cell that loses all rows is moved to a row of the largest cell."""
     rng = np.random.default_rng(_SEED + 2)
     cells = max(1, min(cells, len(sample)))
     centers = sample[rng.choice(len(sample), cells, replace=False)].copy()
     for _ in range(rounds):
-        own = np.concatenate([np.argmax(part @ centers.T - 0.5 * (centers**2).sum(axis=1), axis=1) for part in np.array_split(sample, max(1, len(sample) // 4096))])
+        own = _nearest_center(sample, centers)
         sizes = np.bincount(own, minlength=cells)
         order = np.argsort(own, kind="stable")
         starts = np.flatnonzero(np.diff(np.concatenate(([-1], own[order]))))
@@ -119,194 +143,364 @@ def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 6) -> np.ndarray
     return centers.astype(np.float32)
 
 
-def _assign(centers, blocks, turn: np.ndarray, margin: float | None, max_probes: int):
-    """Rows ``(cell, block, role, k, v)``: role 0 is a base row that also asks, 1 a base row that does not, 2 a query."""
+@dataclass
+class Tree:
+    """Cells with their centers; ``first`` are the places where each root's cells start; ``blocks`` are the parts of each cell."""
+
+    roots: np.ndarray
+    first: np.ndarray
+    centers: np.ndarray
+    blocks: np.ndarray
+
+    def near(self, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``most`` nearest cells of each row, nearest first, and their squared distances less 1."""
+        square = (self.centers**2).sum(axis=1)
+        most = min(most, len(self.centers))
+        if len(self.roots) == 1:
+            far = square - 2 * (rows @ self.centers.T)
+            at = np.argpartition(far, most - 1, axis=1)[:, :most] if most < far.shape[1] else np.broadcast_to(np.arange(most), far.shape)
+            dist = np.take_along_axis(far, at, axis=1)
+        else:
+            width = min(ROOTS, len(self.roots))
+            up = (self.roots**2).sum(axis=1) - 2 * (rows @ self.roots.T)
+            chosen = np.argpartition(up, width - 1, axis=1)[:, :width]
+            at = np.zeros((len(rows), width, most), dtype=np.int64)
+            dist = np.full((len(rows), width, most), np.inf, dtype=np.float32)
+            for r in np.unique(chosen):
+                i, slot = np.nonzero(chosen == r)
+                low, high = self.first[r], self.first[r + 1]
+                far = square[low:high] - 2 * (rows[i] @ self.centers[low:high].T)
+                n = min(most, high - low)
+                here = np.argpartition(far, n - 1, axis=1)[:, :n] if n < far.shape[1] else np.broadcast_to(np.arange(n), far.shape)
+                dist[i, slot, :n] = np.take_along_axis(far, here, axis=1)
+                at[i, slot, :n] = here + low
+            at, dist = at.reshape(len(rows), -1), dist.reshape(len(rows), -1)
+        order = np.argsort(dist, axis=1, kind="stable")[:, :most]
+        return np.take_along_axis(at, order, axis=1), np.take_along_axis(dist, order, axis=1)
+
+
+def _within(near: np.ndarray, dist: np.ndarray, centers: np.ndarray, margin: float | None) -> np.ndarray:
+    """Which of the near cells have their border nearer than ``margin``; the nearest cell always counts."""
+    if margin is None:
+        return np.isfinite(dist)
+    gap = centers[near]
+    gap -= gap[:, :1].copy()
+    gap = np.sqrt(np.maximum(np.einsum("ijk,ijk->ij", gap, gap), 1e-12))
+    return np.isfinite(dist) & (dist - dist[:, :1] <= 2 * margin * gap)
+
+
+def _route(tree, margin: float | None, max_probes: int):
+    """Rows ``(cell, block, role, k, v)``.  Role 0 is a base row that also asks, 1 a base row that does not, 2 a visitor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, split = centers.value, blocks.value
-        dim, square = c.shape[1], (c * c).sum(axis=1)
-        probes = min(max_probes, len(c))
+        t = tree.value
         for b in batches:
             for s in range(0, b.num_rows, 4096):
                 part = b.slice(s, 4096)
-                raw = _bytes(part.column(1), 4 + 2 * dim)
-                keys = part.column(0).to_numpy(zero_copy_only=False)
+                role, keys = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                raw = _bytes(part.column(2), 3 * t.centers.shape[1])
                 u = _unpack(raw)
-                far = square - 2 * (u @ c.T)  # squared distance less 1
-                near = np.argpartition(far, probes - 1, axis=1)[:, :probes]
-                dist = np.take_along_axis(far, near, axis=1)
-                order = np.argsort(dist, axis=1)
-                near, dist = np.take_along_axis(near, order, axis=1), np.take_along_axis(dist, order, axis=1)
+                near, dist = t.near(u, max_probes)
                 own = near[:, 0]
-                asks = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
-                # base rows: sign bits of the rotated residual, its length, its inner product with its code, and the part of the similarity that no query changes
-                residual = u - c[own]
-                rho = np.sqrt(np.einsum("ij,ij->i", residual, residual))
-                turned = residual @ turn
-                signs = np.packbits(turned > 0, axis=1)
-                fit = np.abs(turned).sum(axis=1) / np.maximum(rho, 1e-12) / np.sqrt(dim)
-                fixed = np.einsum("ij,ij->i", u, c[own]) - square[own]
-                scalars = np.stack((rho, np.maximum(fit, 1e-3), fixed), axis=1).astype(np.float32)
-                base = np.concatenate((raw, signs, scalars.view(np.uint8)), axis=1)
-                block = (keys * np.int64(0x9E3779B97F4A7C15 - (1 << 64)) >> np.int64(40)) & np.int64(0xFFFFFF)
-                home = block % split[own]
-                yield _rows(own, home, np.where(asks, 0, 1), keys, _binary(base))
-                # queries: other blocks of the own cell, and near cells
-                if margin is None:
-                    take = np.ones_like(near, dtype=bool)
-                else:
-                    gap = np.sqrt(np.maximum(square[near] + square[own][:, None] - 2 * np.einsum("ijk,ik->ij", c[near], c[own]), 1e-12))
-                    take = (dist - dist[:, :1]) <= 2 * margin * gap
-                take &= asks[:, None]
+                spread = (keys * np.int64(0x9E3779B97F4A7C15 - (1 << 64)) >> np.int64(40)) & np.int64(0xFFFFFF)
+                home = spread % t.blocks[own]
+                base = role != 2
+                if base.any():
+                    yield _rows(own[base], home[base], role[base], keys[base], raw[base])
+                take = _within(near, dist, t.centers, margin) & (role != 1)[:, None]
                 i, j = np.nonzero(take)
                 cell = near[i, j]
-                n = split[cell]
+                n = t.blocks[cell]
                 i, cell = np.repeat(i, n), np.repeat(cell, n)
-                sub = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-                there = (cell == own[i]) & (sub == home[i])
-                i, cell, sub = i[~there], cell[~there], sub[~there]
+                block = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                away = ~(base[i] & (cell == own[i]) & (block == home[i]))
+                i, cell, block = i[away], cell[away], block[away]
                 if len(i):
-                    yield _rows(cell, sub, np.full(len(i), 2), keys[i], _binary(raw[i]))
+                    yield _rows(cell, block, np.full(len(i), 2), keys[i], raw[i])
 
     return run
 
 
-def _rows(cell, block, role, keys, payload: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(role.astype(np.int32)), pa.array(keys.astype(np.int64)), payload], names=["cell", "block", "role", "k", "v"])
-
-
-def _search(centers, turn: np.ndarray, k: int, least: float):
-    """Search each block of each cell: base rows come first, queries are taken in chunks."""
-
-    def kernel(c: np.ndarray, base: tuple, keys: np.ndarray, q: np.ndarray):
-        x, signs, weight, fixed, spread, base_keys = base
-        shifted = q - c
+def _rows(cell, block, role, keys, vectors: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in (cell, block, role)), pa.array(keys.astype(np.int64)), _binary(vectors)], names=["cell", "block", "role", "k", "v"])
+
+
+class _Best:
+    """The k best partners so far of each of ``n`` rows, better ones first; equal ones by key."""
+
+    def __init__(self, n: int, k: int):
+        self.sims, self.keys = np.full((n, k), -np.inf, dtype=np.float32), np.full((n, k), -1, dtype=np.int64)
+
+    def add(self, at: np.ndarray, keys: np.ndarray, sims: np.ndarray) -> None:
+        if not len(at):
+            return
+        k = self.sims.shape[1]
+        rows = np.unique(at)
+        held = self.keys[rows] >= 0
+        at = np.concatenate((at, np.repeat(rows, k)[held.ravel()]))
+        keys, sims = np.concatenate((keys, self.keys[rows][held])), np.concatenate((sims, self.sims[rows][held]))
+        order = np.lexsort((keys, -sims, at))
+        at, keys, sims = at[order], keys[order], sims[order]
+        fresh = np.append(True, (at[1:] != at[:-1]) | (keys[1:] != keys[:-1]))
+        at, keys, sims = at[fresh], keys[fresh], sims[fresh]
+        start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        rank = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))
+        kept = rank < k
+        self.sims[rows], self.keys[rows] = -np.inf, -1
+        self.sims[at[kept], rank[kept]], self.keys[at[kept], rank[kept]] = sims[kept], keys[kept]
+
+    def floor(self, at: np.ndarray | slice, least: float) -> np.ndarray:
+        """What a partner must reach to count."""
+        return np.maximum(self.sims[at, -1], np.float32(least))
+
+    def batch(self, owners: np.ndarray) -> pa.RecordBatch:
+        i, j = np.nonzero(self.keys >= 0)
+        return pa.RecordBatch.from_arrays([pa.array(owners[i]), pa.array(self.keys[i, j]), pa.array(self.sims[i, j].astype(np.float64))], names=["a", "b", "s"])
+
+
+class _Block:
+    """The base rows of one block of a cell, in small cells, with their codes."""
+
+    def __init__(self, keys: np.ndarray, vectors: np.ndarray, asks: np.ndarray, turn: np.ndarray, k: int, least: float, margin: float | None, max_probes: int, both: bool):
+        order = np.argsort(keys, kind="stable")
+        self.k, self.least, self.margin, self.probes, self.both, self.turn = k, least, margin, max_probes, both, turn
+        dim = vectors.shape[1]
+        keys, x, asks = keys[order], vectors[order], asks[order]
+        small = max(1, len(x) // SMALL_ROWS)
+        drawn = x[np.linspace(0, len(x) - 1, min(len(x), small * SAMPLE_PER_CELL)).astype(np.int64)]
+        self.centers = fit_centroids(drawn, small, rounds=4)
+        own = _nearest_center(x, self.centers)
+        order = np.argsort(own, kind="stable")
+        self.keys, self.x, self.asks = keys[order], x[order], asks[order]
+        own = own[order]
+        self.first = np.searchsorted(own, np.arange(len(self.centers) + 1))
+        self.tree = Tree(self.centers[:1], np.array([0, len(self.centers)]), self.centers, np.ones(len(self.centers), np.int64))
+        # sign bits of the rotated residual, its length, its inner product with its code, and the part of the similarity that no visitor changes
+        residual = self.x - self.centers[own]
+        rho = np.sqrt(np.einsum("ij,ij->i", residual, residual))
+        turned = residual @ turn
+        self.codes = np.packbits(turned > 0, axis=1)
+        fit = np.maximum(np.abs(turned).sum(axis=1) / np.maximum(rho, 1e-12) / np.sqrt(dim), 1e-3)
+        self.fixed = np.einsum("ij,ij->i", residual, self.centers[own])
+        self.weight = rho / (np.sqrt(dim) * fit)
+        self.width = EPSILON * rho * np.sqrt(np.maximum(1 - fit**2, 0)) / fit / np.sqrt(dim - 1) + 1e-6
+        self.best = _Best(len(self.x), k)
+
+    def ask(self, keys: np.ndarray, q: np.ndarray, places: np.ndarray | None = None) -> _Best:
+        """What ``q`` finds here; ``places`` are the rows' places if they are base rows.  With ``both``, base rows take up what they are found by."""
+        best = self.best if places is not None else _Best(len(q), self.k)
+        places = np.arange(len(q)) if places is None else places
+        near, dist = self.tree.near(q, self.probes)
+        i, j = np.nonzero(_within(near, dist, self.centers, self.margin))
+        cell = near[i, j]
+        order = np.argsort(cell, kind="stable")
+        i, cell = i[order], cell[order]
+        turned = q @ self.turn
+        edges = np.searchsorted(cell, np.arange(len(self.centers) + 1))
+        for c in range(len(self.centers)):
+            for s in range(edges[c], edges[c + 1], CHUNK):
+                at = i[s : min(s + CHUNK, edges[c + 1])]
+                self._visit(c, at, keys, q, turned, places, best)
+        return best
+
+    def _visit(self, c: int, at: np.ndarray, keys: np.ndarray, q: np.ndarray, turned: np.ndarray, places: np.ndarray, best: _Best) -> None:
+        low, high = self.first[c], self.first[c + 1]
+        if low == high:
+            return
+        rows, k, center = slice(low, high), self.k, self.centers[c]
+        dim = q.shape[1]
+        signs = np.unpackbits(self.codes[rows], axis=1, count=dim).astype(np.float32) * 2 - 1
+        shifted = q[at] - center
         length = np.sqrt(np.einsum("ij,ij->i", shifted, shifted))
-        estimate = (shifted @ turn) @ signs.T
-        estimate *= weight
-        estimate += fixed
-        estimate += (q @ c)[:, None]
-        upper_gap = length[:, None] * spread
-        floor = np.full(len(q), least, dtype=np.float32)
-        if len(x) > k + 1:
-            lower = estimate - upper_gap
-            floor = np.maximum(floor, np.partition(lower, len(x) - k - 1, axis=1)[:, len(x) - k - 1])  # k + 1: the row itself may be among them
-        estimate += upper_gap
-        i, j = np.nonzero(estimate >= floor[:, None])
-        other = keys[i] != base_keys[j]
-        i, j = i[other], j[other]
-        sims = np.concatenate([np.einsum("ij,ij->i", q[i[s : s + 500_000]], x[j[s : s + 500_000]]) for s in range(0, max(len(i), 1), 500_000)])
-        hit = sims >= least
-        i, j, sims = i[hit], j[hit], sims[hit]
-        order = np.lexsort((base_keys[j], -sims, i))
-        i, j, sims = i[order], j[order], sims[order]
-        start = np.flatnonzero(np.diff(np.concatenate(([-1], i))))
-        rank = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i)))) if len(i) else i
-        best = rank < k
-        return keys[i[best]], base_keys[j[best]], sims[best]
+        estimate = (turned[at] - center @ self.turn) @ signs.T
+        estimate *= self.weight[rows]
+        estimate += self.fixed[rows]
+        estimate += (q[at] @ center)[:, None]
+        width = length[:, None] * self.width[rows]
+        mine, theirs = best.floor(places[at], self.least), self.best.floor(rows, self.least)
+        lower = estimate - width
+        estimate += width
+        if estimate.shape[1] > k + 1:  # k + 1: the row itself may be among them
+            mine = np.maximum(mine, np.partition(lower, estimate.shape[1] - k - 1, axis=1)[:, estimate.shape[1] - k - 1])
+        hit = estimate >= mine[:, None]
+        if self.both:
+            if len(at) > k + 1:
+                theirs = np.maximum(theirs, np.partition(lower, len(at) - k - 1, axis=0)[len(at) - k - 1])
+            hit |= estimate >= theirs
+        hit &= keys[at][:, None] != self.keys[rows]
+        i, j = np.nonzero(hit)
+        sims = np.concatenate([np.einsum("ij,ij->i", q[at[i[s : s + 200_000]]], self.x[low + j[s : s + 200_000]]) for s in range(0, max(len(i), 1), 200_000)])
+        enough = sims >= self.least
+        i, j, sims = at[i[enough]], j[enough] + low, sims[enough]
+        best.add(places[i], self.keys[j], sims)
+        if self.both:
+            self.best.add(j, keys[i], sims)
+
+
+def _search(turn: np.ndarray, k: int, least: float, margin: float | None, max_probes: int, both: bool):
+    """Search each block of each cell: base rows come first, visitors are taken in portions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c_all = centers.value
-        dim = c_all.shape[1]
-        root, wide, narrow = np.sqrt(dim), 4 + 2 * dim + dim // 8 + 12, 4 + 2 * dim
-        at, heap, waiting = None, [], []
-
-        def make_base(c, rows: np.ndarray, keys: np.ndarray) -> tuple:
-            x = _unpack(rows[:, :narrow])
-            signs = np.unpackbits(rows[:, narrow : narrow + dim // 8], axis=1).astype(np.float32) * 2 - 1
-            rho, fit, fixed = np.ascontiguousarray(rows[:, narrow + dim // 8 :]).view(np.float32).T
-            spread = EPSILON * rho * np.sqrt(np.maximum(1 - fit**2, 0)) / fit / np.sqrt(dim - 1)
-            return x, signs, rho / (root * fit), fixed, spread, keys
-
-        base = None
+        dim = len(turn)
+        at, heap, block = None, [], None
 
         def close():
-            """Base rows of the block at hand are complete."""
-            rows, keys, roles = (np.concatenate(p) for p in zip(*heap))
-            made = make_base(c_all[at[0]], rows, keys)
-            ask = roles == 0
-            return made, keys[ask], made[0][ask]
-
-        def ask(keys, q):
-            for s in range(0, len(keys), QUERY_CHUNK):
-                a, b, sims = kernel(c_all[at[0]], base, keys[s : s + QUERY_CHUNK], q[s : s + QUERY_CHUNK])
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sims.astype(np.float64))], names=["a", "b", "s"])
+            keys, vectors, roles = (np.concatenate(p) for p in zip(*heap))
+            made = _Block(keys, vectors, roles == 0, turn, k, least, margin, max_probes, both)
+            asking = np.flatnonzero(made.asks)
+            for s in range(0, len(asking), CHUNK * 4):
+                p = asking[s : s + CHUNK * 4]
+                made.ask(made.keys[p], made.x[p], p)
+            return made
 
         for batch in batches:
-            cell, block, role, keys = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("cell", "block", "role", "k"))
-            payload = batch.column("v")
-            edges = np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0) | (np.diff((role == 2).astype(np.int8)) != 0)) + 1
+            cell, part, role, keys = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("cell", "block", "role", "k"))
+            vectors = _vectors(batch.column("v"), dim)
+            edges = np.flatnonzero((np.diff(cell) != 0) | (np.diff(part) != 0) | (np.diff((role == 2).astype(np.int8)) != 0)) + 1
             for s, e in zip([0, *edges], [*edges, len(cell)]):
                 if s == e:
                     continue
-                here = (int(cell[s]), int(block[s]))
+                here = (int(cell[s]), int(part[s]))
                 if here != at:
-                    if heap and base is None:
-                        base, own_keys, own = close()
-                        yield from ask(own_keys, own)
-                    at, heap, base = here, [], None
+                    if heap:
+                        block = close()
+                    if block is not None:
+                        yield block.best.batch(block.keys)
+                    at, heap, block = here, [], None
                 if role[s] != 2:
-                    heap.append((_bytes(payload.slice(s, e - s), wide), keys[s:e], role[s:e]))
-                elif heap or base is not None:
-                    if base is None:
-                        base, own_keys, own = close()
-                        yield from ask(own_keys, own)
-                        heap = []
-                    yield from ask(keys[s:e], _unpack(_bytes(payload.slice(s, e - s), narrow)))
-        if heap and base is None:
-            base, own_keys, own = close()
-            yield from ask(own_keys, own)
+                    heap.append((keys[s:e], vectors[s:e], role[s:e]))
+                    continue
+                if heap:
+                    block, heap = close(), []
+                if block is not None:
+                    for p in range(s, e, CHUNK * 4):
+                        q = slice(p, min(p + CHUNK * 4, e))
+                        yield block.ask(keys[q], vectors[q]).batch(keys[q])
+        if heap:
+            block = close()
+        if block is not None:
+            yield block.best.batch(block.keys)
 
     return run
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float = -1.0, dim: int = 64, margin: float | None = 0.12, max_probes: int = 16, every_query: int = 1) -> DataFrame:
+def _fit_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells below each root from its sample rows, which come together."""
+    for root, vectors in _by_root(batches):
+        fitted = fit_centroids(vectors, max(1, round(len(vectors) / SAMPLE_PER_CELL)))
+        shown = np.bincount(_nearest_center(vectors, fitted), minlength=len(fitted))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fitted), root, np.int32)), pa.array(shown.astype(np.int64)), _binary(fitted)], names=["root", "shown", "center"])
+
+
+def _by_root(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    at, heap = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        roots = b.column("root").to_numpy(zero_copy_only=False)
+        rows = _vectors(b.column("v"), len(b.column("v")[0].as_py()) // 3)
+        edges = np.flatnonzero(np.diff(roots)) + 1
+        for s, e in zip([0, *edges], [*edges, len(roots)]):
+            if roots[s] != at and heap:
+                yield at, np.concatenate(heap)
+                heap = []
+            at = int(roots[s])
+            heap.append(rows[s:e].copy())
+    if heap:
+        yield at, np.concatenate(heap)
+
+
+def _fit_tree(rows: DataFrame, total: int, cells: int, dim: int) -> Tree:
+    """Fitted on rows drawn by a digest of their keys: ``SAMPLE_PER_CELL`` a cell, of which the driver gets those of one level and the centers."""
+    lot = F.pmod(F.xxhash64("k"), F.lit(1 << 30))
+
+    def draw(want: int, *columns) -> DataFrame:
+        return rows.where(lot < int(min(1.0, 1.3 * want / max(total, 1)) * (1 << 30))).select("v", *columns)
+
+    one = cells <= ONE_LEVEL
+    want = SAMPLE_PER_CELL * (cells if one else int(np.ceil(np.sqrt(cells))))
+    drawn = draw(want, lot.alias("lot")).orderBy("lot").limit(want).toArrow()
+    sample = _vectors(drawn["v"], dim) if drawn.num_rows else np.zeros((1, dim), np.float32)
+    fitted = fit_centroids(sample, cells if one else want // SAMPLE_PER_CELL)
+    if one:
+        shown = np.bincount(_nearest_center(sample, fitted), minlength=len(fitted)) / max(len(sample), 1)
+        roots, first = fitted[:1], np.array([0, len(fitted)])
+    else:
+        held = rows.sparkSession.sparkContext.broadcast(fitted)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(_nearest_center(_vectors(b.column(0), dim), held.value).astype(np.int32)), b.column(0)], names=["root", "v"])
+
+        placed = draw(SAMPLE_PER_CELL * cells).mapInArrow(place, "root int, v binary").repartition("root").sortWithinPartitions("root", "v")
+        got = placed.mapInArrow(_fit_leaves, "root int, shown long, center binary").toArrow()
+        order = np.argsort(got["root"].to_numpy(), kind="stable")
+        root, shown = got["root"].to_numpy()[order], got["shown"].to_numpy()[order]
+        present = np.unique(root)
+        roots, first = fitted[present], np.append(np.searchsorted(root, present), len(root))
+        fitted, shown = _bytes(got["center"], 4 * dim).view(np.float32)[order], shown / max(shown.sum(), 1)
+    return Tree(roots, first, fitted, np.maximum(1, np.ceil(shown * total / BLOCK_ROWS)).astype(np.int64))
+
+
+def _copies_limit(total: int, k: int) -> int:
+    """A vector with more exact copies than this is searched once; so there are at most a million of such vectors, which are broadcast."""
+    return max(16, k + 1, -(-total // 1_000_000))
+
+
+def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float = -1.0, dim: int = 64, margin: float | None = 0.1, inner: float | None = 0.12, max_probes: int = 16, every_query: int = 1) -> DataFrame:
     """``(a, b, similarity, rank)``: for each row ``a`` whose key is divisible by ``every_query`` its ``k`` most similar rows of at least ``least``.
 
-    ``margin`` suits searches with a high ``least``; with ``None`` each query goes to its
-    ``max_probes`` nearest cells.
+    ``margin`` holds for cells, ``inner`` for the small cells in them; both suit searches
+    of all rows.  With ``None`` as ``margin`` each query goes to its ``max_probes``
+    nearest cells and, in each, to as many small cells.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "knn")
-    stored = scratch.save(df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<float>")).mapInArrow(_prepare(dim), "k long, g1 long, g2 long, v binary"), "stored")
-    copies = stored.groupBy("g1", "g2").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = scratch.save(copies, "copies")
-    grouped = stored.select("k", "g1", "g2").join(copies, ["g1", "g2"]).select("k", "rep", "n")
-    members = grouped.withColumn("rn", F.row_number().over(Window.partitionBy("rep").orderBy("k"))).where(f"rn <= {k + 1}")
-    members = scratch.save(members, "members")
-    # rows that a smaller key stands for are not searched
-    doubles = grouped.where("k <> rep").select(F.col("k").alias("double"))
-    single = stored.select("k", "v").join(doubles, F.col("k") == F.col("double"), "left_anti")
-
-    total = stored.count()
-    cells = int(max(1, min(MAX_CELLS, 1 << max(0, round(np.log2(max(total, 1) / ROWS_PER_CELL))))))
-    want = SAMPLE_PER_CELL * cells
-    lot = F.pmod(F.xxhash64("k"), F.lit(1 << 30))
-    drawn = stored.where(lot < int(min(1.0, 1.3 * want / max(total, 1)) * (1 << 30))).select("v", lot.alias("lot")).orderBy("lot").limit(want).toArrow()
-    sample = _unpack(_bytes(drawn["v"], 4 + 2 * dim)) if drawn.num_rows else np.zeros((1, dim), np.float32)
-    fitted = fit_centroids(sample, cells)
-    shown = np.bincount(np.concatenate([np.argmax(p @ fitted.T - 0.5 * (fitted**2).sum(axis=1), axis=1) for p in np.array_split(sample, max(1, len(sample) // 4096))]), minlength=len(fitted))
-    blocks = np.maximum(1, np.ceil(shown * (total / max(len(sample), 1)) / BLOCK_ROWS)).astype(np.int64)
-    centers, splits = spark.sparkContext.broadcast(fitted), spark.sparkContext.broadcast(blocks)  # at most MAX_CELLS rows
+    slim = df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<float>"))
+    marks = scratch.save(slim.mapInArrow(_prepare(dim, False), "k long, g1 long, g2 long"), "marks")
+    total = marks.count()
+    hot = marks.groupBy("g1", "g2").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n")).where(F.col("n") > _copies_limit(total, k)).drop("n")
+    hot = scratch.save(hot, "hot")  # at most a million rows
+    members = scratch.save(marks.join(F.broadcast(hot), ["g1", "g2"]).select("k", "rep"), "members")
+    prepared = slim.mapInArrow(_prepare(dim, True), "k long, g1 long, g2 long, v binary")
+    single = prepared.join(F.broadcast(hot), ["g1", "g2"], "left").where("rep is null or k = rep")
+    rows = single.select(F.when(F.col("k") % every_query == 0, 0).otherwise(1).alias("role"), "k", "v")
+    both = every_query == 1
+    cells = max(1, -(-total // CELL_ROWS))
     turn = rotation(dim)
 
-    asks = F.col("k") % every_query == 0
-    if every_query > 1:  # a row that stands for others asks for them
-        standing = copies.select(F.col("rep").alias("standing"))
-        single, asks = single.join(standing, F.col("k") == F.col("standing"), "left"), asks | F.col("standing").isNotNull()
-    sent = single.select("k", "v", asks.alias("asks")).mapInArrow(_assign(centers, splits, turn, margin, max_probes), "cell int, block int, role int, k long, v binary")
-    placed = sent.repartition("cell", "block").sortWithinPartitions("cell", "block", F.col("role") == 2)
-    hits = scratch.save(placed.mapInArrow(_search(centers, turn, k, least), "a long, b long, s double"), "hits")
-
-    # put copies back: on the side of the neighbour, then on the side of the row that asks
-    m = members.select(F.col("rep").alias("m_rep"), F.col("k").alias("m_k"), F.col("n").alias("m_n"))
-    wide = hits.join(m.select("m_rep", "m_k"), F.col("b") == F.col("m_rep"), "left").select("a", F.coalesce("m_k", "b").alias("b"), "s")
-    wide = wide.join(m, F.col("a") == F.col("m_rep"), "left").where(f"m_n is null or m_n <= {k}").select(F.coalesce("m_k", "a").alias("a"), "b", "s")
-    first = members.select(F.col("rep").alias("f_rep"), F.col("k").alias("f_k"))
-    among = grouped.join(first, (F.col("rep") == F.col("f_rep")) & (F.col("k") != F.col("f_k"))).select(F.col("k").alias("a"), F.col("f_k").alias("b"), F.lit(1.0).alias("s"))
-    best = Window.partitionBy("a").orderBy(F.desc("s"), "b")
-    ranked = wide.unionByName(among).where(f"a % {every_query} = 0").withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}")
+    def hits_of(part: DataFrame, held: int, label: str) -> DataFrame:
+        tree = spark.sparkContext.broadcast(_fit_tree(part, held, max(1, -(-held // CELL_ROWS)), dim))  # at most about MAX_CELLS rows
+        sent = part.select("role", "k", "v").mapInArrow(_route(tree, margin, max_probes), _ROUTED)
+        placed = sent.repartition("cell", "block").sortWithinPartitions("cell", "block", F.col("role") == 2)
+        return scratch.save(placed.mapInArrow(_search(turn, k, least, None if margin is None else inner, max_probes, both), "a long, b long, s double"), f"hits{label}")
+
+    if cells <= MAX_CELLS:
+        hits = hits_of(rows, total, "")
+    else:
+        tree = _fit_tree(rows, total, -(-2 * cells // MAX_CELLS), dim)
+        tree.blocks[:] = 1
+        routed = rows.mapInArrow(_route(spark.sparkContext.broadcast(tree), margin, max_probes), _ROUTED)
+        path = f"{scratch.path}/regions"
+        routed.write.partitionBy("cell").parquet(path)
+        found = []
+        for cell in range(len(tree.centers)):
+            part = spark.read.schema("block int, role int, k long, v binary, cell int").parquet(path).where(F.col("cell") == cell)
+            held = part.where("role <> 2").count()
+            if held:
+                found.append(hits_of(part, held, str(cell)))
+        hits = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "a long, b long, s double")
+
+    # put the hot copies back: the first of them beside the rows that found their group, and beside each other
+    first = members.withColumn("rn", F.row_number().over(Window.partitionBy("rep").orderBy("k"))).where(f"rn <= {k + 1}")
+    first = scratch.save(first.select(F.col("rep").alias("f_rep"), F.col("k").alias("f_k")), "first")
+    asking = hits.join(F.broadcast(hot.select(F.col("rep").alias("h_rep"))), F.col("a") == F.col("h_rep"), "left_anti")
+    wide = asking.join(first, F.col("b") == F.col("f_rep"), "left").select("a", F.coalesce("f_k", "b").alias("b"), "s")
+    among = members.join(first, (F.col("rep") == F.col("f_rep")) & (F.col("k") != F.col("f_k"))).select(F.col("k").alias("a"), F.col("f_k").alias("b"), F.lit(1.0).alias("s"))
+    every = wide.unionByName(among).where(f"a % {every_query} = 0")
+    once = every.repartition("a").groupBy("a", "b").agg(F.max("s").alias("s"))
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).where(f"rank <= {k}")
     return ranked.select("a", "b", F.col("s").alias("similarity"), "rank")
 
 

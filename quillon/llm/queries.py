@@ -32,7 +32,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_search(spark: SparkSession, sf: str) -> DataFrame:
     """The five most similar rows, however similar, of each row whose id is divisible by 20."""
-    found = knn.nearest(table(spark, sf, "embedding_result"), "vec_id", "vector", k=5, margin=None, max_probes=24, every_query=20)
+    found = knn.nearest(table(spark, sf, "embedding_result"), "vec_id", "vector", k=5, margin=None, max_probes=8, every_query=20)
     return found.select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour"), "similarity", "rank")
 
 

@@ -27,7 +27,7 @@ def exact(v, k=5, least=-2.0):
 
 
 def test_recall_of_pairs(spark, clustered, monkeypatch):
-    monkeypatch.setattr(knn, "ROWS_PER_CELL", 60)  # several cells on a small table
+    monkeypatch.setattr(knn, "CELL_ROWS", 60)  # several cells on a small table
     monkeypatch.setattr(knn, "BLOCK_ROWS", 100)  # and several blocks of a cell
     truth = exact(clustered, least=0.9)
     got = {tuple(r) for r in knn.similar_pairs(table(spark, clustered), "vec_id", "vector").collect()}
@@ -87,9 +87,44 @@ def test_empty_table(spark):
 
 def test_pairs_across_cell_borders(spark, monkeypatch):
     """Rows that form no clusters: most pairs lie near a border, many near several."""
-    monkeypatch.setattr(knn, "ROWS_PER_CELL", 60)
+    monkeypatch.setattr(knn, "CELL_ROWS", 60)
     rng = np.random.default_rng(5)
     v = rng.standard_normal((3000, 8)) @ rng.standard_normal((8, 64)) + 0.2 * rng.standard_normal((3000, 64))
     truth = exact(v, least=0.9)
     got = {tuple(r) for r in knn.similar_pairs(table(spark, v), "vec_id", "vector").collect()}
     assert len(got & truth) >= 0.93 * len(truth)
+
+
+@pytest.mark.parametrize("limits", [{"ONE_LEVEL": 4}, {"MAX_CELLS": 4}])
+def test_many_cells_go_below_roots_and_into_regions(spark, clustered, monkeypatch, limits):
+    monkeypatch.setattr(knn, "CELL_ROWS", 60)
+    for name, value in limits.items():
+        monkeypatch.setattr(knn, name, value)
+    truth = exact(clustered, least=0.9)
+    got = {tuple(r) for r in knn.similar_pairs(table(spark, clustered), "vec_id", "vector").collect()}
+    assert len(got & truth) >= 0.95 * len(truth) and len(got - truth) <= 0.02 * len(truth) + 2
+
+
+def test_a_third_of_all_rows_are_copies(spark):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((90, 64))
+    v[30:60] = v[0]
+    got = {}
+    for r in knn.nearest(table(spark, v), "vec_id", "vector", margin=None).collect():
+        got.setdefault(r.a, []).append(r)
+    assert all(len(x) == 5 for x in got.values()) and len(got) == 90
+    assert {r.b for r in got[45]} == {0, 30, 31, 32, 33} and {r.b for r in got[0]} == {30, 31, 32, 33, 34}
+
+
+def test_best_partners_keep_ties_by_key_and_no_repeats():
+    best = knn._Best(2, 3)
+    best.add(np.array([0, 0, 0]), np.array([9, 4, 9]), np.array([0.5, 0.5, 0.5], np.float32))
+    best.add(np.array([0, 0, 1]), np.array([1, 4, 7]), np.array([0.5, 0.5, 0.9], np.float32))
+    assert best.keys.tolist() == [[1, 4, 9], [7, -1, -1]]
+    assert best.floor(np.array([0, 1]), 0.2).tolist() == pytest.approx([0.5, 0.2])
+
+
+def test_packed_numbers_keep_24_bits():
+    u = np.random.default_rng(6).uniform(-1, 1, (50, 64))
+    u[0], u[1] = 1.0, -1.0
+    assert np.abs(knn._unpack(knn._pack(u)) - u).max() < 1.3e-7
