@@ -60,7 +60,7 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return sentence_column(table(spark, sf, "documents"), "doc_id", "text")
+    return sentence_column(table(spark, sf, "documents"), "doc_id", "text", "lang")
 
 
 QUERIES = {"p8_found": p8_found, "p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_search": p2_search, "p7_mix": p7_mix, "p7_shares": p7_shares, "p5_found": p5_found, "p5_titles": p5_titles, "p6_ids": p6_ids}

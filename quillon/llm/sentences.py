@@ -1,9 +1,10 @@
 """Sentence boundaries across languages and scripts.
 
-The rules follow the standard sentence-break properties: terminators of all scripts
-(full stops that may be ambiguous, and those that always end), closing quotes and
-brackets that belong to the end, and no break where a lower-case letter or a
-continuing sign follows.  They are extended by suppression lists of abbreviations, by
+The rules follow the standard property Sentence_Break, whose values are taken from the
+``regex`` module: terminators of all scripts (STerm, which always end, and ATerm, full
+stops that may be ambiguous), closing quotes and brackets that belong to the end
+(Close), and no break where a lower-case letter or a continuing sign (SContinue)
+follows.  They are extended by suppression lists of abbreviations for each language, by
 labels at the head of a line, by brackets and quotations whose inside is not cut, by
 the blanks of Thai and Lao, and by lines: a paragraph's, heading's, item's or table
 row's end always breaks, a line end that merely wraps running text does not.
@@ -23,51 +24,65 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField, StructType
 
-#: Abbreviations by what may follow their period.  Titles and the like never end a sentence;
-TITLES = frozenset(
-    "tm tl kt tuq uq pgs gs ts ths ks bs ls cn gs.ts pgs.ts ts.bs ths.bs nxb "
-    "mr mrs ms dr prof hon rev gen col capt sgt lt messrs "
-    "mm mme mmes mlle mgr me pr "
-    "cf e.g i.e viz vs v al art arts sec secs reg regs no nos vol vols pp ch chap fig figs para paras cl ed eds approx ref "
-    "c.-à-d p.ex n n° sect ann".split()
-)
+#: Abbreviations by what may follow their period, and by language where they are words in another.
+#: Before a name, in any language, and between parts of a sentence: they never end one;
+COMMON = frozenset("mr mrs ms dr prof capt sgt lt messrs cf e.g i.e viz vs v approx mm mme mmes mlle mgr c.-à-d p.ex n°".split())
+#: before a name, in one language, never ending a sentence there;
+TITLES = {
+    "vi": frozenset("tm tl kt tuq uq pgs gs ts ths ks bs ls cn gs.ts pgs.ts ts.bs ths.bs nxb".split()),
+    "en": frozenset("hon rev gen col".split()),
+    "fr": frozenset("me pr".split()),
+}
+#: before a number or an index letter, in one language, or in any if they begin with a capital: they end a sentence if a word follows.
+REFERENCES = {
+    "en": frozenset("al art arts sec secs reg regs no nos vol vols pp ch chap fig figs para paras cl ed eds ref".split()),
+    "fr": frozenset("al art arts sect ann n no nos vol pp ch chap fig".split()),
+    "vi": frozenset(),
+}
+_SOME_LANGUAGE = frozenset().union(*TITLES.values(), *REFERENCES.values())
+_SOME_REFERENCE = frozenset().union(*REFERENCES.values())
+#: Words by which a language is told.
+FUNCTION_WORDS = {
+    "en": "the of and to is was are he she it his her we they this that with by for shall not under from",
+    "fr": "le la les de des du et est un une en dans par sur pour il elle ce cette que qui ne pas au aux",
+    "vi": "và của các được có là trong cho theo tại này không khi về những một với đã người phải",
+}
+_TOLD = {lang: re.compile(rf"\b(?:{'|'.join(words.split())})\b", re.IGNORECASE) for lang, words in FUNCTION_WORDS.items()}
 PERSONS = frozenset("ông bà anh chị".split())
-#: those before place names end one only if a sentence, not a name, follows;
+ALL_TITLES = COMMON.union(PERSONS, *TITLES.values(), *REFERENCES.values())
+#: Those before place names end one only if a sentence, not a name, follows;
 PLACES = frozenset("tp tx tt h q p x t đ d kp st ave rd".split())
 #: those at the end of a list, time or company name end one if a capital follows.
 CLOSING = frozenset("v.v vv etc a.m p.m co ltd inc corp jr sr s.a cie bros".split())
+INDEX = re.compile(r"\d|[IVXLC]+\b|[^\W\d_]\b|§")
 
-#: Terminators, openers with their closers, and signs after which the sentence goes on.
-#: All of Sentence_Break=STerm but ! and ?, which have rules of their own, and the Tibetan shad;
-ALWAYS = (
-    "\u0589\u061d\u061e\u061f\u06d4\u0700\u0701\u0702\u07f9\u0837\u0839\u083d\u083e\u0964"
-    "\u0965\u0f0d\u104a\u104b\u1362\u1367\u1368\u166e\u1735\u1736\u17d4\u17d5\u1803\u1809"
-    "\u1944\u1945\u1aa8\u1aa9\u1aaa\u1aab\u1b4e\u1b4f\u1b5a\u1b5b\u1b5e\u1b5f\u1b7d\u1b7e"
-    "\u1b7f\u1c3b\u1c3c\u1c7e\u1c7f\u203c\u203d\u2047\u2048\u2049\u2cf9\u2cfa\u2cfb\u2e2e"
-    "\u2e3c\u2e53\u2e54\u2e60\u2e61\u3002\ua4ff\ua60e\ua60f\ua6f3\ua6f7\ua876\ua877\ua8ce"
-    "\ua8cf\ua92f\ua9c8\ua9c9\uaa5d\uaa5e\uaa5f\uaaf0\uaaf1\uabeb\ufe12\ufe15\ufe16\ufe56"
-    "\ufe57\uff01\uff1f\uff61\U00010a56\U00010a57\U00010f55\U00010f56\U00010f57\U00010f58\U00010f59\U00010f86\U00010f87\U00010f88"
-    "\U00010f89\U00011047\U00011048\U000110be\U000110bf\U000110c0\U000110c1\U00011141\U00011142\U00011143\U000111c5\U000111c6\U000111cd\U000111de"
-    "\U000111df\U00011238\U00011239\U0001123b\U0001123c\U000112a9\U000113d4\U000113d5\U0001144b\U0001144c\U000115c2\U000115c3\U000115c9\U000115ca"
-    "\U000115cb\U000115cc\U000115cd\U000115ce\U000115cf\U000115d0\U000115d1\U000115d2\U000115d3\U000115d4\U000115d5\U000115d6\U000115d7\U00011641"
-    "\U00011642\U0001173c\U0001173d\U0001173e\U00011944\U00011946\U00011a42\U00011a43\U00011a9b\U00011a9c\U00011c41\U00011c42\U00011ef7\U00011ef8"
-    "\U00011f43\U00011f44\U00016a6e\U00016a6f\U00016af5\U00016b37\U00016b38\U00016b44\U00016d6e\U00016d6f\U00016e98\U0001bc9f\U0001da88"
-)
-#: Sentence_Break=ATerm but the full stop.
-WIDE_STOPS = "\u2024\ufe52\uff0e"
-OPENERS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "「": "」", "『": "』", "（": "）", "【": "】", "〈": "〉", "《": "》", "„": "“", "‹": "›"}
-CLOSERS = frozenset(OPENERS.values()) | {"’", "'", "›"}
-#: With Sentence_Break=SContinue, but for dashes, which may open an item or a speech.
-GOES_ON = frozenset(",;:%)]}»”’、，；：）」』】》/=|&\u037e\u055d\u060c\u060d\u07f8\u1802\u1808\ufe10\ufe11\ufe13\ufe14\ufe50\ufe51\ufe54\ufe55\uff64")
+
+def _with(sentence_break: str) -> frozenset[str]:
+    """All characters with a value of the property Sentence_Break."""
+    return frozenset(regex.findall(rf"\p{{Sentence_Break={sentence_break}}}", "".join(map(chr, range(0x110000)))))
+
+
+#: Terminators that always end, but ! and ?, which have rules of their own, with the Tibetan shad; and full stops that may be ambiguous, but the period.
+ALWAYS = _with("STerm") - set("!?") | {"\u0f0d"}
+WIDE_STOPS = _with("ATerm") - {"."}
+_CLOSE = _with("Close")
+#: Brackets by rule: the closing one follows the opening one, or is the next but one; quotation marks that open and close are fixed values.
+OPENERS = {c: chr(ord(c) + step) for step in (2, 1) for c in _CLOSE if unicodedata.category(c) == "Ps" and unicodedata.category(chr(ord(c) + step)) == "Pe"}
+OPENERS |= {"“": "”", "«": "»", "„": "“", "‹": "›"}
+CLOSERS = frozenset(OPENERS.values()) | {"'"} | {c for c in _CLOSE if unicodedata.category(c) in ("Pe", "Pf")}
+#: Signs after which the sentence goes on: with Sentence_Break=SContinue, but for dashes, which may open an item or a speech; closing signs; and some symbols.
+GOES_ON = {c for c in _with("SContinue") if unicodedata.category(c) != "Pd"} | {c for c in CLOSERS if c not in "'“"} | set(";%、；/=|&\u037e")
 _OPEN_CLASS = re.escape("".join(OPENERS))
-_CLOSE_CLASS = re.escape("".join(c for c in set(OPENERS.values())))
+_CLOSE_CLASS = re.escape("".join(set(OPENERS.values())))
+_END_CLASS = re.escape("".join(ALWAYS | WIDE_STOPS))
 _THAI = "\u0e01-\u0e3a\u0e40-\u0e4e"
 _LAO = "\u0e81-\u0ebd\u0ec0-\u0ecd\u0edc-\u0edf"
 
-EVENT = re.compile(rf'[{_OPEN_CLASS}]|[{_CLOSE_CLASS}]|"|[.!?…{WIDE_STOPS}{ALWAYS}]+|(?<=[{_THAI}])[^\S\r\n]+(?=[{_THAI}])|(?<=[{_LAO}])[^\S\r\n]+(?=[{_LAO}])')
+EVENT = re.compile(rf'[{_OPEN_CLASS}]|[{_CLOSE_CLASS}]|"|[.!?…{_END_CLASS}]+|(?<=[{_THAI}])[^\S\r\n]+(?=[{_THAI}])|(?<=[{_LAO}])[^\S\r\n]+(?=[{_LAO}])')
 LINE = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 #: What may stand at the head of a line before the text that it belongs to.
 LABEL = re.compile(
@@ -178,7 +193,29 @@ def _hard_breaks(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _period_ends(text: str, start: int, i: int, after: int, following: int, end: int) -> bool:
+class _Language:
+    """The language of a stretch of text, told by its function words, else by those of the whole text; looked up only when a word needs it."""
+
+    def __init__(self, text: str, named: str | None):
+        self.text, self.named, self.whole = text, named, ""
+        self.at, self.here = (-1, -1), ""
+
+    def of(self, start: int, end: int) -> str:
+        if self.at != (start, end):
+            self.at, self.here = (start, end), self._told(self.text[start:end], 2)
+        if not self.here and not self.whole:
+            self.whole = self._told(self.text, 1) or (self.named if self.named in TITLES else "") or "en"
+        return self.here or self.whole
+
+    @staticmethod
+    def _told(text: str, least: int) -> str:
+        text = _nfc(text)
+        counts = {lang: sum(1 for _ in p.finditer(text)) for lang, p in _TOLD.items()}
+        best = max(counts, key=counts.get)
+        return best if counts[best] >= least and sorted(counts.values())[-2] < counts[best] else ""
+
+
+def _period_ends(language: _Language, stretch: tuple[int, int], text: str, start: int, i: int, after: int, following: int, end: int) -> bool:
     """Whether a single period at ``i`` ends the sentence; ``following`` is the next character that is not white."""
     c = text[following]
     word = WORD_BEFORE.search(text, max(start, i - 40), i)[0]
@@ -186,13 +223,14 @@ def _period_ends(text: str, start: int, i: int, after: int, following: int, end:
     if "’" in bare:
         bare = bare.rpartition("’")[2]
     last = word[-1:]
+    titles = COMMON | TITLES[language.of(*stretch)] if bare in _SOME_LANGUAGE else COMMON
     if following == after:  # no blank
         if "/" in word or "_" in word or "@" in word or not c.isalpha():
-            return c in OPENERS and last.islower() and bare not in TITLES and len(bare) > 2
+            return c in OPENERS and last.islower() and bare not in titles and len(bare) > 2
         if c.isupper():
             stem = bare.rpartition(".")[2]
-            return last.islower() and len(stem) > 1 and bare not in TITLES and bare not in PLACES and stem not in TITLES and bare not in CLOSING
-        return not c.islower() and last.isalpha() and last.islower() and len(bare) > 2 and bare not in TITLES and unicodedata.category(c) == "Lo"
+            return last.islower() and len(stem) > 1 and bare not in titles and bare not in PLACES and stem not in titles and bare not in CLOSING
+        return not c.islower() and last.isalpha() and last.islower() and len(bare) > 2 and bare not in titles and unicodedata.category(c) == "Lo"
     if "ก" <= last <= "ໟ":
         return False
     first = _first_letter(text, following, end)
@@ -203,7 +241,9 @@ def _period_ends(text: str, start: int, i: int, after: int, following: int, end:
     if i - start < 40 and LABEL.fullmatch(_nfc(text[start : i + 1])):
         return False
     initial = last.isupper() and bool(INITIALS.fullmatch(bare))
-    if bare in TITLES and not initial:
+    if bare in titles and not initial:
+        return False
+    if bare in _SOME_REFERENCE and not initial and INDEX.match(text, following) and (word[0].isupper() or bare in REFERENCES[language.of(*stretch)]):
         return False
     if bare in CLOSING and not initial:
         if first.isdigit():
@@ -219,15 +259,25 @@ def _period_ends(text: str, start: int, i: int, after: int, following: int, end:
         if two and two[2] and two[2][0].isupper():  # a name, unless one that speaks begins a sentence
             speaks = SPEAKS.match(_nfc(text[two.end() : two.end() + 24]))
             return bool(speaks and before and before[-1].islower())
-        if initial and (len(bare) > 1 or before and before[-1].rstrip(".").lower() in TITLES | PERSONS):
+        if initial and (len(bare) > 1 or before and before[-1].rstrip(".").lower() in ALL_TITLES):
             return False
         return True
     return True
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """``(start, end)`` of each sentence."""
+def sentences(text: str, lang: str | None = None) -> list[tuple[int, int]]:
+    """``(start, end)`` of each sentence; ``lang`` counts where the text does not show its language."""
     out: list[tuple[int, int]] = []
+    language = _Language(text, lang)
+    places: dict[str, int] = {}
+
+    def follows(sign: str, j: int, end: int) -> bool:
+        """Whether ``sign`` comes before ``end``; its last place found is kept, so all searches together read the text once."""
+        at = places.get(sign, -1)
+        if at < j:
+            at = text.find(sign, j)
+            places[sign] = at = len(text) if at < 0 else at
+        return at < end
 
     def put(s: int, e: int) -> None:
         while s < e and text[s].isspace():
@@ -249,7 +299,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
                 if stack and stack[-1] == '"':
                     c = "close"
                     stack.pop()
-                elif text.find('"', j, end) >= 0:
+                elif follows('"', j, end):
                     stack.append('"')
                     continue
                 else:
@@ -258,7 +308,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
                 stack.pop()
                 c = "close"
             elif c in OPENERS:
-                if text.find(OPENERS[c], j, end) >= 0:
+                if follows(OPENERS[c], j, end):
                     stack.append(OPENERS[c])
                 continue
             elif c in CLOSERS:
@@ -320,7 +370,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
                     continue
                 ends = not _first_letter(text, nxt, end).islower()
             elif mark == ".":
-                ends = _period_ends(text, at, i, j, nxt, end)
+                ends = _period_ends(language, (start, end), text, at, i, j, nxt, end)
             elif mark[0] == "…" or set(mark) == {"."}:
                 first = _first_letter(text, nxt, end)
                 ends = first.isupper() or (first.isdigit() and _counted(text, nxt)) or (bool(first) and unicodedata.category(first) == "Lo")
@@ -336,19 +386,20 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out if any(ch.isalnum() for ch in text) else []
 
 
-def sentence_column(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, start_pos, end_pos)``: one row for each sentence of each row."""
+def sentence_column(df: DataFrame, key: str, text: str, lang: str | None = None) -> DataFrame:
+    """``(key, start_pos, end_pos)``: one row for each sentence of each row; ``lang`` is a column that may name the language."""
     schema = StructType([df.schema[key], StructField("start_pos", LongType()), StructField("end_pos", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, starts, ends = [], [], []
+            named = b.column(2).to_pylist() if lang else [None] * b.num_rows
             for r, value in enumerate(b.column(1).to_pylist()):
                 if value:
-                    found = sentences(value)
+                    found = sentences(value, named[r])
                     rows += [r] * len(found)
                     starts += [s for s, _ in found]
                     ends += [e for _, e in found]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=[key, "start_pos", "end_pos"])
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(key, text, *([lang] if lang else [])).mapInArrow(run, schema)

@@ -90,3 +90,42 @@ def test_terminators_are_the_property():
             assert c in ALWAYS or c in "!?"
         elif regex.match(r"\p{Sentence_Break=ATerm}", c):
             assert c in WIDE_STOPS or c == "."
+
+
+def test_scripts_with_their_own_terminators():
+    assert cut("ሰላም ነው። እንዴት ነህ።") == ["ሰላም ነው።", "እንዴት ነህ።"]
+    assert cut("Բարեւ ձեզ։ Ինչպես եք։") == ["Բարեւ ձեզ։", "Ինչպես եք։"]
+    assert cut("これは本です．あれはペンです．") == ["これは本です．", "あれはペンです．"]
+
+
+@pytest.mark.parametrize(
+    "case",
+    [
+        ["He said no.", "Then he left."],
+        ["Come with me.", "We will go."],
+        ["This is modern art.", "Many like it."],
+        ["See No. 5 and Art. 12 of the Act.", "It is in force."],
+        ["Selon Me. Dupont, la loi est là.", "Il part."],
+        ["Khách ăn no.", "Họ đã về."],
+        ["Gen. Smith was in the hall.", "The clerk left."],
+    ],
+)
+def test_abbreviations_belong_to_a_language(case):
+    assert cut(" ".join(case)) == case
+
+
+def test_language_is_told_by_the_stretch_then_the_text_then_the_column():
+    assert sentences("Voir Me. Dupont.", "fr") == [(0, 16)]
+    assert cut("Tờ trình của sở và xã.\nHe was in the col. Then he left it.") == ["Tờ trình của sở và xã.", "He was in the col. Then he left it."]
+
+
+def test_brackets_of_all_scripts_hold_their_inside():
+    assert cut("Bản này ⟨Bên A ký. Bên B ký.⟩ có giá trị. Xong.") == ["Bản này ⟨Bên A ký. Bên B ký.⟩ có giá trị.", "Xong."]
+
+
+def test_many_open_brackets_are_read_once():
+    import time
+
+    began = time.time()
+    sentences("(“«[" * 50_000)
+    assert time.time() - began < 10
