@@ -308,27 +308,31 @@ class _Block:
         if low == high:
             return
         rows, k, center = slice(low, high), self.k, self.centers[c]
-        dim = q.shape[1]
-        signs = np.unpackbits(self.codes[rows], axis=1, count=dim).astype(np.float32) * 2 - 1
+        signs = np.unpackbits(self.codes[rows], axis=1, count=q.shape[1]).astype(np.float32) * 2 - 1
+        # estimate and bound of all pairs in one product: code, part of the visitor alone, part of the base row alone, width of the bound
         shifted = q[at] - center
         length = np.sqrt(np.einsum("ij,ij->i", shifted, shifted))
-        estimate = (turned[at] - center @ self.turn) @ signs.T
-        estimate *= self.weight[rows]
-        estimate += self.fixed[rows]
-        estimate += (q[at] @ center)[:, None]
-        width = length[:, None] * self.width[rows]
+        one = np.ones(max(len(at), high - low), np.float32)
+        asks = np.column_stack((turned[at] - center @ self.turn, q[at] @ center, one[: len(at)], length))
+        held = np.column_stack((signs * self.weight[rows, None], one[: high - low], self.fixed[rows], self.width[rows]))
+        upper = asks @ held.T
         mine, theirs = best.floor(places[at], self.least), self.best.floor(rows, self.least)
-        lower = estimate - width
-        estimate += width
-        if estimate.shape[1] > k + 1:  # k + 1: the row itself may be among them
-            mine = np.maximum(mine, np.partition(lower, estimate.shape[1] - k - 1, axis=1)[:, estimate.shape[1] - k - 1])
-        hit = estimate >= mine[:, None]
+        hit = upper >= mine[:, None]
         if self.both:
-            if len(at) > k + 1:
-                theirs = np.maximum(theirs, np.partition(lower, len(at) - k - 1, axis=0)[len(at) - k - 1])
-            hit |= estimate >= theirs
-        hit &= keys[at][:, None] != self.keys[rows]
+            hit |= upper >= theirs
+        if np.count_nonzero(hit) > 8 * k * len(at):  # many: the k-th best lower bounds of either side spare most
+            held[:, -1] *= -1
+            lower = asks @ held.T
+            if high - low > k + 1:  # k + 1: the row itself may be among them
+                mine = np.maximum(mine, np.partition(lower, high - low - k - 1, axis=1)[:, high - low - k - 1])
+            hit = upper >= mine[:, None]
+            if self.both:
+                if len(at) > k + 1:
+                    theirs = np.maximum(theirs, np.partition(lower, len(at) - k - 1, axis=0)[len(at) - k - 1])
+                hit |= upper >= theirs
         i, j = np.nonzero(hit)
+        other = keys[at[i]] != self.keys[low + j]
+        i, j = i[other], j[other]
         sims = np.concatenate([np.einsum("ij,ij->i", q[at[i[s : s + 200_000]]], self.x[low + j[s : s + 200_000]]) for s in range(0, max(len(i), 1), 200_000)])
         enough = sims >= self.least
         i, j, sims = at[i[enough]], j[enough] + low, sims[enough]
