@@ -475,9 +475,10 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float = -1.
     turn = rotation(dim)
 
     def hits_of(part: DataFrame, held: int, label: str) -> DataFrame:
-        tree = spark.sparkContext.broadcast(_fit_tree(part, held, max(1, -(-held // CELL_ROWS)), dim))  # at most about MAX_CELLS rows
-        sent = part.select("role", "k", "v").mapInArrow(_route(tree, margin, max_probes), _ROUTED)
-        placed = sent.repartition("cell", "block").sortWithinPartitions("cell", "block", F.col("role") == 2)
+        tree = _fit_tree(part, held, max(1, -(-held // CELL_ROWS)), dim)
+        tasks = 2 * int(tree.blocks.sum())  # a task holds few cells, however many there are
+        sent = part.select("role", "k", "v").mapInArrow(_route(spark.sparkContext.broadcast(tree), margin, max_probes), _ROUTED)  # at most about MAX_CELLS rows
+        placed = sent.repartition(tasks, "cell", "block").sortWithinPartitions("cell", "block", F.col("role") == 2)
         return scratch.save(placed.mapInArrow(_search(turn, k, least, None if margin is None else inner, max_probes, both), "a long, b long, s double"), f"hits{label}")
 
     if cells <= MAX_CELLS:
