@@ -9,6 +9,10 @@ accents, the same digits and the same punctuation, whatever their width, composi
 or script.  Letter case, the vowel that carries the tone, d and đ, dash and hyphen stay
 different.
 
+Look-alike letters are those of the public confusables data, read from the ICU library
+that Spark brings along, by rule: a cased letter of another script whose skeleton is
+that of a Latin letter of the same case.
+
 Defined results: a null text has a null form, an empty or blank one the empty form.
 Rows are independent.  Extra columns are not looked at.
 """
@@ -19,13 +23,13 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from quillon.session import Scratch
 
-#: Letters of other scripts and the Latin letters that they look like, in pairs.
+#: Letters of other scripts and the Latin letters that they look like, in pairs; they hold before the confusables data.
 LOOK_ALIKES = (
     # Cyrillic capitals, small letters
     "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ҮY ԚQ ԜW ѴV "
@@ -47,7 +51,23 @@ INVISIBLE = r"[\x{0}-\x{8}\x{E}-\x{1F}\x{7F}-\x{84}\x{86}-\x{9F}\x{AD}\x{34F}\x{
 BLANKS = r"[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
-def _tables() -> tuple[dict[str, str], dict[str, str]]:
+_CONFUSABLE: dict[str, str] = {}
+
+
+def confusables(spark: SparkSession) -> dict[str, str]:
+    """Cased letters of other scripts and the Latin letters with their skeleton; about 200 letters, looked up once."""
+    if not _CONFUSABLE:
+        icu = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker
+        checker = icu.Builder().build()
+        skeletons = lambda letters: checker.getSkeleton("\n".join(letters)).split("\n")
+        latin = [c for c in map(chr, range(128)) if c.isalpha()]
+        shown = {(s, c.isupper()): c for s, c in zip(skeletons(latin), latin)}
+        others = [c for c in map(chr, [*range(0x370, 0xD800), *range(0xE000, 0x1D400)]) if unicodedata.category(c) in ("Lu", "Ll") and unicodedata.normalize("NFKD", c) == c and not unicodedata.name(c, "LATIN").startswith("LATIN")]
+        _CONFUSABLE.update({c: shown[s, c.isupper()] for s, c in zip(skeletons(others), others) if (s, c.isupper()) in shown})
+    return _CONFUSABLE
+
+
+def _tables(more: dict[str, str]) -> tuple[dict[str, str], dict[str, str]]:
     """Characters that are replaced by one other, and by several: the compatibility blocks by rule, look-alikes with their composed forms, signs."""
     one: dict[str, str] = {}
     many = dict(SPELLED)
@@ -56,7 +76,7 @@ def _tables() -> tuple[dict[str, str], dict[str, str]]:
             to = unicodedata.normalize("NFKC", c)
             if len(to) == 1 and to != c and not to.isspace():
                 one[c] = to
-    one |= {pair[0]: pair[1] for pair in LOOK_ALIKES.split()}
+    one |= more | {pair[0]: pair[1] for pair in LOOK_ALIKES.split()}
     one |= {c: sign for characters, sign in SIGNS for c in characters if c != sign}
     for c in map(chr, [*range(0x370, 0x590), *range(0x1F00, 0x2000)]):
         parts = unicodedata.normalize("NFD", c)
@@ -77,9 +97,9 @@ def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def canonical_sql(column: str) -> str:
-    """The SQL expression of the canonical form; also the expression of the SQL twin."""
-    one, many = _tables()
+def canonical_sql(column: str, more: dict[str, str]) -> str:
+    """The SQL expression of the canonical form; ``more`` are look-alike letters beside the fixed ones."""
+    one, many = _tables(more)
     source, target = "".join(sorted(one)), "".join(one[c] for c in sorted(one))
     expr = f"nfc_normalize(regexp_replace({column}, {_quote(INVISIBLE)}, '', 'g'))"
     expr = f"translate({expr}, {_quote(source)}, {_quote(target)})"
@@ -122,14 +142,14 @@ def canonical_column(df: DataFrame, key: str, text: str, out: str = "canonical")
     """``(key, out)``: the canonical form of every row's text."""
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
     schema = StructType([StructField(key, df.schema[key].dataType), StructField(out, StringType())])
-    return rows.mapInArrow(_mapper(f"k, {canonical_sql('t')} FROM batch", [key, out]), schema)
+    return rows.mapInArrow(_mapper(f"k, {canonical_sql('t', confusables(df.sparkSession))} FROM batch", [key, out]), schema)
 
 
 def canonical_digests(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, form, stored)``: digests of the canonical form and of the text as stored; blank texts have no row."""
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null and t <> ''")
     schema = StructType([StructField(key, df.schema[key].dataType), StructField("form", BinaryType()), StructField("stored", BinaryType())])
-    select = f"k, unhex(md5(c)) AS form, unhex(md5(t)) AS stored FROM (SELECT k, t, {canonical_sql('t')} AS c FROM batch) WHERE c <> ''"
+    select = f"k, unhex(md5(c)) AS form, unhex(md5(t)) AS stored FROM (SELECT k, t, {canonical_sql('t', confusables(df.sparkSession))} AS c FROM batch) WHERE c <> ''"
     return rows.mapInArrow(_mapper(select, [key, "form", "stored"]), schema)
 
 
@@ -143,15 +163,20 @@ def alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
 def alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key_a, key_b)``: rows whose texts differ as stored but have one canonical form, the smaller key first.
 
-    Only forms with several stored texts come to the join; whether a form has several
-    is decided by aggregates (least and greatest digest) that are formed before the
-    shuffle.  A hot form's rows are spread by the adaptive skew join.  The pairs are the
-    result asked for; for a compact one take :func:`alike_classes`.
+    Whether a form has several stored texts is decided by aggregates (least and greatest
+    digest) that are formed before the shuffle; only rows of such forms go on.  What is
+    joined are the stored texts of a form, each once; a pair of those is then expanded
+    to its rows, so the work is that of the pairs that come out, however many rows are
+    stored alike.  The rows of a hot text are spread by the adaptive skew join.  The pairs
+    are the result asked for; for a compact one take :func:`alike_classes`.
     """
     scratch = Scratch(df.sparkSession, "canonical")
     digests = scratch.save(canonical_digests(df, key, text).withColumnRenamed(key, "k"), "digests")
     mixed = digests.groupBy("form").agg(F.min("stored").alias("low"), F.max("stored").alias("high")).where("low <> high").select("form")
-    rows = digests.join(mixed, "form", "left_semi")
-    other = rows.select(F.col("form").alias("o_form"), F.col("stored").alias("o_stored"), F.col("k").alias("o_k"))
-    hit = (F.col("form") == F.col("o_form")) & (F.col("k") < F.col("o_k")) & (F.col("stored") != F.col("o_stored"))
-    return rows.join(other, hit).select(F.col("k").alias("key_a"), F.col("o_k").alias("key_b"))
+    rows = scratch.save(digests.join(mixed, "form", "left_semi"), "rows")
+    classes = scratch.save(rows.select("form", "stored").distinct(), "classes")
+    other = classes.select(F.col("form").alias("o_form"), F.col("stored").alias("b"))
+    pairs = classes.join(other, (F.col("form") == F.col("o_form")) & (F.col("stored") < F.col("b"))).select(F.col("stored").alias("a"), "b")
+    first = pairs.join(rows.select(F.col("stored").alias("a"), F.col("k").alias("k_a")), "a").select("b", "k_a")
+    both = first.join(rows.select(F.col("stored").alias("b"), F.col("k").alias("k_b")), "b")
+    return both.select(F.least("k_a", "k_b").alias("key_a"), F.greatest("k_a", "k_b").alias("key_b"))

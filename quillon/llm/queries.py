@@ -47,6 +47,10 @@ def p5_titles(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.canonical_column(table(spark, sf, "document_metadata"), "meta_id", "ten_van_ban")
 
 
+def p5_contents(spark: SparkSession, sf: str) -> DataFrame:
+    return canonical.canonical_column(table(spark, sf, "document_node"), "node_key", "content")
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_column(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -63,13 +67,35 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentence_column(table(spark, sf, "documents"), "doc_id", "text", "lang")
 
 
-QUERIES = {"p8_found": p8_found, "p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_search": p2_search, "p7_mix": p7_mix, "p7_shares": p7_shares, "p5_found": p5_found, "p5_titles": p5_titles, "p6_ids": p6_ids}
+QUERIES = {"p8_found": p8_found, "p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_search": p2_search, "p7_mix": p7_mix, "p7_shares": p7_shares, "p5_found": p5_found, "p5_titles": p5_titles, "p5_contents": p5_contents, "p6_ids": p6_ids}
+
+# The twin of problem 5 goes its own way: text by text into characters, each looked up in a short list or moved by its block, and put together again.
+_FOLD = (
+    "CASE WHEN ord(c) BETWEEN 65281 AND 65374 THEN chr(ord(c) - 65248) WHEN ord(c) BETWEEN 8544 AND 8555 THEN list_extract(['I','II','III','IV','V','VI','VII','VIII','IX','X','XI','XII'], ord(c) - 8543) "
+    "WHEN ord(c) BETWEEN 8560 AND 8571 THEN list_extract(['i','ii','iii','iv','v','vi','vii','viii','ix','x','xi','xii'], ord(c) - 8559) "
+    "WHEN c IN ('\u2010', '\u2011') THEN '-' WHEN c = '\u2026' THEN '...' WHEN c IN ('Ð', 'Ɖ') THEN 'Đ' "
+    "WHEN ord(c) IN (173, 847, 8288, 65279) OR ord(c) BETWEEN 8203 AND 8207 OR ord(c) BETWEEN 8234 AND 8238 THEN '' "
+    "WHEN ord(c) IN (9, 10, 11, 12, 13, 32, 133, 160, 5760, 8232, 8233, 8239, 8287, 12288) OR ord(c) BETWEEN 8192 AND 8202 THEN ' ' "
+    + " ".join(f"WHEN c = '{x}' THEN '{y}'" for x, y in [("А", "A"), ("В", "B"), ("Е", "E"), ("К", "K"), ("М", "M"), ("Н", "H"), ("О", "O"), ("Р", "P"), ("С", "C"), ("Т", "T"), ("У", "Y"), ("Х", "X"), ("Ѕ", "S"), ("І", "I"), ("Ј", "J"), ("а", "a"), ("е", "e"), ("о", "o"), ("р", "p"), ("с", "c"), ("у", "y"), ("х", "x"), ("ѕ", "s"), ("і", "i"), ("ј", "j"), ("һ", "h"), ("ԁ", "d"), ("Α", "A"), ("Β", "B"), ("Ε", "E"), ("Ζ", "Z"), ("Η", "H"), ("Ι", "I"), ("Κ", "K"), ("Μ", "M"), ("Ν", "N"), ("Ο", "O"), ("Ρ", "P"), ("Τ", "T"), ("Υ", "Y"), ("Χ", "X"), ("ο", "o"), ("ν", "v"), ("α", "a"), ("ρ", "p"), ("ι", "i"), ("ɡ", "g"), ("ɑ", "a")])
+    + " ELSE c END"
+)
+
+
+def _shown(t: str, k: str, c: str) -> str:
+    """``(k, s, f)`` of a table: key, text as stored, and as it prints; texts that are composed Latin letters and single blanks alone are taken as they are."""
+    odd = f"FROM {t} WHERE {c} IS NOT NULL AND NOT (regexp_full_match({c}, '[ -~À-ưẠ-ỹ]*') AND NOT contains({c}, '  ') AND nfc_normalize({c}) = {c} AND NOT regexp_matches({c}, '[ÐƉ]'))"
+    return (
+        f"SELECT k, s, trim(regexp_replace(nfc_normalize(list_aggregate(list_transform(regexp_extract_all(s, '(?s).'), lambda c: {_FOLD}), 'string_agg', '')), ' +', ' ', 'g')) AS f FROM (SELECT {k} AS k, {c} AS s {odd})"
+        f" UNION ALL SELECT {k}, {c}, trim({c}) FROM {t} WHERE {c} IS NULL OR {k} NOT IN (SELECT {k} {odd})"
+    )
+
 
-_P5 = "SELECT '{t}' AS tbl, a.k AS key_a, b.k AS key_b FROM (SELECT {k} AS k, {c} AS s, {f} AS f FROM {t}) a JOIN (SELECT {k} AS k, {c} AS s, {f} AS f FROM {t}) b ON a.f = b.f AND a.k < b.k AND a.s <> b.s WHERE a.f <> ''"
+_P5 = "SELECT '{t}' AS tbl, a.k AS key_a, b.k AS key_b FROM ({q}) a JOIN ({q}) b ON a.f = b.f AND a.k < b.k AND a.s <> b.s WHERE a.f <> ''"
 ORACLE = {
     "p1_found": r"""
 SELECT node_key, field, CASE WHEN list_max(list_transform(regexp_split_to_array(v, '[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]'), lambda x: length(x))) > 1200 THEN 'forced' ELSE 'free' END AS cut
 FROM (SELECT node_key, 'content' AS field, content AS v FROM document_node UNION ALL SELECT node_key, 'full_text', full_text FROM document_node) WHERE length(v) > 1200""",
-    "p5_found": " UNION ALL ".join(_P5.format(t=t, k=k, c=c, f=canonical.canonical_sql(c)) for t, k, c in (("document_metadata", "meta_id", "ten_van_ban"), ("document_node", "node_key", "content"))),
-    "p5_titles": f"SELECT meta_id, {canonical.canonical_sql('ten_van_ban')} AS canonical FROM document_metadata",
+    "p5_found": " UNION ALL ".join(_P5.format(t=t, q=_shown(t, k, c)) for t, k, c in (("document_metadata", "meta_id", "ten_van_ban"), ("document_node", "node_key", "content"))),
+    "p5_titles": f"SELECT k AS meta_id, f AS canonical FROM ({_shown('document_metadata', 'meta_id', 'ten_van_ban')})",
+    "p5_contents": f"SELECT k AS node_key, f AS canonical FROM ({_shown('document_node', 'node_key', 'content')})",
 }

@@ -2,7 +2,7 @@ import unicodedata
 
 import pytest
 
-from quillon.llm.canonical import alike_classes, alike_pairs, canonical_column
+from quillon.llm.canonical import alike_classes, alike_pairs, canonical_column, confusables
 
 BASE = "Điều 5. Tổ chức thí điểm, mục VIII"
 ALIKE = [
@@ -55,3 +55,20 @@ def test_pairs_copies_and_extra_columns(spark):
     classes = {(r.first_key, r.copies) for r in alike_classes(df, "node_key", "t").collect()}
     assert classes == {(1, 2), (3, 1), (4, 1)}
     assert alike_pairs(df.where("false"), "node_key", "t").count() == 0
+
+
+def test_look_alikes_of_the_public_data(spark):
+    table = confusables(spark)
+    assert [table[c] for c in "αρυνоᎪⲞ"] == list("apuvoAO")
+    assert all(c.isupper() == to.isupper() for c, to in table.items()) and not {"ı", "ĸ", "ɑ"} & set(table)
+
+
+def test_a_hot_form_costs_what_its_pairs_cost(spark):
+    import time
+
+    n = 80_000
+    df = spark.range(n).selectExpr("id AS k", "if(id = 7, 'ab  c', 'ab c') AS t")
+    alike_pairs(df.limit(100), "k", "t").count()
+    began = time.time()
+    assert alike_pairs(df, "k", "t").count() == n - 1
+    assert time.time() - began < 20
