@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField, StructType
 
 #: Abbreviations by what may follow their period, and by language where they are words in another.
-#: Before a name, in any language, and between parts of a sentence: they never end one;
-COMMON = frozenset("mr mrs ms dr prof capt sgt lt messrs cf e.g i.e viz vs v approx mm mme mmes mlle mgr c.-à-d p.ex n°".split())
+#: Before a name and between parts of a sentence, words in no language: they never end one;
+COMMON = frozenset("mr mrs ms dr prof capt sgt lt messrs cf e.g i.e viz vs v approx mm mme mmes mlle mgr c.-à-d p.ex n° tm tl kt tuq uq pgs gs ts ths ks bs ls cn gs.ts pgs.ts ts.bs ths.bs nxb".split())
 #: before a name, in one language, never ending a sentence there;
 TITLES = {
-    "vi": frozenset("tm tl kt tuq uq pgs gs ts ths ks bs ls cn gs.ts pgs.ts ts.bs ths.bs nxb".split()),
+    "vi": frozenset(),
     "en": frozenset("hon rev gen col".split()),
     "fr": frozenset("me pr".split()),
 }
@@ -43,7 +43,7 @@ REFERENCES = {
     "fr": frozenset("al art arts sect ann n no nos vol pp ch chap fig".split()),
     "vi": frozenset(),
 }
-_SOME_LANGUAGE = frozenset().union(*TITLES.values(), *REFERENCES.values())
+_SOME_TITLE = frozenset().union(*TITLES.values())
 _SOME_REFERENCE = frozenset().union(*REFERENCES.values())
 #: Words by which a language is told.
 FUNCTION_WORDS = {
@@ -223,7 +223,7 @@ def _period_ends(language: _Language, stretch: tuple[int, int], text: str, start
     if "’" in bare:
         bare = bare.rpartition("’")[2]
     last = word[-1:]
-    titles = COMMON | TITLES[language.of(*stretch)] if bare in _SOME_LANGUAGE else COMMON
+    titles = COMMON | TITLES[language.of(*stretch)] if bare in _SOME_TITLE else COMMON
     if following == after:  # no blank
         if "/" in word or "_" in word or "@" in word or not c.isalpha():
             return c in OPENERS and last.islower() and bare not in titles and len(bare) > 2
