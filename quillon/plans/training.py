@@ -9,6 +9,7 @@ from quillon.functions.keys import is_blank, number_key
 from quillon.io import table
 from quillon.operators.hierarchy import Hierarchy
 from quillon.operators.orphans import OrphanState
+from quillon.session import Scratch
 
 #: Time between the two steps in which p4 feeds its state; the result does not depend on it.
 STEP = "2024-01-01 00:00:00"
@@ -43,15 +44,17 @@ def endpoints(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def orphan_state(spark: SparkSession, sf: str) -> OrphanState:
-    refs = endpoints(spark, sf)
-    docs = table(spark, sf, "document_metadata").where(~is_blank(F.col("so_hieu"))).select(F.lit("document_metadata").alias("target_table"), number_key(F.col("so_hieu")).alias("key"), F.col("created_at").alias("seen_at"), F.lit(1).alias("op"))
+    """The state after two advances: rows up to :data:`STEP`, then the later ones and the deletions.  Keys are made once, of columns that both advances read."""
+    scratch = Scratch(spark, "keyed")
+    numbers = lambda t, *more: table(spark, sf, t).where(~is_blank(F.col("so_hieu"))).select(F.lit("document_metadata").alias("target_table"), number_key(F.col("so_hieu")).alias("key"), *more)
+    refs = scratch.save(endpoints(spark, sf), "refs")
+    docs = scratch.save(numbers("document_metadata", F.col("created_at").alias("seen_at"), F.lit(1).alias("op")), "docs")
     nodes = table(spark, sf, "document_node").where("id is not null and id <> ''").select(F.lit("document_node").alias("target_table"), F.col("id").alias("key"), F.col("loaded_at").alias("seen_at"), F.lit(1).alias("op"))
-    legacy = table(spark, sf, "document_legacy").where(~is_blank(F.col("so_hieu"))).select(F.lit("document_metadata").alias("target_table"), number_key(F.col("so_hieu")).alias("key"))
     early = lambda c: F.coalesce(F.col(c) < F.lit(STEP).cast("timestamp_ntz"), F.lit(True))
     parents = docs.unionByName(nodes)
     state = OrphanState(spark)
     state.advance(refs.where(early("created_at")), parents.where(early("seen_at")))
-    return state.advance(refs.where(~early("created_at")), parents.where(~early("seen_at")), legacy)
+    return state.advance(refs.where(~early("created_at")), parents.where(~early("seen_at")), numbers("document_legacy"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -31,13 +31,15 @@ def build_session(app: str = "quillon", master: str | None = None, **conf: str)
 
 
 def _base(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where it is unset, one of our own (tests)."""
+    """The folder of ``spark.checkpoint.dir``; only where it is unset and all tasks run on this machine (tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="quillon-")
     spark.sparkContext.setCheckpointDir(own)
     return own

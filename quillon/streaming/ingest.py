@@ -16,23 +16,20 @@ EVENTS = "kind string, id long, side string, target_table string, key string, at
 def follow_orphans(events: DataFrame, state: OrphanState, checkpoint: str, **trigger) -> StreamingQuery:
     """Advance ``state`` by every micro-batch of :data:`EVENTS`; ``kind`` is reference, parent, removal or deletion.
 
-    The state's tables are the versioned folders of :class:`OrphanState`; a batch that is
-    replayed after a failure must not be applied twice, so its number is remembered.
+    The number of the last batch is part of the state's folder: opened on the same
+    ``path`` after a restart, the state goes on where it was, and a batch that Spark
+    replays is skipped.  Keep the checkpoint and the state's folder together.
     """
-    done = {"batch": -1}
 
     def step(batch: DataFrame, number: int) -> None:
-        if number <= done["batch"]:
-            return
         batch = batch.persist()
         try:
             refs = batch.where("kind = 'reference'").selectExpr("id", "side", "target_table", "key", "at as created_at")
             parents = batch.where("kind in ('parent', 'removal')").selectExpr("target_table", "key", "at as seen_at", "if(kind = 'parent', 1, -1) as op")
             gone = batch.where("kind = 'deletion'").select("target_table", "key")
-            state.advance(refs, parents, gone)
+            state.advance(refs, parents, gone, batch=number)
         finally:
             batch.unpersist()
-        done["batch"] = number
 
     writer = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()

@@ -56,3 +56,50 @@ def test_number_keys(spark):
     assert keys[0] == keys[1] == keys[2] == "3_2017_vbhn_hdlp" and keys[3] != keys[0]
     assert keys[4] is None and keys[6] == keys[7] != keys[8]
     assert [r.b for r in got[4:6]] == [True, True] and not got[0].b
+
+
+def parts(spark, state, name):
+    import glob
+
+    return {int(p.rsplit("/", 1)[1]): spark.read.parquet(p).count() for p in glob.glob(f"{state.path}/{name}/*")}
+
+
+def test_an_advance_writes_only_what_changes(spark, tmp_path):
+    refs = spark.range(5000).selectExpr("id", "'entity_end' AS side", f"'{DOC}' AS target_table", "concat('k', id % 2500) AS key", "timestamp_ntz'2024-01-05' AS created_at")
+    parents = spark.range(2000).selectExpr(f"'{DOC}' AS target_table", "concat('k', id) AS key", "timestamp_ntz'2024-01-01' AS seen_at", "1 AS op")
+    state = OrphanState(spark, path=str(tmp_path / "state")).advance(refs, parents)
+    state.advance(refs.where("id < 50").selectExpr("id + 5000 AS id", "side", "target_table", "key", "created_at"), parents.where("key in ('k1', 'k2')").selectExpr("target_table", "concat('k2', substr(key, 2), '00') AS key", "seen_at", "op"))
+    written, held = parts(spark, state, "refs"), parts(spark, state, "index")
+    assert written[2] < 0.05 * written[1] and held[2] < 0.05 * held[1]
+    assert state.orphans().count() == 1000 - 4 == state.snapshot().agg(F.sum("orphans")).first()[0]
+
+
+def test_opened_again_after_a_crash(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "state")
+    refs = spark.createDataFrame([(1, "entity_end", DOC, "a", T(5)), (2, "entity_end", DOC, "b", T(5)), (2, "entity_end", DOC, "b", T(5))], REFS)
+    OrphanState(spark, path=path).advance(refs, spark.createDataFrame([(DOC, "a", T(1), 1)], PARENTS), batch=0)
+    arrival = spark.createDataFrame([(DOC, "b", T(2), 1)], PARENTS)
+    broken = OrphanState(spark, path=path)
+    with monkeypatch.context() as m:
+        m.setattr(OrphanState, "_commit", lambda *a: 1 / 0)
+        try:
+            broken.advance(parents=arrival, batch=1)
+        except ZeroDivisionError:
+            pass
+    again = OrphanState(spark, path=path)
+    assert again.version == 1 and sorted(r.id for r in again.orphans().collect()) == [2, 2]
+    again.advance(parents=arrival, batch=1)
+    again.advance(parents=spark.createDataFrame([(DOC, "a", T(1), -1)], PARENTS), batch=1)  # a replay
+    assert kinds(OrphanState(spark, path=path)) == {}
+
+
+def test_merged_logs_give_the_same(spark, tmp_path, monkeypatch):
+    from quillon.operators import orphans
+
+    monkeypatch.setattr(orphans, "COMPACT_EVERY", 2)
+    state = OrphanState(spark, path=str(tmp_path / "state"))
+    for day in range(1, 6):
+        state.advance(spark.createDataFrame([(day, "entity_end", DOC, f"k{day}", T(day))], REFS), spark.createDataFrame([(DOC, f"k{day - 1}", T(day), 1)], PARENTS))
+    assert kinds(state) == {1: "late", 2: "late", 3: "late", 4: "late", 5: "missing"} == kinds(OrphanState(spark, path=state.path))
+    assert len(parts(spark, state, "refs")) <= 2
+    assert {(r.kind, r.orphans) for r in state.snapshot().collect()} == {("late", 4), ("missing", 1)}
