@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from quillon.session import Scratch
 
-CELL_ROWS = 16384
+CELL_ROWS = 32768
 SMALL_ROWS = 512
 MAX_CELLS = 16384
 #: Up to so many cells the tree has one level; beyond, a row looks at the cells of its nearest ROOTS roots.
