@@ -18,6 +18,16 @@ def nfc(text: pa.Array) -> pa.Array:
     return pc.utf8_normalize(text, form="NFC")
 
 
+@F.arrow_udf(StringType())
+def _nfkd(text: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(text, form="NFKD")
+
+
+def bare(text: Column) -> Column:
+    """Without combining marks, compatibility forms spelled out; đ stays."""
+    return F.regexp_replace(_nfkd(text), "[\u0300-\u036F\u1AB0-\u1AFF\u1DC0-\u1DFF\u20D0-\u20FF\uFE20-\uFE2F]", "")
+
+
 def is_blank(text: Column) -> Column:
     """True for null, empty and all-white text."""
     return F.coalesce(~text.rlike(f"[^{WHITE_SPACE}]"), F.lit(True))

@@ -64,7 +64,7 @@ _ACCENTED, _PLAIN = (
     "àáảãạăắằẳẵặâấầẩẫậèéẻẽẹêếềểễệìíỉĩịòóỏõọôốồổỗộơớờởỡợùúủũụưứừửữựỳýỷỹỵđ",
     "aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyyd",
 )
-#: Document type patterns in the order in which they are tried.
+#: Document type patterns in the order in which they are tried.
 TYPES = (("NGHỊ ĐỊNH", "nghi_dinh"), ("NGHỊ QUYẾT", "nghi_quyet"), ("THÔNG TƯ LIÊN TỊCH", "thong_tu_lien_tich"), ("THÔNG TƯ", "thong_tu"), ("QUYẾT ĐỊNH", "quyet_dinh"), ("CHỈ THỊ", "chi_thi"), ("BỘ LUẬT", "bo_luat"), ("LUẬT", "luat"))
 #: Numerals.
 NUMERALS = {"nhất": "1", "một": "1", "hai": "2", "ba": "3", "bốn": "4", "tư": "4", "năm": "5", "sáu": "6", "bảy": "7", "tám": "8", "chín": "9", "mười": "10", "i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "x": "10"}
@@ -84,7 +84,7 @@ def _romans(upto: int) -> str:
     return "|".join(sorted((roman(i) for i in range(1, upto + 1)), key=len, reverse=True))
 
 
-#: Heading patterns in the order in which they are tried: type, pattern; group 1 is the index.
+#: Heading patterns in the order in which they are tried: type, pattern; group 1 is the index.
 HEADINGS = (
     ("phu_luc", rf"(?i)^phụ{WHITE}+lục{WHITE}+(i{{1,3}}|[a-zđ]|\d+)?(?:{WHITE}*[.:)]|$)"),
     ("muc_luc", rf"(?i)^mục{WHITE}+lục(?:{WHITE}*[.:)]|$)()"),
@@ -171,8 +171,9 @@ def slug_sql(text: str) -> str:
     return f"regexp_replace(lower(regexp_replace(regexp_replace({text}, {quote(WHITE + '+')}, '', 'g'), '[^a-zA-Z0-9đĐ-]+', '_', 'g')), '^_+|_+$', '', 'g')"
 
 
-NUMBER_LABELS = "|".join(f"{a}{WHITE}+{b}{WHITE}+số" for a, b in (("nghị", "định"), ("thông", "tư"), ("nghị", "quyết"), ("quyết", "định"), ("chỉ", "thị"))) + f"|luật{WHITE}+số|số"
-#: Where a document's own number stands: pattern and the length of the head in which it is looked for.
+#: Labels before a document's number.
+NUMBER_LABELS = r"nghị\s+định\s+số|thông\s+tư\s+số|nghị\s+quyết\s+số|quyết\s+định\s+số|chỉ\s+thị\s+số|luật\s+số|số".replace(r"\s", WHITE)
+#: Where a document's own number stands: pattern and the length of the head in which it is looked for.
 NUMBERS = (
     (rf"(?i)số{WHITE}*[:-]?{WHITE}*(\d+{WHITE}*/{WHITE}*vbhn{WHITE}*[-–‑]{WHITE}*vpqh)", 1000),
     (rf"(?i){LEFT}(\d+{WHITE}*/{WHITE}*vbhn{WHITE}*[-–‑]{WHITE}*vpqh){RIGHT}", 1000),
@@ -258,6 +259,31 @@ def shorten(text: Column, most: int) -> Column:
     return F.when(F.char_length(flat) > most, F.concat(F.left(flat, F.lit(most - 3)), F.lit("..."))).otherwise(flat)
 
 
+def word_windows(text: Column, limit: int = 2000, size: int = 1900, overlap: int = 200) -> Column:
+    """Texts of more than ``limit`` words as windows of ``size`` words that overlap; others whole."""
+    words = F.filter(F.split(text, WHITE + "+"), lambda w: w != "")
+    step = size - overlap
+    cut = lambda every: F.transform(F.sequence(F.lit(0), F.ceil((F.size(every) - overlap) / step).cast("int") - 1), lambda i: F.array_join(F.slice(every, i * step + 1, F.lit(size)), " "))
+    windows = lambda every: F.when(F.size(every) > limit, cut(every)).otherwise(F.array(text))
+    return F.element_at(F.transform(F.array(words), windows), 1)
+
+
+_LISTED = r"(?:[0-9]{1,3}[a-zđ]?|[a-zđ]{1,2})(?:\.[0-9]{1,3})*"
+
+
+def listed(word: str, text: Column) -> Column:
+    """Indexes listed after a word: ``khoản 1, 2 và 3`` gives 1, 2, 3."""
+    pattern = rf"(?iuUd)\b{word}\s+({_LISTED}(?:\s*,\s*{_LISTED})*(?:\s+và\s+{_LISTED})?)(?=[\s,;)]|$)"
+    lists = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    return F.filter(F.flatten(F.transform(lists, lambda x: F.split(x, r"(?iuUd)\s*,\s*|\s+và\s+"))), lambda x: x != "")
+
+
+def listed_sql(word: str, text: str) -> str:
+    items = f"{_LISTED}(?:{WHITE}*,{WHITE}*{_LISTED})*(?:{WHITE}+và{WHITE}+{_LISTED})?"
+    lists = f"regexp_extract_all({text}, '(?i){LEFT}{word}{WHITE}+({items})(?:{WHITE}|[,;)]|$)', 1)"
+    return f"list_filter(flatten(list_transform({lists}, lambda x: regexp_split_to_array(x, '(?i){WHITE}*,{WHITE}*|{WHITE}+và{WHITE}+'))), lambda x: x <> '')"
+
+
 def sliding_chunks(text: Column, size: int, stride: int) -> Column:
     """Windows of ``size`` code points every ``stride``; the last one ends at the text's end."""
     n = F.greatest(F.lit(1), F.ceil((F.char_length(text) - size) / stride).cast("int") + 1)

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions import citations as C
 from quillon.functions import legal as L
+from quillon.functions import metadata as M
 from quillon.functions import text as T
+from quillon.functions.keys import bare
 from quillon.io import spread, table
 from quillon.operators import search, titles
 
@@ -16,19 +19,28 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def extract_title(spark: SparkSession, sf: str) -> DataFrame:
-    return L.per_text(_docs(spark, sf), "doc_id", "text", L.extract_title, "title", "string")
+    return _docs(spark, sf).select("doc_id", M.title(F.col("text")).alias("title"))
 
 
 def effective_date(spark: SparkSession, sf: str) -> DataFrame:
-    return L.per_text(_docs(spark, sf), "doc_id", "text", L.effective_date, "in_force", "string")
+    return _docs(spark, sf).select("doc_id", M.effective_date(F.col("text")).alias("in_force"))
+
+
+def issue_date(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select("doc_id", M.issue_date(F.col("text")).alias("issued"))
+
+
+def agency_of_text(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select("doc_id", M.agency(F.col("text")).alias("agency"))
 
 
 def normalize_vn(spark: SparkSession, sf: str) -> DataFrame:
-    return L.per_text(table(spark, sf, "document_metadata"), "meta_id", "ten_van_ban", L.normalize_name, "name", "string")
+    m = table(spark, sf, "document_metadata").where("ten_van_ban is not null")
+    return m.select("meta_id", T.apply(F.lower(bare(F.col("ten_van_ban"))), [(T.WHITE + "+", " "), *T.STRIP]).alias("name"))
 
 
 def list_items(spark: SparkSession, sf: str) -> DataFrame:
-    return L.per_text(_docs(spark, sf), "doc_id", "text", lambda t: L.list_items("khoản", t), "clauses", "array<string>")
+    return _docs(spark, sf).select("doc_id", F.array_join(T.listed("khoản", F.col("text")), "|").alias("clauses"))
 
 
 def self_refs(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,7 +57,7 @@ def _context(node_id: str) -> dict[str, str]:
 
 def _self(both: str) -> list[str]:
     node_id, text = both.split("\u0001", 1)
-    return L.self_refs(text, _context(node_id))
+    return C.self_refs(text, _context(node_id))
 
 
 def extract_refs(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,7 +70,7 @@ def extract_refs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _refs(both: str) -> list[str]:
     node_id, text = both.split("\u0001", 1)
-    return L.extract_refs(text, _context(node_id))
+    return C.extract_refs(text, _context(node_id))
 
 
 def parse_tree(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,5 +120,29 @@ def resolve_title(spark: SparkSession, sf: str) -> DataFrame:
     return ranked.select("asked", "meta_id", "so_hieu", "ratio")
 
 
-QUERIES = {f.__name__: f for f in (extract_title, effective_date, normalize_vn, list_items, self_refs, extract_refs, parse_tree, safe_json, html_to_text, fuzzy_ratio, doc_metadata_search, resolve_title)} | {"greedy_pack": _pieces(L.greedy_pack), "fixed_chunks": _pieces(L.fixed_chunks), "oversize_split": _pieces(L.oversize_split)}
-ORACLE: dict[str, str] = {}
+def oversize_split(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = _docs(spark, sf).select("doc_id", F.posexplode(T.word_windows(F.col("text"), 100, 90, 20)).alias("piece_no", "piece"))
+    return pieces.select("doc_id", "piece_no", F.md5("piece").alias("digest"))
+
+
+QUERIES = {f.__name__: f for f in (extract_title, effective_date, issue_date, agency_of_text, normalize_vn, list_items, self_refs, extract_refs, parse_tree, safe_json, html_to_text, fuzzy_ratio, doc_metadata_search, resolve_title, oversize_split)} | {"greedy_pack": _pieces(L.greedy_pack), "fixed_chunks": _pieces(L.fixed_chunks)}
+_DOCS = "documents WHERE text IS NOT NULL"
+_SPLIT = f"list_filter(regexp_split_to_array(text, '{T.WHITE}+'), lambda w: w <> '')"
+_PACKED = f"""
+WITH RECURSIVE p AS (SELECT doc_id, string_split(regexp_replace({T.apply_sql('text', T.STRIP)}, '([.!?;]){T.WHITE}+', '\\1' || chr(1), 'g'), chr(1)) AS a FROM {_DOCS}),
+s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos, s, len(list_filter(regexp_split_to_array(s, '{T.WHITE}+'), lambda w: w <> '')) AS n FROM (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS s FROM p) WHERE s <> ''),
+walk(doc_id, pos, chunk, held) AS (
+  SELECT doc_id, pos, 0, n FROM s WHERE pos = 1
+  UNION ALL SELECT s.doc_id, s.pos, CASE WHEN w.held + s.n > 200 THEN w.chunk + 1 ELSE w.chunk END, CASE WHEN w.held + s.n > 200 THEN s.n ELSE w.held + s.n END FROM walk w JOIN s ON s.doc_id = w.doc_id AND s.pos = w.pos + 1)
+SELECT w.doc_id, CAST(w.chunk AS INT) AS piece_no, string_agg(s.s, ' ' ORDER BY s.pos) AS piece FROM walk w JOIN s ON s.doc_id = w.doc_id AND s.pos = w.pos GROUP BY 1, 2"""
+ORACLE: dict[str, str] = {
+    "extract_title": f"SELECT doc_id, {M.title_sql('text')} AS title FROM {_DOCS}",
+    "effective_date": f"SELECT doc_id, {M.effective_date_sql('text')} AS in_force FROM {_DOCS}",
+    "issue_date": f"SELECT doc_id, {M.issue_date_sql('text')} AS issued FROM {_DOCS}",
+    "agency_of_text": f"SELECT doc_id, {M.agency_sql('text')} AS agency FROM {_DOCS}",
+    "normalize_vn": f"SELECT meta_id, coalesce(trim(regexp_replace(lower(strip_accents(list_aggregate(list_transform(regexp_extract_all(ten_van_ban, '(?s).'), lambda c: CASE WHEN ord(c) BETWEEN 65281 AND 65374 THEN chr(ord(c) - 65248) WHEN ord(c) BETWEEN 8544 AND 8555 THEN list_extract(['i','ii','iii','iv','v','vi','vii','viii','ix','x','xi','xii'], ord(c) - 8543) WHEN c = '‑' THEN '‐' ELSE c END), 'string_agg', ''))), '{T.WHITE}+', ' ', 'g')), '') AS name FROM document_metadata WHERE ten_van_ban IS NOT NULL",
+    "list_items": f"SELECT doc_id, coalesce(array_to_string({T.listed_sql('khoản', 'text')}, '|'), '') AS clauses FROM {_DOCS}",
+    "safe_json": "SELECT event_id, CAST(json(props) AS VARCHAR) AS json FROM events",
+    "greedy_pack": _PACKED,
+    "oversize_split": f"SELECT doc_id, CAST(i AS INT) AS piece_no, md5(CASE WHEN len(w) > 100 THEN array_to_string(list_slice(w, i * 70 + 1, i * 70 + 90), ' ') ELSE text END) AS digest FROM (SELECT doc_id, text, w, unnest(range(CASE WHEN len(w) > 100 THEN CAST(ceil((len(w) - 20) / 70.0) AS BIGINT) ELSE 1 END)) AS i FROM (SELECT doc_id, text, {_SPLIT} AS w FROM {_DOCS}))",
+}

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import ids, legal, vectors
+from quillon.functions import metadata as M
 from quillon.functions import text as T
 from quillon.operators import search, store
 from quillon.plans import clients
@@ -28,12 +29,14 @@ BRANCHES = {"LEGAL_QUERY": "legal_query", "GENERAL": "general", "DOC_RELATION":
 
 
 def document_metadata(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Number, type and article count read off each text, one select over the cleaned text, with title and dates beside them."""
+    """Number, type, title, agency, dates and article count read off each text: one select over the cleaned text."""
     clean = docs.where(F.col(text).isNotNull()).select(key, T.apply(F.col(text), T.CLEAN).alias("clean"))
-    plain = clean.select(key, T.document_number(F.col("clean")).alias("so_hieu"), T.document_type(F.col("clean")).alias("loai"), F.regexp_count("clean", F.lit(rf"(?d)(?m)^{T.WHITE}*Điều{T.WHITE}+\d+[a-zA-Z]?\.")).alias("so_dieu"))
-    titles = legal.per_text(clean, key, "clean", legal.extract_title, "ten_van_ban", "string").withColumnRenamed(key, "_t")
-    dates = legal.per_text(clean, key, "clean", legal.effective_date, "ngay_co_hieu_luc", "string").withColumnRenamed(key, "_d")
-    return plain.join(titles, F.col(key) == F.col("_t")).join(dates, F.col(key) == F.col("_d")).drop("_t", "_d")
+    c = F.col("clean")
+    articles = F.regexp_count("clean", F.lit(rf"(?d)(?m)^{T.WHITE}*Điều{T.WHITE}+\d+[a-zA-Z]?\."))
+    return clean.select(
+        key, T.document_number(c).alias("so_hieu"), M.title(c).alias("ten_van_ban"), T.document_type(c).alias("loai"), M.agency(c).alias("co_quan_ban_hanh"),
+        M.issue_date(c).alias("ngay_ban_hanh"), M.effective_date(c).alias("ngay_co_hieu_luc"), articles.alias("so_dieu"),
+    )
 
 
 def chunk_documents(docs: DataFrame, document: str, text: str) -> DataFrame:

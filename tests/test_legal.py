@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import ids
+from quillon.functions import citations as C
 from quillon.functions import legal as L
+from quillon.functions import metadata as M
 from quillon.functions import text as T
 from quillon.operators import search, store
 
@@ -72,22 +74,59 @@ def test_heading_in_both_engines(spark, line, expected):
 def test_document_heads(spark):
     df = spark.createDataFrame([("Số: 135/VBHN-VPQH\nLuật",), ("Luật số: 91/2015/QH14 về",), ("theo 12/2022/NĐ-CP nay",), ("không có",), (None,)], "t string")
     assert [r.x for r in df.select(T.document_number(F.col("t")).alias("x")).collect()] == ["135_vbhn-vpqh", "91_2015_qh14", "12_2022_nđ-cp", "", ""]
-    assert L.extract_title("QUỐC HỘI\nBỘ LUẬT\nDÂN SỰ\nCăn cứ Hiến pháp") == "BỘ LUẬT DÂN SỰ"
-    assert L.extract_title("không tên") == "" == L.extract_title("")
-    assert L.effective_date("Điều 9. Hiệu lực thi hành\nLuật này có hiệu lực thi hành từ ngày 1 tháng 7 năm 2016.") == "01/07/2016"
-    assert L.effective_date("ngày 2 tháng 3 năm 2015; có hiệu lực kể từ ngày ký") == "02/03/2015" and L.effective_date("x") == ""
+    titled = spark.createDataFrame([("QUỐC HỘI\nBỘ LUẬT\n---\nDÂN SỰ\nCăn cứ Hiến pháp",), ("không tên",), ("",), (None,), ("LUẬT\n" + "\n".join("abcdef"),)], "t string")
+    assert [r.x for r in titled.select(M.title(F.col("t")).alias("x")).collect()] == ["BỘ LUẬT DÂN SỰ", "", "", None, "LUẬT a b c d"]
+
+
+def test_agency_and_dates(spark):
+    texts = [
+        "BỘ TÀI CHÍNH\nHà Nội, ngày 2 tháng 3 năm 2015\nĐiều 9. Hiệu lực thi hành\nLuật này có hiệu lực thi hành từ ngày 1 tháng 7 năm 2016.",
+        "Hà Nội, ngày 2 tháng 3 năm 2015; có hiệu lực kể từ ngày ký",
+        "được Quốc hội thông qua ngày 5 tháng 6 năm 2014; " + "x" * 5000 + " áp dụng từ ngày 1 tháng 1 năm 2017",
+        "áp dụng từ ngày 1 tháng 1 năm 2011\nĐiều 8. Tổ chức thực hiện\nkhông\nĐiều 9. Điều khoản thi hành\nhiệu lực từ ngày 9 tháng 9 năm 2019",
+        "có hiệu lực kể từ ngày ký",
+        "",
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = df.select(M.agency(F.col("t")).alias("a"), M.issue_date(F.col("t")).alias("i"), M.effective_date(F.col("t")).alias("e"), "k").orderBy("k").collect()
+    assert [r.a for r in got] == ["Bộ Tài Chính", "", "Quốc Hội", "", "", "", None]
+    assert [r.i for r in got] == ["02/03/2015", "02/03/2015", "05/06/2014", "01/01/2011", "", "", None]
+    assert [r.e for r in got] == ["01/07/2016", "02/03/2015", "01/01/2017", "09/09/2019", "", "", None]
 
 
 def test_citations():
-    assert L.list_items("khoản", "các khoản 1, 2 và 3 Điều 5") == ["1", "2", "3"]
+    assert C.list_items("khoản", "các khoản 1, 2 và 3 Điều 5") == ["1", "2", "3"]
     own = {"luat_id": "nay", "dieu_id": "nay.dieu_2"}
-    assert L.extract_refs("theo khoản 1, khoản 2 Điều 5 Luật này", own) == ["nay.dieu_5.khoan_1", "nay.dieu_5.khoan_2", "nay"]
-    assert L.extract_refs("điểm a, b khoản 1 Điều 4 của Nghị định số 12/2022/NQ-CP", own) == ["12_2022_nq-cp.dieu_4.khoan_1.diem_a", "12_2022_nq-cp.dieu_4.khoan_1.diem_b"]
-    assert L.extract_refs("từ Điều 3 đến Điều 5", own)[:3] == ["nay.dieu_3", "nay.dieu_4", "nay.dieu_5"]
-    assert "nay.dieu_9" not in L.extract_refs("từ Điều 9 đến Điều 3", {"luat_id": "x"})
-    assert L.extract_refs("khoản 2 và điểm c", own) == ["nay.dieu_2.diem_c"]
-    assert L.extract_refs("", own) == []
-    assert L.self_refs("Điều này và thời điểm này", {"dieu_id": "a.dieu_1", "diem_id": "a.dieu_1.diem_b"}) == ["a.dieu_1"]
+    assert C.extract_refs("theo khoản 1, khoản 2 Điều 5 Luật này", own) == ["nay.dieu_5.khoan_1", "nay.dieu_5.khoan_2", "nay"]
+    assert C.extract_refs("điểm a, b khoản 1 Điều 4 của Nghị định số 12/2022/NQ-CP", own) == ["12_2022_nq-cp.dieu_4.khoan_1.diem_a", "12_2022_nq-cp.dieu_4.khoan_1.diem_b"]
+    assert C.extract_refs("từ Điều 3 đến Điều 5", own)[:3] == ["nay.dieu_3", "nay.dieu_4", "nay.dieu_5"]
+    assert "nay.dieu_9" not in C.extract_refs("từ Điều 9 đến Điều 3", {"luat_id": "x"})
+    assert C.extract_refs("khoản 2 và điểm c", own) == ["nay.dieu_2.diem_c"]
+    assert C.extract_refs("", own) == []
+    assert C.self_refs("Điều này và thời điểm này", {"dieu_id": "a.dieu_1", "diem_id": "a.dieu_1.diem_b"}) == ["a.dieu_1"]
+
+
+def test_tokens_join_what_waits_to_the_article_that_follows():
+    assert C.extract_refs("từ khoản 1 đến khoản 3 Điều 5 của Luật Đất đai.", {}) == [f"luat_dat_dai.dieu_5.khoan_{i}" for i in (1, 2, 3)]
+    assert C.extract_refs("khoản 1 Điều 5 và khoản 2 Điều 6 Nghị định số 12/2022/NĐ-CP", {}) == ["12_2022_nd-cp.dieu_5.khoan_1", "12_2022_nd-cp.dieu_6.khoan_2"]
+    assert C.extract_refs("mục 2 chương III Thông tư số 5/2020/TT-BTC", {}) == ["5_2020_tt-btc.chuong_iii", "5_2020_tt-btc.chuong_iii.muc_2"]
+    assert C.extract_refs("theo Luật Đất đai, điểm a khoản này", {"dieu_id": "a.dieu_1", "khoan_id": "a.dieu_1.khoan_2"}) == ["a.dieu_1.khoan_2.diem_a"]
+    assert C.extract_refs("Chương này và danh mục này", {"chuong_id": "a.chuong_i", "muc_id": "a.muc_1", "luat_id": "a"}) == ["a.chuong_i"]
+    assert C.extract_refs("Điều 7 của Luật Giá, Điều 8 của Luật Phí.", {}) == ["luat_gia.dieu_7", "luat_phi.dieu_8"]
+
+
+def test_references_of_a_model():
+    item = {"raw_text": "khoản 2 Điều 5 Luật Giá", "ref_doc_name": "Luật Giá 2012", "target_ids": {"dieu": "5", "khoan": "2", "diem": "none"}, "confidence": "0.9"}
+    assert C.model_reference(item)["ref_id"] == "luat_gia_2012.dieu_5.khoan_2" and C.model_reference(item)["confidence"] == 0.9
+    whole = {"raw_text": "Thông tư số 45/2017/TT-BTC", "ref_doc_id": "45/2017/TT-BTC", "target_ids": {"dieu": "45"}}
+    assert C.model_reference(whole)["ref_id"] == "45_2017_tt-btc"
+    own = {"raw_text": "Điều 3 Luật này", "is_self_ref": True, "target_ids": {"dieu": "3.1", "chuong": "2015_x"}}
+    assert C.model_reference(own, {"luat_id": "91_2015_qh13"})["ref_id"] == "91_2015_qh13.dieu_3_1"
+    assert C.model_reference(own) is None and C.model_reference({"ref_doc_id": "108"}) is None and C.model_reference({"ref_doc_id": "dieu_4"}) is None
+    assert C.is_junk("4.dieu_4.khoan_3") and not C.is_junk("bblds_2015.dieu_1") and C.is_junk(None)
+    assert C.cites_whole_document("Nghị định này") and not C.cites_whole_document("Điều 5 Nghị định này") and not C.cites_whole_document(None)
+    assert len(C.merged_candidates(["x" * 2000, "y" * 2000])) == 3000
 
 
 def test_model_output():
