@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators import store
+
 #: Display labels of section types.
 LABELS = {"phan": "Phần", "chuong": "Chương", "muc": "Mục", "dieu": "Điều", "khoan": "Khoản", "diem": "Điểm", "tap": "Tập", "phu_luc": "Phụ lục"}
 DECODED = ("phan", "chuong", "muc", "dieu", "khoan", "diem", "tap")
@@ -63,3 +65,11 @@ def number_repeats(rows: DataFrame, key: list[str], chunk_id: str, *order: str)
     """The second and later occurrences of an id get ``.1``, ``.2`` ...; adds ``unique_id``."""
     at = F.row_number().over(Window.partitionBy(*key, chunk_id).orderBy(*order)) - 1
     return rows.withColumn("unique_id", F.when(at > 0, F.concat(F.col(chunk_id), F.lit("."), at.cast("string"))).otherwise(F.col(chunk_id)))
+
+
+def batch_numbers(rows: DataFrame, batch: str, chunk_id: str, order: str) -> DataFrame:
+    """The second and later occurrences of an id in a batch get ``.batch.K``, K counting such occurrences over the whole batch in the order of the integer key ``order``; adds ``unique_id``."""
+    at = F.row_number().over(Window.partitionBy(batch, chunk_id).orderBy(order))
+    marked = rows.withColumn("_again", at > 1)
+    numbered = store.ordinal(marked.where("_again"), batch, order, "_k").withColumn("unique_id", F.concat(F.col(chunk_id), F.lit(".batch."), F.col("_k").cast("string"))).drop("_k", "_again")
+    return marked.where(~F.col("_again")).withColumn("unique_id", F.col(chunk_id)).drop("_again").unionByName(numbered)

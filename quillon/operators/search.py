@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from quillon.functions.ids import ancestors, base_chunk_id
 from quillon.functions.vectors import METRICS
@@ -11,8 +16,8 @@ from quillon.functions.vectors import METRICS
 #: Section types that hold text of their own; the default filter of a search.
 LEAF_TYPES = ("dieu", "khoan", "diem", "phu_luc_phan", "phu_luc")
 MOST_RESULTS = 100
-#: Most queries that are held against all rows in one pass.
-MOST_QUERIES = 100
+#: Rows and queries that meet in one tile.
+ROW_BLOCK, QUERY_BLOCK = 4096, 1024
 
 
 def metadata_filter(conditions: dict[str, object], columns: dict[str, Column] | None = None) -> Column | None:
@@ -46,6 +51,86 @@ def top_k_of_row(rows: DataFrame, key: str, vector: str, query_key: object, k: i
     return ranked if threshold is None else ranked.where(F.col("distance") <= threshold)
 
 
+def _blocks(df: DataFrame, columns: list[str], size: int, prefix: str) -> DataFrame:
+    """Rows packed into blocks of at most ``size``, each column as an array."""
+    schema = StructType([StructField(f"{prefix}_{c}", ArrayType(df.schema[c].dataType)) for c in columns])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, size):
+                part = b.slice(s, size)
+                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), c.combine_chunks() if isinstance(c, pa.ChunkedArray) else pa.concat_arrays([c])) for c in part.columns]
+                yield pa.RecordBatch.from_arrays(lists, names=schema.names)
+
+    return df.select(*columns).mapInArrow(pack, schema)
+
+
+def _matrix(column: list) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Places of usable vectors, and all of them, unusable ones empty."""
+    vectors = [np.array(v, dtype=np.float64) if v is not None and None not in v else np.empty(0) for v in column]
+    return np.flatnonzero([len(v) > 0 for v in vectors]), vectors
+
+
+def _distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    dots = q @ x.T
+    if metric == "ip":
+        return 1 - dots
+    if metric == "l2":
+        return np.maximum((q**2).sum(axis=1)[:, None] + (x**2).sum(axis=1) - 2 * dots, 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 1 - dots / (np.sqrt((q**2).sum(axis=1))[:, None] * np.sqrt((x**2).sum(axis=1)))
+
+
+def top_k_of_queries(rows: DataFrame, key: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int, metric: str = "cosine", unlike: tuple[str, str] | None = None) -> DataFrame:
+    """``(query, key, distance, rank)``: the ``k`` nearest rows of each query, ties to the smaller key.
+
+    Rows and queries are packed into blocks, every block of rows meets every block of
+    queries once, as a tile of one matrix product, and a tile keeps ``k`` rows a query.
+    So any number of queries is one pass.  With ``unlike``, a column of the rows and one
+    of the queries must differ.  Vectors that are null, empty, hold a null or have
+    another length than the query's, and cosines with a zero vector, give no pair.
+    """
+    own, theirs = ([unlike[0]], [unlike[1]]) if unlike else ([], [])
+    r = _blocks(rows, [key, vector, *own], ROW_BLOCK, "r")
+    q = _blocks(queries, [query, query_vector, *theirs], QUERY_BLOCK, "q")
+    schema = StructType([StructField("query", queries.schema[query].dataType), StructField("key", rows.schema[key].dataType), StructField("distance", DoubleType())])
+
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                get = {n: b.column(n)[i].values for n in b.schema.names}
+                row_keys, query_keys = get[f"r_{key}"], get[f"q_{query}"]
+                found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                x_at, xs = _matrix(get[f"r_{vector}"].to_pylist())
+                q_at, qs = _matrix(get[f"q_{query_vector}"].to_pylist())
+                order = np.argsort(np.argsort(np.array(row_keys.to_pylist(), dtype=object), kind="stable")) if len(row_keys) else np.empty(0, int)
+                for dim in {len(qs[a]) for a in q_at}:
+                    qi = np.array([a for a in q_at if len(qs[a]) == dim])
+                    xi = np.array([a for a in x_at if len(xs[a]) == dim], dtype=int)
+                    if not len(xi):
+                        continue
+                    d = _distances(metric, np.stack([qs[a] for a in qi]), np.stack([xs[a] for a in xi]))
+                    d[~np.isfinite(d)] = np.inf
+                    if unlike:
+                        mine, other = (np.array(get[n].to_pylist(), dtype=object) for n in (f"r_{own[0]}", f"q_{theirs[0]}"))
+                        d[other[qi][:, None] == mine[xi][None, :]] = np.inf
+                    keep = min(k, len(xi))
+                    border = np.partition(d, keep - 1, axis=1)[:, keep - 1]
+                    a, c = np.nonzero((d <= border[:, None]) & np.isfinite(d))
+                    ranked = np.lexsort((order[xi[c]], d[a, c], a))
+                    a, c = a[ranked], c[ranked]
+                    first = np.searchsorted(a, a)
+                    best = np.arange(len(a)) - first < k
+                    found.append((qi[a[best]], xi[c[best]], d[a[best], c[best]]))
+                if found:
+                    qi, xi, d = (np.concatenate(p) for p in zip(*found))
+                    yield pa.RecordBatch.from_arrays([query_keys.take(pa.array(qi)), row_keys.take(pa.array(xi)), pa.array(d)], names=["query", "key", "distance"])
+
+    pairs = r.crossJoin(q).mapInArrow(tile, schema)  # blocks, not rows
+    nearest = Window.partitionBy("query").orderBy("distance", "key")
+    return pairs.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+
+
 def rerank(rows: DataFrame, group: list[str], score: Column, k: int, tie: str) -> DataFrame:
     """The ``k`` best rows of each group by ``score``; adds ``score_rerank`` and ``rank``."""
     scored = rows.withColumn("score_rerank", score)

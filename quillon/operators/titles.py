@@ -133,3 +133,15 @@ def alike(asked: DataFrame, titles: DataFrame, least: float, most: int | None =
     tasks = max(1, -(-asked.count() // ASKED_BLOCK))
     met = a.crossJoin(t).repartition(tasks, "block")
     return met.select("asked", "titles").mapInArrow(_score(least, most), "asked string, meta_id long, so_hieu string, ratio double")
+
+
+def holding(asked: DataFrame, titles: DataFrame) -> DataFrame:
+    """``(asked, meta_id, so_hieu)``: every title that holds an asked one, whatever the case; distinct asked titles meet the others in blocks, as in :func:`alike`.
+
+    Asked titles are trimmed; blank ones hold nothing.
+    """
+    a = asked.where(F.trim("title") != "").select(F.col("key").alias("asked"), F.lower(F.trim("title")).alias("part")).distinct()
+    packed = a.groupBy(F.pmod(F.xxhash64("part"), F.lit(max(1, -(-a.count() // ASKED_BLOCK)))).alias("block")).agg(F.collect_list(F.struct("asked", "part")).alias("parts"))
+    met = titles.where("title is not null").crossJoin(packed)  # a block of asked titles, not a title, meets each row
+    hits = met.select("key", "number", F.inline(F.filter("parts", lambda p: F.contains(F.lower("title"), p["part"]))))
+    return hits.select("asked", F.col("key").alias("meta_id"), F.col("number").alias("so_hieu"))

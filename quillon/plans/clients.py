@@ -8,6 +8,10 @@ plan run, and give repeatable results, without a service.
 from __future__ import annotations
 
 import hashlib
+import json
+import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -52,6 +56,74 @@ class OverlapReranker:
         return [len(wanted & set(t.lower().split())) / max(1, len(wanted)) for t in texts]
 
 
+class ServiceError(RuntimeError):
+    """A service's refusal; ``status`` is the HTTP status, 0 if it was not reached."""
+
+    def __init__(self, status: int, message: str):
+        super().__init__(f"{status}: {message}")
+        self.status = status
+
+
+class HttpClient:
+    """A model service over HTTP with JSON: embeddings, scores, answers and health.
+
+    Calls that fail for want of the service are tried ``attempts`` times; a request that
+    the service refuses (status 4xx, as 422 for a text beyond its limit) is not repeated.
+    """
+
+    def __init__(self, url: str, timeout: float = 60.0, attempts: int = 3, wait: float = 1.0):
+        self.url, self.timeout, self.attempts, self.wait = url.rstrip("/"), timeout, attempts, wait
+
+    def _call(self, path: str, body: dict | None = None) -> dict:
+        data = None if body is None else json.dumps(body).encode()
+        request = urllib.request.Request(f"{self.url}{path}", data, {"Content-Type": "application/json"})
+        for attempt in range(1, self.attempts + 1):
+            try:
+                with urllib.request.urlopen(request, timeout=self.timeout) as answer:  # noqa: S310
+                    return json.loads(answer.read() or b"{}")
+            except urllib.error.HTTPError as refused:
+                if refused.code < 500 or attempt == self.attempts:
+                    raise ServiceError(refused.code, refused.read().decode(errors="replace")[:500]) from refused
+            except OSError as lost:
+                if attempt == self.attempts:
+                    raise ServiceError(0, str(lost)) from lost
+            time.sleep(self.wait * attempt)
+        raise ServiceError(0, "no attempt was made")
+
+    def healthy(self) -> bool:
+        try:
+            return self._call("/health").get("status") in ("ok", "healthy", None)
+        except ServiceError:
+            return False
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        vectors = self._call("/embed", {"texts": texts}).get("embeddings")
+        if not isinstance(vectors, list) or len(vectors) != len(texts):
+            raise ServiceError(200, "as many embeddings as texts are needed")
+        return vectors
+
+    def score(self, query: str, texts: list[str]) -> list[float]:
+        return placed_scores(self._call("/rerank", {"query": query, "documents": texts, "top_k": len(texts)}).get("results"), len(texts))
+
+    def generate(self, prompt: str) -> str:
+        return str(self._call("/generate", {"prompt": prompt}).get("text", ""))
+
+
+def placed_scores(results: list[dict] | None, count: int) -> list[float]:
+    """Scores by place from a reranking service's ``(index, score)`` list.  A missing, repeated or impossible index is an error; places not named get the least number."""
+    out = [float("-inf")] * count
+    seen: set[int] = set()
+    for item in results or []:
+        if "index" not in item:
+            raise ValueError("a result has no index")
+        at = int(item["index"])
+        if not 0 <= at < count or at in seen:
+            raise ValueError(f"index {at} is not one of {count} places, or comes twice")
+        seen.add(at)
+        out[at] = float(item["score"])
+    return out
+
+
 def _batched(df: DataFrame, columns: list[str], schema: StructType, factory: Callable[[], object], call, size: int) -> DataFrame:
     """Columns kept, plus what ``call(client, *columns)`` gives for slices of at most ``size`` rows; a failure is a row's null and error, not the job's."""
 

@@ -1,19 +1,16 @@
 """Whole flows composed of the operators: indexing documents, replacing them, answering questions.
 
 Model services are passed in as factories of :mod:`quillon.plans.clients`; nothing here
-runs an action except :func:`top_k_of_queries`, which counts its queries to cut them into
-blocks.
+runs an action.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions import ids, legal, vectors
+from quillon.functions import ids, legal
 from quillon.functions import metadata as M
 from quillon.functions import text as T
 from quillon.operators import search, store
@@ -83,24 +80,20 @@ def sub_questions(answers: DataFrame, question: str, answer: str) -> DataFrame:
     return rows.withColumn("branch", F.coalesce(table[F.col("intent")], F.lit("fallback")))
 
 
-def top_k_of_queries(rows: DataFrame, vector: str, key: str, queries: DataFrame, query: str, query_vector: str, k: int) -> DataFrame:
-    """The ``k`` nearest rows of each query: queries meet all rows in blocks of at most ``MOST_QUERIES``, which is what is sent to every task."""
-    placed = queries.select(F.col(query).alias("query"), F.col(query_vector).alias("_q"), F.floor((F.row_number().over(Window.orderBy(query)) - 1) / search.MOST_QUERIES).alias("_block"))
-    blocks = -(-queries.count() // search.MOST_QUERIES)
-    found = []
-    for b in range(blocks):
-        asked = placed.where(F.col("_block") == b).limit(search.MOST_QUERIES).drop("_block")
-        pairs = rows.crossJoin(F.broadcast(asked)).withColumn("distance", vectors.cosine_distance(F.col(vector), F.col("_q"))).where("distance is not null").drop("_q")
-        nearest = Window.partitionBy("query").orderBy("distance", key)
-        found.append(pairs.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k))
-    return reduce(DataFrame.unionByName, found) if found else rows.withColumn("query", F.lit(None)).withColumn("distance", F.lit(0.0)).withColumn("rank", F.lit(0)).where("false")
+def merge_results(asked: DataFrame, gathered: DataFrame, request: str, item: str, order: str) -> DataFrame:
+    """``asked`` with ``context``: every sub-question of a request has all that was gathered for the request, first seen first, each item once."""
+    first = gathered.where(F.col(item).isNotNull()).groupBy(F.col(request).alias("_r"), F.col(item).alias("_i")).agg(F.min(order).alias("_o"))
+    lists = first.groupBy("_r").agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_i"))), lambda x: x["_i"]).alias("context"))  # what one request gathered
+    joined = asked.join(lists, F.col(request) == F.col("_r"), "left").drop("_r")
+    return joined.withColumn("context", F.coalesce("context", F.array().cast(joined.schema["context"].dataType)))
 
 
 def retrieve(questions: DataFrame, question: str, text: str, chunks: DataFrame, embedder: Callable[[], clients.Embedder] = clients.HashEmbedder, reranker: Callable[[], clients.Reranker] = clients.OverlapReranker, k: int = 50, best: int = 5) -> DataFrame:
     """Active leaf chunks for each question: nearest ones, without those below another one, reranked; ``(query, chunk_id, score, rank)``."""
     asked = clients.embed(questions, question, text, embedder).where("vector is not null")
     leaf = chunks.where(F.col("kind").isin(*search.LEAF_TYPES) & (F.col("trang_thai") == 1)).select("chunk_id", "text", "vector")
-    near = search.drop_descendants(top_k_of_queries(leaf, "vector", "chunk_id", asked, question, "vector", k), "query", "chunk_id")
+    nearest = search.top_k_of_queries(leaf, "chunk_id", "vector", asked, question, "vector", k).withColumnRenamed("key", "_c")
+    near = search.drop_descendants(nearest.join(leaf.select("chunk_id", "text"), F.col("_c") == F.col("chunk_id")).drop("_c"), "query", "chunk_id")
     worded = near.join(questions.select(F.col(question).alias("_k"), F.col(text).alias("_text")), F.col("query") == F.col("_k"))
     pairs = worded.select(F.concat_ws("\u0001", F.col("query").cast("string"), "chunk_id").alias("pair"), "_text", "text")
     scored = clients.score(pairs, "pair", "_text", "text", reranker).select("pair", "score")

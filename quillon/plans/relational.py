@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import ids
 from quillon.io import table
 from quillon.operators import search, store
+from quillon.plans import pipelines
 from quillon.plans.texts import _ANSWERS, _LETTER, answer_text, letter_of
 from quillon.sources import files
 
@@ -286,18 +287,19 @@ def route_intent(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def merge_results(spark: SparkSession, sf: str) -> DataFrame:
-    """Context gathered for each sub-question (user and kind), in order, without repeats."""
+    """Every sub-question (kind) of a request (user) receives the whole context gathered for the request, in order, without repeats."""
     e = table(spark, sf, "events").select("user_id", "event_type", "event_id", "props")
-    first = search.first_seen(e.withColumn("k", F.concat_ws(":", F.col("user_id").cast("string"), "event_type", "props")), "k", "event_id")
-    merged = first.groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list(F.struct("event_id", "props"))).alias("x"))  # one list a request
-    return merged.select("user_id", "event_type", F.size("x").alias("n"), F.md5(F.array_join(F.transform("x", lambda s: s["props"]), "\n---\n")).alias("digest"))
+    asked = e.select("user_id", "event_type").distinct()
+    merged = pipelines.merge_results(asked, e, "user_id", "props", "event_id")
+    return merged.select("user_id", "event_type", F.size("context").alias("n"), F.md5(F.array_join("context", "\n---\n")).alias("digest"))
 
 
 def build_context(spark: SparkSession, sf: str) -> DataFrame:
     """Numbered sources of each order joined and cut to the context's length."""
     o = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("x"))  # at most some dozen an order
     shown = F.transform("x", lambda s, i: F.concat(F.lit("[Nguồn "), (i + 1).cast("string"), F.lit("] part "), s["l_partkey"].cast("string")))
-    return o.select("l_orderkey", F.left(F.array_join(shown, "\n\n"), F.lit(60)).alias("context"))
+    context = F.left(F.array_join(shown, "\n\n"), F.lit(pipelines.CONTEXT))
+    return o.select("l_orderkey", F.char_length(context).alias("chars"), F.md5(context).alias("digest"))
 
 
 def doc_display(spark: SparkSession, sf: str) -> DataFrame:
@@ -381,8 +383,8 @@ ORACLE = {
     "display_ordinal": "SELECT event_id, '[' || row_number() OVER (PARTITION BY user_id ORDER BY event_id) || '] ' || event_type AS shown FROM events",
     "range_expand": "SELECT a, b, count(DISTINCT l_orderkey) AS orders, a AS low, b AS high FROM (SELECT l_orderkey, l_linenumber AS a, CAST(l_quantity AS INT) AS b FROM lineitem) WHERE a <= b AND b < a + 500 GROUP BY a, b",
     "route_intent": "SELECT CASE event_type WHEN 'purchase' THEN 'legal_query' WHEN 'click' THEN 'general' WHEN 'view' THEN 'doc_relation' ELSE 'fallback' END AS route, count(*) AS n FROM events GROUP BY 1",
-    "merge_results": "SELECT user_id, event_type, CAST(count(*) AS INT) AS n, md5(string_agg(props, chr(10) || '---' || chr(10) ORDER BY event_id)) AS digest FROM (SELECT user_id, event_type, props, min(event_id) AS event_id FROM events GROUP BY ALL) GROUP BY 1, 2",
-    "build_context": "SELECT l_orderkey, left(string_agg('[Nguồn ' || n || '] part ' || l_partkey, chr(10) || chr(10) ORDER BY n), 60) AS context FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem) GROUP BY 1",
+    "merge_results": "SELECT q.user_id, q.event_type, c.n, c.digest FROM (SELECT DISTINCT user_id, event_type FROM events) q JOIN (SELECT user_id, CAST(count(*) AS INT) AS n, md5(string_agg(props, chr(10) || '---' || chr(10) ORDER BY event_id)) AS digest FROM (SELECT user_id, props, min(event_id) AS event_id FROM events GROUP BY ALL) GROUP BY 1) c USING (user_id)",
+    "build_context": "SELECT l_orderkey, CAST(length(c) AS INT) AS chars, md5(c) AS digest FROM (SELECT l_orderkey, left(string_agg('[Nguồn ' || n || '] part ' || l_partkey, chr(10) || chr(10) ORDER BY n), 8000) AS c FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem) GROUP BY 1)",
     "doc_display": "SELECT meta_id, concat_ws(' | ', 'Số: ' || nullif(so_hieu, ''), 'Loại: ' || nullif(loai, ''), 'Ngày: ' || nullif(ngay_ban_hanh, ''), CASE WHEN trang_thai = 0 THEN 'hết hiệu lực' ELSE 'còn hiệu lực' END) AS shown FROM document_metadata",
     "citations": f"SELECT node_key, concat_ws(' - ', regexp_replace(string_split(id, '.')[1], '__dup_[0-9]+$', ''), nullif(concat_ws(', ', {_LAB('dieu', 'Điều')}, {_LAB('khoan', 'Khoản')}), '')) AS citation FROM document_node WHERE id IS NOT NULL AND type IN ('khoan', 'diem', 'dieu')",
     "evaluate_chunks": f"WITH f AS (SELECT chunk_id, min(vec_id) AS vec_id FROM embedding_result WHERE chunk_id <> '' GROUP BY 1), r AS (SELECT f.*, metadata['trang_thai'] AS ok, metadata['so_hieu'] AS doc, {_BASE.replace('(chunk_id', '(f.chunk_id')} AS base FROM f JOIN embedding_result e USING (vec_id)), u AS (SELECT vec_id, doc, unnest(list_transform(generate_series(1, len(string_split(base, '.')) - 1), lambda i: array_to_string(list_slice(string_split(base, '.'), 1, i), '.'))) AS up FROM r WHERE doc IS NOT NULL AND contains(base, '.')) SELECT vec_id, chunk_id FROM r WHERE doc IS NOT NULL AND ok = '1' AND vec_id NOT IN (SELECT u.vec_id FROM u JOIN r p ON p.doc = u.doc AND p.base = u.up)",

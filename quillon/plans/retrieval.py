@@ -46,12 +46,11 @@ def search_by_type(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def batch_knn(spark: SparkSession, sf: str) -> DataFrame:
-    """The three nearest vectors of another label for the first vector of each label: ten queries against all rows."""
+    """The three nearest vectors of another label for every row whose id is divisible by 20, against all rows."""
     e = _embeddings(spark, sf)
-    q = search.first_seen(e, "label", "vec_id").orderBy("label").limit(search.MOST_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"), F.col("embedding").alias("q"))
-    pairs = e.crossJoin(F.broadcast(q)).where("label <> q_label")  # at most MOST_QUERIES rows
-    ranked = search.rerank(pairs, ["query_id"], -vectors.cosine_distance(F.col("embedding"), F.col("q")), 3, "vec_id")
-    return ranked.select("query_id", "vec_id", "rank")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
+    found = search.top_k_of_queries(e, "vec_id", "embedding", asked, "query_id", "q", 3, unlike=("label", "q_label"))
+    return found.select(F.col("query").alias("query_id"), F.col("key").alias("vec_id"), "rank")
 
 
 def _two_stage(e: DataFrame, group: list[str] | None = None) -> DataFrame:
@@ -198,10 +197,9 @@ def id_uniquify(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def batch_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Each repeat of an id over all documents gets ``.batch.K``, K counting the repeats of that id."""
-    nodes = table(spark, sf, "document_node").where("id is not null")
-    at = F.row_number().over(Window.partitionBy("id").orderBy("node_key")) - 1
-    return nodes.select("node_key", F.when(at > 0, F.concat("id", F.lit(".batch."), at.cast("string"))).otherwise(F.col("id")).alias("unique_id"))
+    """Every repeat of an id in a batch of documents, here all of them, gets ``.batch.K``, K counting the repeats of the whole batch in order."""
+    nodes = table(spark, sf, "document_node").where("id is not null").withColumn("batch", F.lit(0))
+    return ids.batch_numbers(nodes, "batch", "id", "node_key").select("node_key", "unique_id")
 
 
 def chunk_index(spark: SparkSession, sf: str) -> DataFrame:
@@ -285,7 +283,7 @@ _TOPREFS = f"SELECT * FROM (SELECT node_key, ref_id, score, row_number() OVER (P
 ORACLE = {f"vector_topk_{m}": _topk_sql(m) for m in METRIC_SQL} | {
     "vector_threshold": f"SELECT vec_id, label, round(d, 6) AS distance FROM (SELECT * FROM (SELECT e.vec_id, e.label, {METRIC_SQL['cosine']} AS d FROM embeddings e, {_Q} WHERE e.label IN (1, 2, 3)) ORDER BY d, vec_id LIMIT 10) WHERE d <= 1.0",
     "search_by_type": f"SELECT vec_id, label, round(d, 6) AS distance FROM (SELECT e.vec_id, e.label, {METRIC_SQL['cosine']} AS d FROM embeddings e, {_Q} WHERE e.label = 4) ORDER BY d, vec_id LIMIT 20",
-    "batch_knn": f"SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {METRIC_SQL['cosine']}, e.vec_id) AS rank FROM embeddings e JOIN (SELECT arg_min(vec_id, vec_id) AS vec_id, label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) q ON e.label <> q.label) WHERE rank <= 3",
+    "batch_knn": f"SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {METRIC_SQL['cosine']}, e.vec_id) AS rank FROM embeddings e JOIN (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q ON e.label <> q.label) WHERE rank <= 3",
     "search_two_stage": f"SELECT vec_id, score_rerank, rank FROM (SELECT vec_id, s AS score_rerank, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM (SELECT e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], z.embedding::DOUBLE[]), 6) AS s FROM (SELECT e.vec_id, e.embedding FROM embeddings e, {_Q} ORDER BY {METRIC_SQL['cosine']}, e.vec_id LIMIT 50) e, (SELECT embedding FROM embeddings WHERE vec_id = 1) z)) WHERE rank <= 5",
     "rerank_topk": f"SELECT label, vec_id, s AS score_rerank, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS rank FROM (SELECT e.label, e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS s FROM embeddings e, {_Q})) WHERE rank <= 2",
     "agent_vector_search": f"""
@@ -313,7 +311,7 @@ SELECT vec_id, chunk_id, distance, rank FROM (SELECT *, row_number() OVER (ORDER
     "evaluate_refs": f"SELECT j.node_key, j.judged, k.kept FROM (SELECT node_key, count(*) AS judged FROM ({_SCORED}) GROUP BY 1) j LEFT JOIN (SELECT node_key, string_agg(ref_id, '|' ORDER BY rank) AS kept FROM ({_TOPREFS}) GROUP BY 1) k USING (node_key)",
     "dup_suffix": f"SELECT node_key, CASE WHEN count(*) OVER (PARTITION BY so_hieu, base) > 1 THEN base || '__dup_' || (row_number() OVER (PARTITION BY so_hieu, base ORDER BY node_key) - 1) ELSE base END AS unique_id FROM (SELECT node_key, so_hieu, {_BASE} AS base FROM document_node WHERE id IS NOT NULL)",
     "id_uniquify": "SELECT node_key, CASE WHEN n > 0 THEN id || '.' || n ELSE id END AS unique_id FROM (SELECT node_key, id, row_number() OVER (PARTITION BY so_hieu, id ORDER BY node_key) - 1 AS n FROM document_node WHERE id IS NOT NULL)",
-    "batch_dedup": "SELECT node_key, CASE WHEN n > 0 THEN id || '.batch.' || n ELSE id END AS unique_id FROM (SELECT node_key, id, row_number() OVER (PARTITION BY id ORDER BY node_key) - 1 AS n FROM document_node WHERE id IS NOT NULL)",
+    "batch_dedup": "SELECT node_key, CASE WHEN again THEN id || '.batch.' || CAST(sum(CASE WHEN again THEN 1 ELSE 0 END) OVER (ORDER BY node_key) AS BIGINT) ELSE id END AS unique_id FROM (SELECT node_key, id, row_number() OVER (PARTITION BY id ORDER BY node_key) > 1 AS again FROM document_node WHERE id IS NOT NULL)",
     "chunk_index": "SELECT node_key, row_number() OVER (PARTITION BY so_hieu ORDER BY node_key) AS chunk_index FROM document_node WHERE type IS NULL OR type <> 'van_ban'",
     "parent_context": f"WITH one AS (SELECT id, max(node_key) AS node_key FROM document_node WHERE id IS NOT NULL GROUP BY 1), t AS (SELECT o.id, o.node_key, d.title FROM one o JOIN document_node d USING (node_key)), u AS (SELECT node_key, unnest(range(len(string_split(id, '.')) - 1)) AS level, unnest({_ANC.format('id')}) AS up FROM t WHERE contains(id, '.')) SELECT u.node_key, string_agg(t.title, chr(10) ORDER BY level, t.title) AS context FROM u JOIN t ON u.up = t.id WHERE t.title <> '' GROUP BY 1",
     "flatten_tree": "SELECT node_key, row_number() OVER (PARTITION BY so_hieu ORDER BY node_key) AS seq, CASE WHEN type IN ('khoan', 'dieu') THEN CAST(length(full_text) AS INT) END AS full_chars FROM document_node WHERE coalesce(title, '') <> '' OR coalesce(content, '') <> '' OR coalesce(len(reference), 0) > 0",

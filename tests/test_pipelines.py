@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from quillon.operators import search
 from quillon.plans import pipelines as P
 
 LAW = "Số: 12/2022/NĐ-CP\nNGHỊ ĐỊNH\nQuy định về bến thuyền\nĐiều 1. Phạm vi\nQuy định về bến thuyền và phí cầu phao\nĐiều 2. Thu phí\n1. Mức phí cầu phao là mười đồng\n2. Miễn phí cho người cao tuổi\nĐiều 3. Hiệu lực thi hành\nNghị định này có hiệu lực từ ngày 1 tháng 2 năm 2023."
@@ -62,8 +64,18 @@ def test_answers(spark, chunks):
 
 
 def test_queries_in_blocks(spark, chunks, monkeypatch):
-    monkeypatch.setattr(P.search, "MOST_QUERIES", 2)
-    asked = chunks.select("chunk_id", "vector")
-    got = P.top_k_of_queries(asked, "vector", "chunk_id", asked, "chunk_id", "vector", 1).collect()
+    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(search, "ROW_BLOCK", 3)
+    asked = chunks.select("chunk_id", "vector", F.col("chunk_id").alias("other"))
+    ask = lambda q, k, **how: search.top_k_of_queries(asked, "chunk_id", "vector", q, "chunk_id", "vector", k, **how)
+    got = ask(asked, 1).collect()
     assert len(got) == asked.count() and all(r.distance < 1e-6 for r in got)
-    assert P.top_k_of_queries(asked, "vector", "chunk_id", asked.where("false"), "chunk_id", "vector", 1).count() == 0
+    assert ask(asked.where("false"), 1).count() == 0
+    assert all(r.query != r.key for r in ask(asked, 3, unlike=("other", "other")).collect())
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
+def test_blocks_of_odd_vectors(spark, metric):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0, None]), (5, []), (6, [1.0, 0.0]), (7, [1.0, 2.0, 3.0]), (8, [0.0, 0.0])], "k long, v array<float>")
+    got = search.top_k_of_queries(rows, "k", "v", rows.where("k in (1, 3, 7)"), "k", "v", 2, metric).orderBy("query", "rank").collect()
+    assert [(r.query, r.key) for r in got] == [(1, 1), (1, 6), (7, 7)]
