@@ -37,7 +37,7 @@ PORTION = 1 << 20
 #: With fewer pre-tokens in work than this, plain Python is faster than arrays.
 FEW = 24
 _NONE = np.int64(1) << 62
-_POS = 24  # bits of a position in a leaf
+_POS = 40  # bits of a position in a leaf: more bytes than a text can have; ranks have the 22 bits above
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -55,6 +55,8 @@ class Vocabulary:
         self.byte_ids = np.array([ids[symbols[b]] for b in range(256)], dtype=np.int64)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left, right = (np.array([ids[p[i]] for p in pairs], dtype=np.int64) for i in (0, 1))
+        self.widths = np.zeros(max(ids.values()) + 1, dtype=np.int64)  # bytes of each token: a symbol stands for one
+        self.widths[list(ids.values())] = [len(symbol) for symbol in ids]
         self.merged = np.array([ids[a + b] for a, b in pairs], dtype=np.int64)
         self.pairs = {(a, b): r for r, (a, b) in enumerate(zip(left.tolist(), right.tolist()))}
         # open-addressing table over left and right id, for lookups of whole arrays
@@ -286,6 +288,14 @@ class Encoder:
                 held, at = 0, end
         return np.concatenate(offsets), np.concatenate(values) if values else np.empty(0, np.int32)
 
+    def sizes(self, text: str) -> np.ndarray:
+        """For each code point of ``text`` the number of tokens that begin in it."""
+        _, ids = self.encode([text])
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        ends = np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))
+        begins = np.cumsum(self.vocabulary.widths[ids]) - self.vocabulary.widths[ids]
+        return np.bincount(np.searchsorted(ends, begins, side="right"), minlength=len(codes))
+
     def _portion(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.pieces.place) > MEMO:
             self.pieces = _Memo()

@@ -10,8 +10,10 @@ drawn from its key; ``scale`` is calibrated for each source on a histogram of th
 where documents gain a copy, so the shares come out to about a thousandth of themselves.
 
 Defined results: sources not named exactly as in the target take no part; a named
-source without any token cannot be met: it is reported with share 0 and the others share
-its weight in proportion.  Rows with null or empty text have no tokens and are never
+source without any token, or with no repeats allowed, cannot be met: it is reported with
+share 0 and the others share its weight in proportion.  A null or negative weight counts
+as 0, null repeats as 1; of a source named twice the weights add up and the greater
+number of repeats holds.  Rows with null or empty text have no tokens and are never
 taken.  Languages are compared in lower case by their first two letters, unknown ones
 and null count as ``und``; topics other than the fixed ones as ``other``.  The number of
 cells is thus bounded by the number of target rows times a constant.
@@ -31,21 +33,25 @@ LANGUAGES = ("vi", "en", "fr", "zh", "ja", "th", "lo", "km")
 TOPICS = ("luat", "bo_luat", "nghi_dinh", "nghi_quyet", "quyet_dinh", "thong_tu", "chi_thi", "van_ban_hop_nhat")
 #: The raked weight of a cell stays within this factor of the weight that its source alone would give.
 REACH = 4.0
-#: Histogram steps for one copy.
-STEPS = 2000
+#: Histogram steps for one copy, and the greatest scale that is looked at: the raked weights are met at a scale of about one.
+STEPS, HIGHEST = 2000, 4
 
 
 def _bounded(value: Column, known: tuple[str, ...], other: str) -> Column:
     return F.when(value.isin(*known), value).otherwise(F.lit(other))
 
 
-def rake(tokens: np.ndarray, keys: list[tuple], weights: dict[str, float], caps: dict[str, int], rounds: int = 60) -> tuple[np.ndarray, float]:
-    """``(copies expected of each cell's rows, total)``; ``keys`` are (source, language, topic)."""
+def rake_cells(tokens: np.ndarray, keys: list[tuple], weights: dict[str, float], caps: dict[str, int], wanted: dict[str, dict[str, float]] | None = None, rounds: int = 60) -> tuple[np.ndarray, float, list[tuple]]:
+    """``(copies expected of each cell's rows, total, margins)``; ``keys`` are (source, language, topic).
+
+    ``wanted`` may name shares of languages and topics; those not named share the rest as
+    they do in the corpus.  ``margins`` are ``(axis, label, share asked for, share met)``.
+    """
     source = np.array([k[0] for k in keys])
     held = {s: float(tokens[source == s].sum()) for s in weights}
-    live = {s: w for s, w in weights.items() if w > 0 and held[s] > 0}
+    live = {s: w for s, w in weights.items() if w > 0 and held[s] > 0 and caps[s] > 0}
     if not live:
-        return np.zeros(len(keys)), 0.0
+        return np.zeros(len(keys)), 0.0, []
     share = {s: w / sum(live.values()) for s, w in live.items()}
     total = min(held[s] * caps[s] / share[s] for s in live)
     cap = np.array([caps[s] if s in live else 0 for s in source], dtype=float)
@@ -53,12 +59,17 @@ def rake(tokens: np.ndarray, keys: list[tuple], weights: dict[str, float], caps:
     low, high = start / REACH, np.minimum(start * REACH, cap)
     m = start.copy()
     used = np.isin(source, list(live))
-    margins = []
-    for axis in (1, 2):
+    margins, names = [], []
+    for axis, name in ((1, "language"), (2, "topic")):
         labels = np.array([k[axis] for k in keys])
-        for value in set(labels[used]):
-            here = used & (labels == value)
-            margins.append((here, total * tokens[here].sum() / tokens[used].sum()))
+        own = {v: tokens[used & (labels == v)].sum() for v in sorted(set(labels[used]))}
+        asked = {v: x for v, x in ((wanted or {}).get(name) or {}).items() if own.get(v, 0) > 0}
+        left = sum(t for v, t in own.items() if v not in asked)
+        spare = max(0.0, 1 - sum(asked.values())) if left else 0.0
+        goals = {v: asked[v] if v in asked else spare * t / left for v, t in own.items()}
+        for v, goal in goals.items():
+            margins.append((used & (labels == v), total * goal / max(sum(goals.values()), 1e-12)))
+            names.append((name, v))
 
     def to_source() -> None:
         for s in live:
@@ -76,17 +87,24 @@ def rake(tokens: np.ndarray, keys: list[tuple], weights: dict[str, float], caps:
             if got > 0:
                 m[here] = np.clip(m[here] * goal / got, low[here], high[here])
         to_source()
-    return m, total
+    taken = max(float((tokens * m).sum()), 1e-12)
+    return m, total, [(*n, float(goal / total), float((tokens[here] * m[here]).sum() / taken)) for n, (here, goal) in zip(names, margins)]
+
+
+def rake(tokens: np.ndarray, keys: list[tuple], weights: dict[str, float], caps: dict[str, int], **how) -> tuple[np.ndarray, float]:
+    """The copies and the total of :func:`rake_cells` alone."""
+    return rake_cells(tokens, keys, weights, caps, **how)[:2]
 
 
 class Mixture:
     """A calibrated mixture: ``rows`` and ``shares`` are plans over written tables."""
 
-    def __init__(self, documents: DataFrame, target: DataFrame, path: str = DEFAULT_VOCABULARY):
+    def __init__(self, documents: DataFrame, target: DataFrame, path: str = DEFAULT_VOCABULARY, wanted: dict[str, dict[str, float]] | None = None):
         spark = documents.sparkSession
         self.scratch = Scratch(spark, "mixture")
-        self.target = target.select(F.col("source"), F.col("weight"), F.col("max_repeats"))
-        # only rows of named sources are counted; the target names each source once
+        named_once = target.where("source is not null").groupBy("source")
+        self.target = named_once.agg(F.sum(F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0))).alias("weight"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))).alias("max_repeats"))
+        # only rows of named sources are counted
         named = documents.join(self.target.select(F.col("source").alias("named")).distinct(), F.col("source") == F.col("named"), "left_semi")
         lang = _bounded(F.lower(F.substring(F.trim("lang"), 1, 2)), LANGUAGES, "und")
         slim = named.select("doc_id", "source", lang.alias("language"), _bounded(F.col("loai"), TOPICS, "other").alias("topic"), "text")
@@ -96,14 +114,14 @@ class Mixture:
         keys = [(r["source"], r["language"], r["topic"]) for r in cells]
         tokens = np.array([r["tokens"] for r in cells], dtype=float)
         weights, caps = {s: g[0] for s, g in goals.items()}, {s: g[1] for s, g in goals.items()}
-        m, self.total = rake(tokens, keys, weights, caps) if cells else (np.zeros(0), 0.0)
+        m, self.total, self._margins = rake_cells(tokens, keys, weights, caps, wanted) if cells else (np.zeros(0), 0.0, [])
         table = [(*k, float(x), caps[k[0]]) for k, x in zip(keys, m) if x > 0]
         factors = spark.createDataFrame(table, "source string, language string, topic string, m double, cap int")
         u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
         self.weighted = self.scratch.save(self.sized.join(F.broadcast(factors), ["source", "language", "topic"]).select("doc_id", "source", "n_tokens", "m", "cap", u.alias("u")), "weighted")  # factors: at most 90 rows a source
         gains = self.weighted.select("source", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("cap"))).alias("j"), "m", "u").select("source", self._place("j").alias("place"), "n_tokens")
         steps = gains.groupBy("source", "place").agg(F.sum("n_tokens").alias("gain")).collect()  # at most STEPS places a copy and source
-        live = {s for s in weights if weights[s] > 0 and any(k[0] == s for k in keys)}
+        live = {s for s in weights if weights[s] > 0 and caps[s] > 0 and any(k[0] == s for k in keys)}
         limits = []
         for s in live:
             goal = self.total * weights[s] / sum(weights[x] for x in live)
@@ -116,14 +134,18 @@ class Mixture:
     @staticmethod
     def _place(j: str) -> Column:
         """Histogram step at which a document gains its j-th copy: where scale * m + u reaches j."""
-        return F.least(F.floor((F.col(j) - F.col("u")) / F.col("m") * STEPS), F.lit(STEPS * 16)).cast("long")
+        return F.least(F.floor((F.col(j) - F.col("u")) / F.col("m") * STEPS), F.lit(STEPS * HIGHEST)).cast("long")
 
     def rows(self) -> DataFrame:
         """``(doc_id, source, copies, n_tokens)`` of the rows taken; size and cap are those of one copy."""
         held = self.weighted.join(F.broadcast(self.limits), F.col("source") == F.col("l_source"))  # one row a target source
-        copies = F.aggregate(F.sequence(F.lit(1), F.col("cap")), F.lit(0), lambda n, j: n + F.when(F.least(F.floor((j - F.col("u")) / F.col("m") * STEPS), F.lit(STEPS * 16)) <= F.col("upto"), 1).otherwise(0))
+        copies = F.aggregate(F.sequence(F.lit(1), F.col("cap")), F.lit(0), lambda n, j: n + F.when(F.least(F.floor((j - F.col("u")) / F.col("m") * STEPS), F.lit(STEPS * HIGHEST)) <= F.col("upto"), 1).otherwise(0))
         return held.select("doc_id", "source", copies.alias("copies"), "n_tokens").where("copies > 0")
 
+    def margins(self) -> DataFrame:
+        """How far the raking met the shares of languages and topics: ``(axis, label, asked, met)``.  They may differ, as a cell's weight stays within :data:`REACH`."""
+        return self.limits.sparkSession.createDataFrame(self._margins, "axis string, label string, asked double, met double")
+
     def shares(self) -> DataFrame:
         """One row a target source: the share asked for, the one reached, and what was taken."""
         taken = self.rows().groupBy(F.col("source").alias("s")).agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("rows_taken"), F.max("copies").alias("most_copies"))

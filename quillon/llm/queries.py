@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.io import table
@@ -25,6 +25,21 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split.split_oversized(texts, ["node_key", "field"], "value").drop("text_forced")
 
 
+def p1_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Contents cut to at most 512 tokens of a public tokenizer, repeating up to 64."""
+    return split.split_oversized(table(spark, sf, "document_node"), ["node_key"], "content", 512, 64, with_text=False, unit="tokens").drop("text_forced")
+
+
+def p1_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """What holds for the pieces of every text: none is too long, they begin and end with the text, leave nothing out and repeat at most the overlap, and put together they are the text."""
+    pieces = p1_pieces(spark, sf).withColumn("_last", F.lag("end_pos").over(Window.partitionBy("node_key", "field").orderBy("piece_no")))
+    repeated = F.col("_last") - F.col("start_pos")
+    fresh = F.substring("piece", F.coalesce(repeated, F.lit(0)).cast("int") + 1, F.lit(1 << 30))
+    good = (F.char_length("piece") == F.col("end_pos") - F.col("start_pos")) & F.when(F.col("_last").isNull(), F.col("start_pos") == 0).otherwise(repeated.between(0, 200))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", fresh.alias("t")))), lambda x: x["t"]), "")  # one text's pieces
+    return pieces.groupBy("node_key", "field").agg(F.max(F.col("end_pos") - F.col("start_pos")).alias("longest"), F.bool_and(good).alias("joined"), F.md5(text).alias("digest")).select("node_key", "field", (F.col("longest") <= 1200).alias("within"), "joined", "digest")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = knn.similar_pairs(table(spark, sf, "embedding_result"), "vec_id", "vector", k=5, least=0.9)
     return pairs.select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
@@ -63,11 +78,28 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return Mixture(table(spark, sf, "documents"), table(spark, sf, "mix_target")).shares()
 
 
+def p7_margins(spark: SparkSession, sf: str) -> DataFrame:
+    return Mixture(table(spark, sf, "documents"), table(spark, sf, "mix_target")).margins()
+
+
+def p7_met(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each source with any text comes to its weight among such sources, to half a hundredth or the size of one row, within its repeats."""
+    mixture = Mixture(table(spark, sf, "documents"), table(spark, sf, "mix_target"))
+    largest = mixture.sized.groupBy(F.col("source").alias("s")).agg(F.max("n_tokens").alias("largest"))
+    rows = mixture.shares().join(largest, F.col("source") == F.col("s"), "left")
+    live = F.col("largest").isNotNull()
+    every = rows.agg(F.sum(F.when(live, F.col("weight"))).alias("live_weight"), F.sum("tokens").alias("all_tokens"))
+    judged = rows.crossJoin(F.broadcast(every))  # one row
+    room = F.greatest(F.lit(0.005), F.try_divide(F.col("largest").cast("double"), F.col("all_tokens")))
+    met = F.when(live, F.abs(F.col("share") - F.col("weight") / F.col("live_weight")) <= room).otherwise(F.col("share") == 0)
+    return judged.select("source", live.alias("live"), met.alias("met"), (F.col("most_copies") <= F.col("max_repeats")).alias("capped"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentence_column(table(spark, sf, "documents"), "doc_id", "text", "lang")
 
 
-QUERIES = {"p8_found": p8_found, "p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_search": p2_search, "p7_mix": p7_mix, "p7_shares": p7_shares, "p5_found": p5_found, "p5_titles": p5_titles, "p5_contents": p5_contents, "p6_ids": p6_ids}
+QUERIES = {"p8_found": p8_found, "p1_found": p1_found, "p1_pieces": p1_pieces, "p1_tokens": p1_tokens, "p1_limits": p1_limits, "p2_found": p2_found, "p2_search": p2_search, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_margins": p7_margins, "p7_met": p7_met, "p5_found": p5_found, "p5_titles": p5_titles, "p5_contents": p5_contents, "p6_ids": p6_ids}
 
 # The twin of problem 5 goes its own way: text by text into characters, each looked up in a short list or moved by its block, and put together again.
 _FOLD = (
@@ -98,4 +130,6 @@ FROM (SELECT node_key, 'content' AS field, content AS v FROM document_node UNION
     "p5_found": " UNION ALL ".join(_P5.format(t=t, q=_shown(t, k, c)) for t, k, c in (("document_metadata", "meta_id", "ten_van_ban"), ("document_node", "node_key", "content"))),
     "p5_titles": f"SELECT k AS meta_id, f AS canonical FROM ({_shown('document_metadata', 'meta_id', 'ten_van_ban')})",
     "p5_contents": f"SELECT k AS node_key, f AS canonical FROM ({_shown('document_node', 'node_key', 'content')})",
+    "p1_limits": "SELECT node_key, field, TRUE AS within, TRUE AS joined, md5(v) AS digest FROM (SELECT node_key, 'content' AS field, content AS v FROM document_node UNION ALL SELECT node_key, 'full_text', full_text FROM document_node) WHERE v <> ''",
+    "p7_met": "SELECT source, EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND d.text <> '') AS live, TRUE AS met, TRUE AS capped FROM mix_target t",
 }

@@ -20,10 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
+from quillon.llm.bpe import DEFAULT_VOCABULARY, Encoder
+
 #: First and last code points of the ranges with the Unicode property White_Space.
 WHITE = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
 #: Line ends, marks after which a sentence may end, and those of them that need no white space after them.
@@ -101,43 +104,70 @@ def pieces_of(text: str, limit: int, overlap: int, sizes: np.ndarray | None = No
         cut = end
 
 
-def split_oversized(df: DataFrame, keys: list[str], text: str, limit: int = 1200, overlap: int = 200, with_text: bool = True, unit: str = "code_points", small: bool = True) -> DataFrame:
-    """``(*keys, piece_no, start_pos, end_pos, forced, text_forced[, piece])`` of every text.
+def _measure(unit: str, path: str):
+    """Sizes of a text's code points in ``unit``; none where each counts one."""
+    if unit == "code_points":
+        return lambda text: None
+    if unit == "bytes":
+        return lambda text: np.diff(np.concatenate(([0], np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in text]))))
+    encoder = Encoder.of(path)
+    return encoder.sizes
+
+
+def split_oversized(df: DataFrame, keys: list[str], text: str, limit: int = 1200, overlap: int = 200, with_text: bool = True, unit: str = "code_points", small: bool = True, path: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """``(*keys, piece_no, start_pos, end_pos, forced, text_forced[, piece])`` of every text, from one scan.
 
-    ``unit`` is ``code_points`` or ``bytes`` (of UTF-8).  ``forced``: the piece ends
+    ``unit`` is ``code_points``, ``bytes`` (of UTF-8) or ``tokens`` of the byte-level
+    vocabulary at ``path``; a piece has the tokens of the whole text that begin in it, so
+    encoded alone it may have a few more or less at its ends.  ``forced``: the piece ends
     inside a run without white space; ``text_forced``: one of the text's pieces does.
-    Without ``small``, texts within the limit are left out, and their rows not read again.
+    Without ``small``, texts within the limit are left out and never leave the JVM.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
-    size = F.char_length if unit == "code_points" else F.octet_length
+    if unit not in ("code_points", "bytes", "tokens"):
+        raise ValueError("unit is code_points, bytes or tokens")
+    size = F.char_length if unit == "code_points" else F.octet_length  # a token has a byte at least
     fields = [df.schema[k] for k in keys] + [StructField("piece_no", IntegerType()), StructField("start_pos", LongType()), StructField("end_pos", LongType()), StructField("forced", BooleanType()), StructField("text_forced", BooleanType())]
     schema = StructType(fields + [StructField("piece", StringType())] * with_text)
     names = [f.name for f in schema.fields]
 
+    def whole(b: pa.RecordBatch) -> pa.RecordBatch:
+        """Texts that are their only piece, column by column."""
+        n = b.num_rows
+        no = pa.array(np.zeros(n, dtype=bool))
+        texts = b.column(n_keys)
+        tail = [pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64)), pc.utf8_length(texts).cast(pa.int64()), no, no]
+        return pa.RecordBatch.from_arrays([*b.columns[:n_keys], *tail, *([texts.cast(pa.string())] if with_text else [])], names=names)
+
+    n_keys = len(keys)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measure = _measure(unit, path)
         for b in batches:
-            rows, number, starts, ends, forced, whole, texts = [], [], [], [], [], [], []
-            for r, value in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                sizes = None if unit == "code_points" else np.array([len(c.encode()) for c in value])
-                got = pieces_of(value, limit, overlap, sizes)
+            large = b.column(n_keys + 1)
+            if small:
+                rest = b.filter(pc.invert(large))
+                if rest.num_rows:
+                    yield whole(rest)
+                b = b.filter(large)
+            rows, number, starts, ends, forced, every, texts = [], [], [], [], [], [], []
+            for r, value in enumerate(b.column(n_keys).to_pylist()):
+                got = pieces_of(value, limit, overlap, measure(value))
+                if not small and len(got) == 1:
+                    continue
                 any_forced = any(p[2] for p in got)
                 for k, (s, e, f) in enumerate(got):
-                    rows.append(r), number.append(k), starts.append(s), ends.append(e), forced.append(f), whole.append(any_forced)
+                    rows.append(r), number.append(k), starts.append(s), ends.append(e), forced.append(f), every.append(any_forced)
                     if with_text:
                         texts.append(value[s:e])
-            head = [c.take(pa.array(rows, pa.int64())) for c in b.columns[:-1]]
-            tail = [pa.array(number, pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(forced, pa.bool_()), pa.array(whole, pa.bool_())]
+            head = [c.take(pa.array(rows, pa.int64())) for c in b.columns[:n_keys]]
+            tail = [pa.array(number, pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(forced, pa.bool_()), pa.array(every, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*head, *tail, *([pa.array(texts, pa.string())] if with_text else [])], names=names)
 
-    rows = df.select(*keys, F.col(text).alias("_text"))
-    large = rows.where(size("_text") > limit).mapInArrow(run, schema)
-    if not small:
-        return large
-    no: Column = F.lit(False)
-    whole = rows.where((size("_text") <= limit) & (F.col("_text") != ""))
-    whole = whole.select(*keys, F.lit(0).alias("piece_no"), F.lit(0).cast("long").alias("start_pos"), F.char_length("_text").cast("long").alias("end_pos"), no.alias("forced"), no.alias("text_forced"), *([F.col("_text").alias("piece")] if with_text else []))
-    return large.unionByName(whole)
+    value = F.col(text)
+    kept = df.where(size(value) > limit) if not small else df.where(value != "")
+    return kept.select(*keys, value.alias("_text"), (size(value) > limit).alias("_large")).mapInArrow(run, schema)
 
 
 def text_fields(nodes: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -61,3 +61,9 @@ def test_column_nulls_repeats_and_empty_table(spark):
     counts = {r.doc_id: r.n_tokens for r in bpe.count_column(df, ["doc_id"], "text").collect()}
     assert counts == {k: len(v) for k, v in got.items()}
     assert bpe.encode_column(df.where("false"), "doc_id", "text").count() == 0
+
+
+def test_positions_fit_any_text():
+    from quillon.llm import bpe
+
+    assert bpe._POS >= 36 and 62 - bpe._POS > 20

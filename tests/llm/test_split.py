@@ -1,3 +1,5 @@
+import os
+
 import random
 import re
 
@@ -59,3 +61,25 @@ def test_table(spark):
     assert split_oversized(df.where("false"), ["node_key"], "t").count() == 0
     with pytest.raises(ValueError):
         split_oversized(df, ["node_key"], "t", 10, 10)
+
+
+def test_pieces_by_tokens(spark):
+    from quillon.llm.bpe import DEFAULT_VOCABULARY, Encoder
+
+    if not os.path.exists(DEFAULT_VOCABULARY):
+        pytest.skip("no public vocabulary here")
+    encoder = Encoder.of(DEFAULT_VOCABULARY)
+    text = "Điều 1. Phạm vi điều chỉnh\n\nLuật này quy định về bến thuyền 漢字😀. " * 40
+    sizes = encoder.sizes(text)
+    offsets, ids = encoder.encode([text])
+    assert sizes.sum() == len(ids) and len(sizes) == len(text)
+    df = spark.createDataFrame([(1, text), (2, "ngắn"), (3, ""), (4, None), (5, "é" * 30)], "k long, t string")
+    rows = sorted(split_oversized(df, ["k"], "t", 64, 8, unit="tokens").collect())
+    assert {r.k for r in rows} == {1, 2, 5}
+    mine = [r for r in rows if r.k == 1]
+    assert all(sizes[r.start_pos : r.end_pos].sum() <= 64 for r in mine) and mine[-1].end_pos == len(text)
+    assert "".join([mine[0].piece] + [b.piece[a.end_pos - b.start_pos :] for a, b in zip(mine, mine[1:])]) == text
+    large = split_oversized(df, ["k"], "t", 64, 8, unit="tokens", small=False).collect()
+    assert {r.k for r in large} == {1}
+    with pytest.raises(ValueError):
+        split_oversized(df, ["k"], "t", 64, 8, unit="words")
