@@ -25,15 +25,27 @@ from pyspark.sql import functions as F
 from quillon.session import Scratch
 
 POINTER_SCHEMA = "key long, ptr long, steps long, gain long, done boolean"
+LOCAL_ROWS = 1 << 21  # of 33 bytes; the rows that one task holds at a time
 CORE_LIMIT = 1 << 18  # 262,144 rows of 33 bytes: the only set that one task solves alone
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return None
-    t = pa.Table.from_batches(got)
-    return {n: t[n].combine_chunks().to_numpy(zero_copy_only=False).copy() for n in ("key", "ptr", "steps", "gain", "done")}
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Rows at hand, at most about ``LOCAL_ROWS`` at a time: any set of rows may jump together, so a partition of any size needs bounded memory."""
+    got, held = [], 0
+
+    def made() -> dict[str, np.ndarray]:
+        t = pa.Table.from_batches(got)
+        return {n: t[n].combine_chunks().to_numpy(zero_copy_only=False).copy() for n in ("key", "ptr", "steps", "gain", "done")}
+
+    for b in batches:
+        if b.num_rows:
+            got.append(b)
+            held += b.num_rows
+        if held >= LOCAL_ROWS:
+            yield made()
+            got, held = [], 0
+    if got:
+        yield made()
 
 
 def _local_next(a: dict[str, np.ndarray]) -> np.ndarray:
@@ -91,12 +103,9 @@ def _batch(a: dict[str, np.ndarray], keep: np.ndarray | slice = slice(None)) ->
 
 
 def _jump_local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    a = _gather(batches)
-    if a is None:
-        return
-    nxt = _local_next(a)
-    _chase(a, nxt)
-    yield _batch(a)
+    for a in _gather(batches):
+        _chase(a, _local_next(a))
+        yield _batch(a)
 
 
 def _jump_local_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,22 +113,20 @@ def _jump_local_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     Marks are no gains: a row that leads to a marked row is not marked, and rows that are done keep theirs.
     """
-    a = _gather(batches)
-    if a is None:
-        return
-    marks = np.where(a["done"].astype(bool), a["gain"], 0)
-    nxt = _local_next(a)
-    first = nxt.copy()
-    caught = _chase(a, nxt)
-    if caught.any():
-        rest = np.where(caught, first, -1)
-        rest[(rest >= 0) & ~caught[np.maximum(rest, 0)]] = -1
-        on = _peel(rest)
-        minima = _cycle_minima(a["key"], rest, on)
-        a["done"][caught] = True
-        marks[np.isin(a["key"], minima)] = -1
-    a["gain"] = marks
-    yield _batch(a)
+    for a in _gather(batches):
+        marks = np.where(a["done"].astype(bool), a["gain"], 0)
+        nxt = _local_next(a)
+        first = nxt.copy()
+        caught = _chase(a, nxt)
+        if caught.any():
+            rest = np.where(caught, first, -1)
+            rest[(rest >= 0) & ~caught[np.maximum(rest, 0)]] = -1
+            on = _peel(rest)
+            minima = _cycle_minima(a["key"], rest, on)
+            a["done"][caught] = True
+            marks[np.isin(a["key"], minima)] = -1
+        a["gain"] = marks
+        yield _batch(a)
 
 
 def _jump_mates(rows: DataFrame, turn: int, cut: bool) -> DataFrame:

@@ -14,7 +14,7 @@ from quillon.functions.ids import ancestors, base_chunk_id
 from quillon.functions.vectors import METRICS
 
 #: Section types that hold text of their own; the default filter of a search.
-LEAF_TYPES = ("dieu", "khoan", "diem", "phu_luc_phan", "phu_luc")
+LEAF_TYPES = ("dieu", "khoan", "diem", "phu_luc_phan")
 MOST_RESULTS = 100
 #: Rows and queries that meet in one tile.
 ROW_BLOCK, QUERY_BLOCK = 4096, 1024
@@ -138,6 +138,15 @@ def rerank(rows: DataFrame, group: list[str], score: Column, k: int, tie: str) -
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(1, k))
 
 
+def two_stage(found: DataFrame, group: list[str], text: str, score: Column | None, k: int, tie: str) -> DataFrame:
+    """The ``k`` best of what a first stage found, by a second stage's score.  Without a score, or without the text that it judges, there is no second stage: an error."""
+    if score is None:
+        raise ValueError("a second stage needs a reranker")
+    if text not in found.columns:
+        raise ValueError(f"a second stage needs the column {text}")
+    return rerank(found.where(F.col(text).isNotNull()), group, score, k, tie)
+
+
 def drop_descendants(rows: DataFrame, group: str, chunk_id: str) -> DataFrame:
     """Drop a row if a proper ancestor of its id is in the same result list; duplicate marks do not count and equal ids do not drop each other.
 

@@ -31,6 +31,31 @@ def upsert(base: DataFrame, delta: DataFrame, key: str, keep: tuple[str, ...] =
     return both.select(*out)
 
 
+def append(base: DataFrame, delta: DataFrame, key: str | None = None) -> DataFrame:
+    """``base`` and the rows of ``delta``: its columns must be among those of ``base``, missing ones become null.  With ``key``, rows without a key, or with one that is there already, are left out, and of several with one key one is kept."""
+    strange = [c for c in delta.columns if c not in base.columns]
+    if strange:
+        raise ValueError(f"columns that the store does not have: {', '.join(strange)}")
+    rows = delta.select(*(F.col(c).cast(base.schema[c].dataType).alias(c) if c in delta.columns else F.lit(None).cast(base.schema[c].dataType).alias(c) for c in base.columns))
+    if key is None:
+        return base.unionByName(rows)
+    fresh = rows.where(F.col(key).isNotNull()).dropDuplicates([key])
+    return base.unionByName(fresh.join(base.select(F.col(key).alias("_k")).distinct(), F.col(key) == F.col("_k"), "left_anti"))
+
+
+def keep_last(base: DataFrame, delta: DataFrame, key: str, *order: str) -> DataFrame:
+    """Rows of both with one row a key: the last in ``order``, those of ``delta`` after those of ``base``; rows without a key go.  This is how vectors are delivered again."""
+    both = base.withColumn("_new", F.lit(0)).unionByName(delta.withColumn("_new", F.lit(1)), allowMissingColumns=True).where(F.col(key).isNotNull())
+    return latest(both, [key], F.desc("_new"), *(F.desc(c) for c in order)).drop("_new")
+
+
+def removed_count(base: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """How many rows :func:`remove` takes out."""
+    marks = gone.select(*(F.col(k).alias(f"_k_{k}") for k in keys)).distinct()
+    same = reduce(lambda x, y: x & y, (F.col(k) == F.col(f"_k_{k}") for k in keys))
+    return base.join(marks, same, "left_semi").agg(F.count(F.lit(1)).alias("removed"))
+
+
 def deactivate(rows: DataFrame, key: str, gone: DataFrame, gone_key: str, flag: str) -> DataFrame:
     """``flag`` becomes 0 where the key is among ``gone``; one plan serves documents and chunks alike."""
     marks = gone.select(F.col(gone_key).alias("_gone")).distinct()

@@ -119,3 +119,20 @@ def answer(questions: DataFrame, question: str, text: str, chunks: DataFrame, ge
     said = clients.generate(prompts, "query", "prompt", generator).withColumnRenamed("query", "_q")
     with_answer = prompts.join(said, F.col("query") == F.col("_q")).select("query", "answer", "citations", "error")
     return questions.select(F.col(question).alias("query")).join(with_answer, "query", "left")
+
+
+#: Fixed value: what is said where nothing was found to answer from.
+APOLOGY = "Xin lỗi, tôi không thể sinh câu trả lời từ thông tin được cung cấp."
+
+
+def answer_all(questions: DataFrame, question: str, text: str, chunks: DataFrame, generator: Callable[[], clients.Generator], **how) -> DataFrame:
+    """As :func:`answer`, with an apology for questions without any source or answer."""
+    return answer(questions, question, text, chunks, generator, **how).withColumn("answer", F.coalesce(F.nullif("answer", F.lit("")), F.lit(APOLOGY)))
+
+
+def chunk_lines(docs: DataFrame, document: str, text: str) -> DataFrame:
+    """``(document, seq, line)``: the chunks of each document as JSON lines, its root first; written as text this is the side output of indexing."""
+    root = docs.where(F.col(document).isNotNull()).select(F.col(document).alias("so_hieu"), F.lit(-1).alias("seq"), F.col(document).alias("chunk_id"), F.lit("van_ban").alias("kind"), F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("string").alias("text"))
+    below = chunk_documents(docs, document, text).select("so_hieu", "seq", "chunk_id", "kind", "parent_id", "text")
+    every = root.unionByName(below)
+    return every.select("so_hieu", "seq", F.to_json(F.struct("chunk_id", "kind", "parent_id", "text")).alias("line"))

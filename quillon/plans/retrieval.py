@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import ids, vectors
 from quillon.io import table
 from quillon.operators import search, store
+from quillon.plans import questions
 
 METRIC_SQL = {
     "cosine": "1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])",
@@ -140,7 +141,7 @@ def decode_section_id(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunk_metadata_search(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks under article 3, clause 2, whatever the document."""
-    where = search.metadata_filter({"dieu": "Điều 3", "khoan": "Khoản 2"})
+    where = questions.section_filter({"dieu": 3, "khoan": 2})
     return _decoded(spark, sf).where(where).select("node_key", "chunk_id", "so_hieu")
 
 
@@ -299,7 +300,7 @@ SELECT vec_id, chunk_id, distance, rank FROM (SELECT *, row_number() OVER (ORDER
     "vector_upsert": "SELECT chunk_id, max(vec_id) AS vec_id FROM embedding_result WHERE chunk_id <> '' GROUP BY 1",
     "get_by_ids": "SELECT CAST(w.pos AS INT) AS pos, p_partkey, p_name FROM (SELECT unnest(range(5)) AS pos, unnest([30, 7, 99, 1000000000, 12]) AS i) w JOIN part ON p_partkey = i",
     "get_by_metadata": "SELECT vec_id, coalesce(chunk_id, '') AS chunk_id, 0.0::DOUBLE AS distance FROM embedding_result WHERE metadata['section_type'] = 'diem' ORDER BY vec_id LIMIT 20",
-    "leaf_filter": "SELECT type, count(*) AS n FROM document_node WHERE type IN ('dieu', 'khoan', 'diem', 'phu_luc_phan', 'phu_luc') GROUP BY 1",
+    "leaf_filter": "SELECT type, count(*) AS n FROM document_node WHERE type IN ('dieu', 'khoan', 'diem', 'phu_luc_phan') GROUP BY 1",
     "metadata_filter": "SELECT node_key, type FROM document_node WHERE type IN ('khoan', 'diem')",
     "decode_section_id": f"SELECT node_key, {_DECODE} FROM document_node WHERE id IS NOT NULL",
     "chunk_metadata_search": f"SELECT node_key, chunk_id, so_hieu FROM (SELECT node_key, id AS chunk_id, {_DECODE} FROM document_node WHERE id IS NOT NULL) WHERE dieu = 'Điều 3' AND khoan = 'Khoản 2'",

@@ -6,12 +6,17 @@ import atexit
 import os
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def build_session(app: str = "quillon", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC and Arrow; ``conf`` overrides any setting."""
@@ -60,6 +65,18 @@ def ship(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, str(target.parent), True)
 
 
+def with_retry(action: Callable[[], T], attempts: int = 3, wait: float = 20.0) -> T:
+    """What ``action`` gives, tried again after a pause; the last failure is raised.  For services on the driver: tasks are repeated by Spark."""
+    for attempt in range(1, attempts + 1):
+        try:
+            return action()
+        except Exception:  # noqa: BLE001  raised at the last attempt
+            if attempt == attempts:
+                raise
+            time.sleep(wait)
+    raise ValueError("at least one attempt is needed")
+
+
 class Scratch:
     """A folder of written tables that cut lineage and survive the loss of executors.
 

@@ -79,3 +79,22 @@ def test_blocks_of_odd_vectors(spark, metric):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0, None]), (5, []), (6, [1.0, 0.0]), (7, [1.0, 2.0, 3.0]), (8, [0.0, 0.0])], "k long, v array<float>")
     got = search.top_k_of_queries(rows, "k", "v", rows.where("k in (1, 3, 7)"), "k", "v", 2, metric).orderBy("query", "rank").collect()
     assert [(r.query, r.key) for r in got] == [(1, 1), (1, 6), (7, 7)]
+
+
+def test_second_stage_needs_a_reranker_and_texts(spark):
+    rows = spark.createDataFrame([(1, "x", 0.5), (2, None, 0.9), (3, "y", 0.7)], "k long, t string, s double")
+    assert [r.k for r in search.two_stage(rows, [], "t", F.col("s"), 2, "k").orderBy("rank").collect()] == [3, 1]
+    for text, score in (("t", None), ("none", F.col("s"))):
+        with pytest.raises(ValueError):
+            search.two_stage(rows, [], text, score, 2, "k")
+
+
+def test_apology_and_side_output(spark, docs, chunks):
+    class Echo:
+        def generate(self, prompt):
+            return ""
+
+    questions = spark.createDataFrame([(1, "mức phí cầu phao"), (2, "")], "id long, text string")
+    assert {r.answer for r in P.answer_all(questions, "id", "text", chunks, Echo).collect()} == {P.APOLOGY}
+    lines = P.chunk_lines(docs, "so_hieu", "text").where("so_hieu = '12_2022_nđ-cp'").orderBy("seq").collect()
+    assert '"kind":"van_ban"' in lines[0].line and len(lines) > 4

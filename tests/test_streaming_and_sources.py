@@ -77,3 +77,72 @@ def test_clients(spark):
     assert {r.id: r.score for r in clients.score(df, "id", "q", "text").collect()}[1] == 1.0
     answers = {r.id: (r.answer, r.error) for r in clients.generate(df, "id", "text", Failing, size=1).collect()}
     assert answers[1] == ("BẾN THUYỀN", None) and "no service" in answers[3][1]
+
+
+def _docx(body):
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+    return packed.getvalue()
+
+
+def test_marked_documents():
+    p = lambda text, style="": f"<w:p>{style}<w:r><w:t>{text}</w:t></w:r></w:p>"
+    cell = lambda text: f"<w:tc>{p(text)}</w:tc>"
+    body = p("Chương I", '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>') + p("ý", "<w:pPr><w:numPr/></w:pPr>") + f"<w:tbl><w:tr>{cell('a')}{cell('b &amp; c')}</w:tr></w:tbl>" + p("")
+    assert files.docx_markdown(_docx(body)) == "# Chương I\n- ý\n| a | b & c |\n"
+    assert files.docx_text(_docx(body)) == "Chương I\ný\na | b & c\n"
+
+
+def test_pdf_and_doc_files(spark, tmp_path):
+    import zlib
+
+    import pytest
+
+    stream = zlib.compress(b"BT /F1 12 Tf (Dieu 1\\. A \\(b\\)) Tj ET\nBT [(Hai) -250 (ba)] TJ ET")
+    pdf = b"%PDF-1.4\n1 0 obj\n<</Length " + str(len(stream)).encode() + b"/Filter/FlateDecode>>\nstream\n" + stream + b"\nendstream\nendobj\n"
+    assert files.pdf_streams(pdf) == "Dieu 1. A (b)\nHaiba"
+    for bad in (b"x", b"%PDF-1.4\n"):
+        with pytest.raises(Exception):
+            files.pdf_text(bad)
+    with pytest.raises(RuntimeError):
+        files.by_command(["no-such-program"])(b"")
+    with pytest.raises(ValueError):
+        files.refuse_unknown("a.xyz")
+    (tmp_path / "a.md").write_text("**Điều 1**\n\n\n\n> chữ", encoding="utf-8")
+    (tmp_path / "b.pdf").write_bytes(pdf)
+    got = {r.path.rsplit("/", 1)[1]: (r.text, r.error) for r in files.extract_clean(files.read_folder(spark, str(tmp_path))).collect()}
+    assert got["a.md"][0] == "Điều 1\n\nchữ" and got["b.pdf"][1] is None
+
+
+def test_queries_from_files_and_resumed_shards(spark, tmp_path):
+    (tmp_path / "q.txt").write_text(" câu hỏi \n", encoding="utf-8")
+    assert files.read_query(f"@file:{tmp_path}/q.txt") == "câu hỏi" and files.read_query("x") == "x"
+    assert {r.id for r in files.shard(spark.range(10), "id", 2, 1, done=2).collect()} == {7, 8, 9}
+
+
+def test_appending_and_delivering_again(spark):
+    import pytest
+
+    from quillon.operators import store
+    from quillon.session import with_retry
+
+    base = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    delta = spark.createDataFrame([("b",), ("c",), ("c",), (None,)], "k string")
+    assert sorted(r.k for r in store.append(base, delta, "k").collect()) == ["a", "b", "c"] and store.append(base, delta).count() == 6
+    with pytest.raises(ValueError):
+        store.append(base, delta.withColumnRenamed("k", "x"))
+    again = spark.createDataFrame([("b", 7), ("b", 9), (None, 1)], "k string, v int")
+    assert {r.k: r.v for r in store.keep_last(base, again, "k", "v").collect()} == {"a": 1, "b": 9}
+    assert store.removed_count(base, delta, ["k"]).first().removed == 1
+    tries = []
+
+    def failing():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError
+        return 5
+
+    assert with_retry(failing, wait=0) == 5 and len(tries) == 3
+    with pytest.raises(OSError):
+        with_retry(lambda: (_ for _ in ()).throw(OSError()), attempts=2, wait=0)
