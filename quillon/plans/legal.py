@@ -43,10 +43,16 @@ def list_items(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", F.array_join(T.listed("khoản", F.col("text")), "|").alias("clauses"))
 
 
+#: Words that refer to the section in which they stand, put behind each content of the test.
+_OWN_WORDS = " Theo khoản này, điều này, tại thời điểm này và danh mục này của Luật này."
+
+
 def self_refs(spark: SparkSession, sf: str) -> DataFrame:
     """Self-references of each node, resolved by its own id."""
-    rows = spread(table(spark, sf, "document_node").select("node_key", "id", "content")).where("id is not null and content is not null").select("node_key", F.concat("id", F.lit("\u0001"), "content").alias("both"))
-    return L.per_text(rows, "node_key", "both", _self, "refs", "array<string>").where("size(refs) > 0")
+    rows = spread(table(spark, sf, "document_node").select("node_key", "id", "content")).where("id is not null and content is not null")
+    both = rows.select("node_key", F.concat("id", F.lit("\u0001"), "content", F.lit(_OWN_WORDS)).alias("both"))
+    found = L.per_text(both, "node_key", "both", _self, "refs", "array<string>")
+    return found.select("node_key", F.array_join("refs", "|").alias("refs"))
 
 
 def _context(node_id: str) -> dict[str, str]:
@@ -86,7 +92,13 @@ def safe_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def html_to_text(spark: SparkSession, sf: str) -> DataFrame:
-    return L.per_text(_docs(spark, sf), "doc_id", "text", L.html_to_text, "plain", "string")
+    """Visible text of pages made of each node's title and content."""
+    escaped = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    title, content = F.col("title"), F.col("content")
+    page = F.concat(F.lit("<html><style>p {color: red}</style><body><div class='x'>"), escaped(title), F.lit("</div><script>var a = '<p>';</script><table><tr><td>"), escaped(content), F.lit("</td></tr></table><p>hết<br>trang&nbsp;</p></body></html>"))
+    pages = spread(table(spark, sf, "document_node").select("node_key", "title", "content")).select("node_key", page.alias("page"))
+    read = L.per_text(pages, "node_key", "page", L.html_to_text, "plain", "string")
+    return read.select("node_key", F.md5(T.apply(F.col("plain"), [(T.WHITE + "+", " "), *T.STRIP])).alias("digest"))
 
 
 def _pieces(function):
@@ -135,7 +147,18 @@ walk(doc_id, pos, chunk, held) AS (
   SELECT doc_id, pos, 0, n FROM s WHERE pos = 1
   UNION ALL SELECT s.doc_id, s.pos, CASE WHEN w.held + s.n > 200 THEN w.chunk + 1 ELSE w.chunk END, CASE WHEN w.held + s.n > 200 THEN s.n ELSE w.held + s.n END FROM walk w JOIN s ON s.doc_id = w.doc_id AND s.pos = w.pos + 1)
 SELECT w.doc_id, CAST(w.chunk AS INT) AS piece_no, string_agg(s.s, ' ' ORDER BY s.pos) AS piece FROM walk w JOIN s ON s.doc_id = w.doc_id AND s.pos = w.pos GROUP BY 1, 2"""
+_PARTS = "string_split(id, '.')"
+
+
+def _section(kind: str) -> str:
+    """The id up to its last segment of a kind."""
+    places = f"list_filter(range(2, len({_PARTS}) + 1), lambda i: starts_with({_PARTS}[i], '{kind}_'))"
+    return f"CASE WHEN len({places}) > 0 THEN array_to_string(list_slice({_PARTS}, 1, ({places})[-1]), '.') END"
+
+
 ORACLE: dict[str, str] = {
+    "self_refs": f"SELECT node_key, array_to_string(list_filter([{_section('khoan')}, {_section('dieu')}, {_PARTS}[1]], lambda x: x <> ''), '|') AS refs FROM document_node WHERE id IS NOT NULL AND content IS NOT NULL",
+    "html_to_text": f"SELECT node_key, md5(trim(regexp_replace(coalesce(title, '') || ' ' || coalesce(content, '') || ' hết trang', '{T.WHITE}+', ' ', 'g'))) AS digest FROM document_node",
     "extract_title": f"SELECT doc_id, {M.title_sql('text')} AS title FROM {_DOCS}",
     "effective_date": f"SELECT doc_id, {M.effective_date_sql('text')} AS in_force FROM {_DOCS}",
     "issue_date": f"SELECT doc_id, {M.issue_date_sql('text')} AS issued FROM {_DOCS}",

@@ -27,6 +27,15 @@ def p3_spans(spark: SparkSession, sf: str) -> DataFrame:
     return Hierarchy(table(spark, sf, "document_node")).spans().select("node_id", "root", "tree_depth", "entry", "exit", "n_descendants")
 
 
+def p3_rooted(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes that reach a root, with path, depth and number of descendants: what the tours give, side by side."""
+    h = Hierarchy(table(spark, sf, "document_node"))
+    found = h.found().where("depth >= 0").select("node_id", "root_id", "depth")
+    spans = h.spans().select(F.col("node_id").alias("s_id"), "n_descendants")
+    paths = h.paths().select(F.col("node_id").alias("p_id"), F.md5("path").alias("path_digest"))
+    return found.join(spans, F.col("node_id") == F.col("s_id")).join(paths, F.col("node_id") == F.col("p_id")).select("node_id", "root_id", "depth", "path_digest", "n_descendants")
+
+
 def p3_descendants(spark: SparkSession, sf: str) -> DataFrame:
     """All descendants of each node that a row with a key divisible by 20 names."""
     rows = table(spark, sf, "document_node")
@@ -65,7 +74,7 @@ def p4_report(spark: SparkSession, sf: str) -> DataFrame:
     return orphan_state(spark, sf).snapshot()
 
 
-QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_spans": p3_spans, "p3_descendants": p3_descendants, "p4_found": p4_found, "p4_report": p4_report}
+QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_spans": p3_spans, "p3_rooted": p3_rooted, "p3_descendants": p3_descendants, "p4_found": p4_found, "p4_report": p4_report}
 
 _KEY = r"regexp_replace(regexp_replace(replace(lower(nfc_normalize({0})), 'đ', 'd'), '[^\p{{L}}\p{{M}}\p{{N}}]+', '_', 'g'), '^_|_$', '', 'g')"
 _WS = r"[^\x{{9}}-\x{{D}}\x{{20}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]"
@@ -110,6 +119,15 @@ SELECT id AS node_id, root AS root_id, CAST(depth AS INT) AS depth FROM down
 UNION ALL
 SELECT DISTINCT l.id, r.low, CASE WHEN EXISTS (SELECT 1 FROM ring x WHERE x.id = l.id) THEN -1 ELSE -2 END
 FROM lost l JOIN walk w ON w.id = l.id JOIN ring r ON r.id = w.pos""",
+    "p3_rooted": """
+WITH RECURSIVE last AS (
+  SELECT id, nullif(arg_max(coalesce(parent_id, ''), node_key), '') AS p FROM document_node WHERE id IS NOT NULL GROUP BY id),
+up AS (SELECT a.id, b.id AS p FROM last a LEFT JOIN last b ON a.p = b.id),
+down(id, root, line) AS (
+  SELECT id, id, [id] FROM up WHERE p IS NULL
+  UNION ALL SELECT u.id, d.root, list_append(d.line, u.id) FROM up u JOIN down d ON u.p = d.id),
+below AS (SELECT id, count(*) - 1 AS n FROM (SELECT unnest(line) AS id FROM down) GROUP BY id)
+SELECT d.id AS node_id, d.root AS root_id, CAST(len(d.line) - 1 AS INT) AS depth, md5(array_to_string(d.line, ' > ')) AS path_digest, b.n AS n_descendants FROM down d JOIN below b ON b.id = d.id""",
     "p4_found": _p4("SELECT id, side, target_table, kind, period FROM judged WHERE kind <> 'ok'"),
     "p4_report": _p4("SELECT target_table, period, kind, count(*) AS orphans FROM judged WHERE kind <> 'ok' GROUP BY ALL"),
 }
