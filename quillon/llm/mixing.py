@@ -22,7 +22,7 @@ cells is thus bounded by the number of target rows times a constant.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import DEFAULT_VOCABULARY, count_column
@@ -120,16 +120,12 @@ class Mixture:
         u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
         self.weighted = self.scratch.save(self.sized.join(F.broadcast(factors), ["source", "language", "topic"]).select("doc_id", "source", "n_tokens", "m", "cap", u.alias("u")), "weighted")  # factors: at most 90 rows a source
         gains = self.weighted.select("source", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("cap"))).alias("j"), "m", "u").select("source", self._place("j").alias("place"), "n_tokens")
-        steps = gains.groupBy("source", "place").agg(F.sum("n_tokens").alias("gain")).collect()  # at most STEPS places a copy and source
+        steps = gains.groupBy("source", "place").agg(F.sum("n_tokens").alias("gain"))  # at most STEPS * HIGHEST places a source
         live = {s for s in weights if weights[s] > 0 and caps[s] > 0 and any(k[0] == s for k in keys)}
-        limits = []
-        for s in live:
-            goal = self.total * weights[s] / sum(weights[x] for x in live)
-            own = sorted((r["place"], r["gain"]) for r in steps if r["source"] == s)
-            reached = np.cumsum([g for _, g in own])
-            best = int(np.argmin(np.abs(np.concatenate(([0.0], reached)) - goal)))
-            limits.append((s, own[best - 1][0] if best else -1))
-        self.limits = spark.createDataFrame(limits, "l_source string, upto long")
+        goals = spark.createDataFrame([(s, self.total * weights[s] / sum(weights[x] for x in live)) for s in live], "g_source string, goal double")
+        reached = steps.withColumn("off", F.sum("gain").over(Window.partitionBy("source").orderBy("place"))).join(F.broadcast(goals), F.col("source") == F.col("g_source")).withColumn("off", F.abs(F.col("off") - F.col("goal")))  # one row a target source
+        nearest = reached.groupBy("source").agg(F.min(F.struct("off", "place")).alias("best"), F.first("goal").alias("goal"))
+        self.limits = self.scratch.save(nearest.select(F.col("source").alias("l_source"), F.when(F.col("goal") <= F.col("best.off"), F.lit(-1)).otherwise(F.col("best.place")).cast("long").alias("upto")), "limits")
 
     @staticmethod
     def _place(j: str) -> Column:
