@@ -484,7 +484,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float = -1.
     total = marks.count()
     hot = marks.groupBy("g1", "g2").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n")).where(F.col("n") > _copies_limit(total, k)).drop("n")
     hot = scratch.save(hot, "hot")  # at most a million rows
-    members = scratch.save(marks.join(F.broadcast(hot), ["g1", "g2"]).select("k", "rep"), "members")
+    members = marks.join(F.broadcast(hot), ["g1", "g2"]).select("k", "rep")
     prepared = slim.mapInArrow(_prepare(dim, True), "k long, g1 long, g2 long, v binary")
     single = prepared.join(F.broadcast(hot), ["g1", "g2"], "left").where("rep is null or k = rep")
     rows = single.select(F.when(F.col("k") % every_query == 0, 0).otherwise(1).alias("role"), "k", "v")

@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -61,9 +62,12 @@ CLOSING = frozenset("v.v vv etc a.m p.m co ltd inc corp jr sr s.a cie bros".spli
 INDEX = re.compile(r"\d|[IVXLC]+\b|[^\W\d_]\b|§")
 
 
+_EVERY = "".join(map(chr, [*range(0x20000), *range(0xE0000, 0xE1000)]))  # the planes between hold ideographs alone
+
+
 def _with(sentence_break: str) -> frozenset[str]:
     """All characters with a value of the property Sentence_Break."""
-    return frozenset(regex.findall(rf"\p{{Sentence_Break={sentence_break}}}", "".join(map(chr, range(0x110000)))))
+    return frozenset(regex.findall(rf"\p{{Sentence_Break={sentence_break}}}", _EVERY))
 
 
 #: Terminators that always end, but ! and ?, which have rules of their own, with the Tibetan shad; and full stops that may be ambiguous, but the period.
@@ -76,13 +80,24 @@ OPENERS |= {"“": "”", "«": "»", "„": "“", "‹": "›"}
 CLOSERS = frozenset(OPENERS.values()) | {"'"} | {c for c in _CLOSE if unicodedata.category(c) in ("Pe", "Pf")}
 #: Signs after which the sentence goes on: with Sentence_Break=SContinue, but for dashes, which may open an item or a speech; closing signs; and some symbols.
 GOES_ON = {c for c in _with("SContinue") if unicodedata.category(c) != "Pd"} | {c for c in CLOSERS if c not in "'“"} | set(";%、；/=|&\u037e")
-_OPEN_CLASS = re.escape("".join(OPENERS))
-_CLOSE_CLASS = re.escape("".join(set(OPENERS.values())))
-_END_CLASS = re.escape("".join(ALWAYS | WIDE_STOPS))
 _THAI = "\u0e01-\u0e3a\u0e40-\u0e4e"
 _LAO = "\u0e81-\u0ebd\u0ec0-\u0ecd\u0edc-\u0edf"
 
-EVENT = re.compile(rf'[{_OPEN_CLASS}]|[{_CLOSE_CLASS}]|"|[.!?…{_END_CLASS}]+|(?<=[{_THAI}])[^\S\r\n]+(?=[{_THAI}])|(?<=[{_LAO}])[^\S\r\n]+(?=[{_LAO}])')
+#: Where a sentence may end, or its inside begin or end: brackets and quotation marks, terminators, and blanks between Thai or Lao letters.
+_BRACKETS, _ENDS = frozenset(OPENERS) | frozenset(OPENERS.values()) | {'"'}, ALWAYS | WIDE_STOPS | frozenset(".!?…")
+_LETTERS = {x: frozenset(re.findall(f"[{x}]", "".join(map(chr, range(0xE00, 0xF00))))) for x in (_THAI, _LAO)}
+
+
+@lru_cache(maxsize=4096)
+def _events(brackets: frozenset[str], ends: frozenset[str], scripts: tuple[str, ...]) -> re.Pattern:
+    parts = [f"[{re.escape(''.join(brackets))}]"] * bool(brackets) + [f"[{re.escape(''.join(ends))}]+"] * bool(ends)
+    return re.compile("|".join(parts + [rf"(?<=[{x}])[^\S\r\n]+(?=[{x}])" for x in scripts]) or "(?!)")
+
+
+def events_of(text: str) -> re.Pattern:
+    """The pattern of all such places, of what occurs in the text alone: a search among few signs is faster than one among all."""
+    seen = set(text)
+    return _events(_BRACKETS & seen, _ENDS & seen, tuple(x for x, letters in _LETTERS.items() if not letters.isdisjoint(seen)))
 LINE = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 #: What may stand at the head of a line before the text that it belongs to.
 LABEL = re.compile(
@@ -287,10 +302,11 @@ def sentences(text: str, lang: str | None = None) -> list[tuple[int, int]]:
         if s < e:
             out.append((s, e))
 
+    event = events_of(text)
     for start, end in _hard_breaks(text):
         at = start
         stack: list[str] = []
-        for m in EVENT.finditer(text, start, end):
+        for m in event.finditer(text, start, end):
             i, j = m.span()
             c = text[i]
             if j <= at:
