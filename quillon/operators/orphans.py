@@ -119,13 +119,16 @@ class OrphanState:
 
     def _merged_parents(self, changed: DataFrame) -> DataFrame:
         """What the parents' log gets: the new rows of the touched keys, and their old ones taken back."""
-        columns = ["target_table", "key", "live", "first_seen", "gone"]
-        weigh = lambda df, w: df.select(*columns, F.lit(w).cast("long").alias("weight"))
-        merge = lambda df: df.groupBy("target_table", "key").agg(F.sum("live").alias("live"), F.min("first_seen").alias("first_seen"), F.max("gone").alias("gone")).withColumn("first_seen", F.when(F.col("live") > 0, F.col("first_seen")))
-        if not self.version:
-            return weigh(merge(changed), 1)
-        old = _holding(_of_keys(self._log("index", INDEX, self.version), changed), INDEX).select(*columns)
-        return weigh(merge(old.unionByName(changed)), 1).unionByName(weigh(old, -1))
+        changed = changed.withColumn("old", F.lit(False))
+        if self.version:
+            held = _holding(_of_keys(self._log("index", INDEX, self.version), changed), INDEX).drop("weight")
+            changed = changed.unionByName(held.withColumn("old", F.lit(True)))
+        row = lambda live, seen, gone, weight: F.struct(live.alias("live"), seen.alias("first_seen"), gone.alias("gone"), F.lit(weight).cast("long").alias("weight"))
+        was = F.when(F.col("old"), F.struct("live", "first_seen", "gone"))
+        merged = changed.groupBy("target_table", "key").agg(F.sum("live").alias("live"), F.min("first_seen").alias("seen"), F.max("gone").alias("gone"), F.max(was).alias("was"))
+        now = row(F.col("live"), F.when(F.col("live") > 0, F.col("seen")), F.col("gone"), 1)
+        back = F.when(F.col("was").isNotNull(), row(F.col("was.live"), F.col("was.first_seen"), F.col("was.gone"), -1))
+        return merged.select("target_table", "key", F.inline(F.array_compact(F.array(now, back))))
 
     def _judged(self, todo: DataFrame, version: int) -> DataFrame:
         """What the references' log gets: rows of a kind that is new, and the rows they replace taken back."""
