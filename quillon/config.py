@@ -8,6 +8,7 @@ from pathlib import Path
 
 from quillon.functions import legal
 
+#: Settings that hold where nothing else is given.
 DEFAULTS = {
     "chunking": {"strategy": "hierarchical"},
     "embedding": {"max_length": 256, "batch_size": 32, "pooling": "auto", "normalize": False},

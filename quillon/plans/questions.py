@@ -20,6 +20,8 @@ from quillon.operators import search, store, titles
 NUMBERED, LETTERED = ("phan", "chuong", "muc", "dieu", "khoan"), ("diem", "tap")
 SECTION = (*NUMBERED, *LETTERED)
 LEAST_LIKENESS = 0.5
+#: How found and missing sections are shown.
+FOUND, SOURCES, MISSING, NO_RESULT, NO_PLACE = "### Trích xuất chính xác: ", "**Trích nguồn:**", "### Không tìm thấy: ", "Không có kết quả phù hợp.", "N/A"
 CITATION = "struct<so_hieu: string, ten_van_ban: string, phan: int, chuong: string, muc: int, dieu: string, khoan: string, diem: string>"
 
 
@@ -114,12 +116,12 @@ def shown_sections(found: DataFrame, requests: DataFrame, request: str, query: s
     """``(request, context)``: the sections found with what they cite, or that there are none."""
     d = ids.decode(F.col("chunk_id"))
     place = F.concat_ws(", ", d["dieu"], d["khoan"])
-    cited = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), d["so_hieu"], F.lit(" - "), F.when(place != "", place).otherwise("N/A"))
+    cited = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), d["so_hieu"], F.lit(" - "), F.when(place != "", place).otherwise(NO_PLACE))
     rows = found.join(chunks.select(F.col(chunk_id).alias("_c"), F.col(text).alias("_t")), F.col("chunk_id") == F.col("_c")).select("request", F.struct("rank", F.coalesce("_t", F.lit("")).alias("t"), cited.alias("c")).alias("x"))
     lists = rows.groupBy("request").agg(F.array_sort(F.collect_list("x")).alias("x"))  # a request's few sections
     texts, marks = F.array_join(F.transform("x", lambda s: s["t"]), "\n\n"), F.array_join(F.transform("x", lambda s: s["c"]), "\n")
-    body = F.concat(F.lit("### Trích xuất chính xác: "), F.col(query), F.lit("\n\n"), texts, F.lit("\n**Trích nguồn:**\n"), marks)
-    nothing = F.concat(F.lit("### Không tìm thấy: "), F.col(query), F.lit("\n\nKhông có kết quả phù hợp."))
+    body = F.concat(F.lit(FOUND), F.col(query), F.lit("\n\n"), texts, F.lit(f"\n{SOURCES}\n"), marks)
+    nothing = F.concat(F.lit(MISSING), F.col(query), F.lit(f"\n\n{NO_RESULT}"))
     joined = requests.select(F.col(request).alias("_r"), F.col(query)).join(lists, F.col("_r") == F.col("request"), "left")
     return joined.select(F.col("_r").alias("request"), F.when(F.col("x").isNotNull(), body).otherwise(nothing).alias("context"))
 

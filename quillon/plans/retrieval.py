@@ -209,13 +209,16 @@ def chunk_index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def parent_context(spark: SparkSession, sf: str) -> DataFrame:
-    """Titles of the ancestors that are stored, outermost first, one a line."""
+    """Titles and contents of the ancestors that are stored, outermost first, one a line."""
     nodes = table(spark, sf, "document_node").where("id is not null")
-    one = nodes.groupBy("id").agg(F.max(F.struct("node_key", "title")).alias("m")).select("id", F.col("m.node_key").alias("node_key"), F.col("m.title").alias("title"))
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    own = F.nullif(F.concat_ws("\n", blank("title"), blank("content")), F.lit(""))
+    one = nodes.groupBy("id").agg(F.max("node_key").alias("node_key"))
+    texts = nodes.select(F.col("node_key").alias("t_key"), own.alias("text")).where("text is not null")
+    shown = one.join(texts, F.col("node_key") == F.col("t_key")).select(F.col("id").alias("t_id"), "text")
     up = one.select("node_key", F.posexplode(ids.ancestors(F.col("id"))).alias("level", "up"))
-    titles = one.where("title <> ''").select(F.col("id").alias("t_id"), "title")
-    met = up.join(titles, F.col("up") == F.col("t_id")).groupBy("node_key").agg(F.array_sort(F.collect_list(F.struct("level", "title"))).alias("t"))  # as many as the id has segments
-    return met.select("node_key", F.array_join(F.transform("t", lambda x: x["title"]), "\n").alias("context"))
+    met = up.join(shown, F.col("up") == F.col("t_id")).groupBy("node_key").agg(F.array_sort(F.collect_list(F.struct("level", "text"))).alias("t"))  # as many as the id has segments
+    return met.select("node_key", F.md5(F.array_join(F.transform("t", lambda x: x["text"]), "\n")).alias("digest"))
 
 
 def flatten_tree(spark: SparkSession, sf: str) -> DataFrame:
@@ -314,7 +317,7 @@ SELECT vec_id, chunk_id, distance, rank FROM (SELECT *, row_number() OVER (ORDER
     "id_uniquify": "SELECT node_key, CASE WHEN n > 0 THEN id || '.' || n ELSE id END AS unique_id FROM (SELECT node_key, id, row_number() OVER (PARTITION BY so_hieu, id ORDER BY node_key) - 1 AS n FROM document_node WHERE id IS NOT NULL)",
     "batch_dedup": "SELECT node_key, CASE WHEN again THEN id || '.batch.' || CAST(sum(CASE WHEN again THEN 1 ELSE 0 END) OVER (ORDER BY node_key) AS BIGINT) ELSE id END AS unique_id FROM (SELECT node_key, id, row_number() OVER (PARTITION BY id ORDER BY node_key) > 1 AS again FROM document_node WHERE id IS NOT NULL)",
     "chunk_index": "SELECT node_key, row_number() OVER (PARTITION BY so_hieu ORDER BY node_key) AS chunk_index FROM document_node WHERE type IS NULL OR type <> 'van_ban'",
-    "parent_context": f"WITH one AS (SELECT id, max(node_key) AS node_key FROM document_node WHERE id IS NOT NULL GROUP BY 1), t AS (SELECT o.id, o.node_key, d.title FROM one o JOIN document_node d USING (node_key)), u AS (SELECT node_key, unnest(range(len(string_split(id, '.')) - 1)) AS level, unnest({_ANC.format('id')}) AS up FROM t WHERE contains(id, '.')) SELECT u.node_key, string_agg(t.title, chr(10) ORDER BY level, t.title) AS context FROM u JOIN t ON u.up = t.id WHERE t.title <> '' GROUP BY 1",
+    "parent_context": f"WITH one AS (SELECT id, max(node_key) AS node_key FROM document_node WHERE id IS NOT NULL GROUP BY 1), t AS (SELECT o.id, o.node_key, concat_ws(chr(10), nullif(d.title, ''), nullif(d.content, '')) AS x FROM one o JOIN document_node d USING (node_key)), u AS (SELECT node_key, unnest(range(len(string_split(id, '.')) - 1)) AS level, unnest({_ANC.format('id')}) AS up FROM t WHERE contains(id, '.')) SELECT u.node_key, md5(string_agg(t.x, chr(10) ORDER BY level)) AS digest FROM u JOIN t ON u.up = t.id WHERE t.x <> '' GROUP BY 1",
     "flatten_tree": "SELECT node_key, row_number() OVER (PARTITION BY so_hieu ORDER BY node_key) AS seq, CASE WHEN type IN ('khoan', 'dieu') THEN CAST(length(full_text) AS INT) END AS full_chars FROM document_node WHERE coalesce(title, '') <> '' OR coalesce(content, '') <> '' OR coalesce(len(reference), 0) > 0",
     "embed_text": "SELECT node_key, length(t) AS chars, md5(t) AS digest FROM (SELECT node_key, concat_ws(chr(10), nullif(parent_context, ''), nullif(title, ''), nullif(content, '')) AS t FROM document_node)",
     "embed_metadata": f"SELECT d.node_key, d.so_hieu, d.dieu, d.khoan, nullif(n.type, '') AS section_type, nullif(n.parent_id, '') AS parent_id, CASE WHEN len(n.reference) > 0 THEN CAST(to_json(n.reference) AS VARCHAR) END AS reference, md5(CASE WHEN n.type IN ('khoan', 'dieu') THEN nullif(n.full_text, '') END) AS full_digest, 1 AS trang_thai FROM (SELECT node_key, {_DECODE} FROM document_node WHERE id IS NOT NULL) d JOIN document_node n USING (node_key)",
