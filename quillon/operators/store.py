@@ -99,3 +99,31 @@ def ordinal(rows: DataFrame, group: str, key: str, name: str, block_bits: int =
     inner = marked.withColumn("_in", F.row_number().over(Window.partitionBy(group, "_block").orderBy(key)))
     joined = inner.join(starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_block") == F.col("_b")))
     return joined.withColumn(name, F.col("_in") + F.col("_before")).drop("_block", "_g", "_b", "_before", "_in")
+
+
+#: What stands for an unknown title and type.
+UNKNOWN, SOME_TYPE = "Chưa xác định", "Văn bản"
+DESCRIBED = ("ten_van_ban", "loai", "co_quan_ban_hanh", "ngay_ban_hanh", "ngay_co_hieu_luc", "file_path")
+
+
+def collapse(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """One described document a key, out of many rows in ``order``.
+
+    The first row describes it; a later row takes over if it names the title where that is
+    unknown, or the agency where there is none, and keeps what it leaves empty.  Only the
+    first row, the first with a title and the first with an agency can do so, so a key of
+    any number of rows is three rows of an aggregate.  The unknown title counts as empty.
+    """
+    clean = lambda c: F.coalesce(F.nullif(F.nullif(F.col(c), F.lit("")), F.lit(UNKNOWN)), F.lit("")).alias(c)
+    named = rows.where(F.coalesce(F.col(key), F.lit("")) != "").select(key, F.struct(F.col(order).alias("at"), *(clean(c) for c in DESCRIBED)).alias("r"))
+    first = lambda test: F.min(F.when(test, F.col("r")))  # noqa: E731  the order comes first in the row
+    three = named.groupBy(key).agg(F.array_sort(F.array_distinct(F.array_compact(F.array(F.min("r"), first(F.col("r.ten_van_ban") != ""), first(F.col("r.co_quan_ban_hanh") != ""))))).alias("x"), F.count(F.lit(1)).alias("rows"))
+
+    def over(old: Column, new: Column) -> Column:
+        better = ((old["ten_van_ban"] == "") & (new["ten_van_ban"] != "")) | ((old["co_quan_ban_hanh"] == "") & (new["co_quan_ban_hanh"] != ""))
+        filled = F.struct(new["at"].alias("at"), *(F.coalesce(F.nullif(new[c], F.lit("")), old[c]).alias(c) for c in DESCRIBED))
+        return F.when(better, filled).otherwise(old)
+
+    best = three.select(key, "rows", F.aggregate(F.slice("x", 2, 2), F.element_at("x", 1), over).alias("r"))
+    instead = {"ten_van_ban": UNKNOWN, "loai": SOME_TYPE}
+    return best.select(key, "rows", *(F.coalesce(F.nullif(F.col(f"r.{c}"), F.lit("")), F.lit(instead.get(c, ""))).alias(c) for c in DESCRIBED))

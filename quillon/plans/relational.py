@@ -163,11 +163,8 @@ def index_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def resync_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks collapsed to one row a document: the best described chunk, then the first."""
-    n = table(spark, sf, "document_node").where("so_hieu is not null")
-    better = F.when(F.coalesce("title", F.lit("")) != "", 1).otherwise(0)
-    best = n.groupBy("so_hieu").agg(F.max(F.struct(better.alias("b"), (-F.col("node_key")).alias("k"))).alias("m"), F.count(F.lit(1)).alias("chunks"))
-    return best.select("so_hieu", (-F.col("m.k")).alias("node_key"), "chunks")
+    """All deliveries of a document collapsed to one row."""
+    return store.collapse(table(spark, sf, "document_metadata"), "so_hieu", "meta_id")
 
 
 def ordered_concat(spark: SparkSession, sf: str) -> DataFrame:
@@ -365,7 +362,10 @@ ORACLE = {
     "chunk_type_counts": "SELECT type, count(*) AS n FROM document_node GROUP BY 1",
     "agency_distribution": "SELECT lower(co_quan_ban_hanh) AS agency, count(*) AS n FROM document_metadata GROUP BY 1",
     "index_stats": "SELECT metadata['section_type'] AS kind, count(*) AS chunks, count(*) FILTER (WHERE coalesce(len(vector) = 64, false)) AS usable, count(*) FILTER (WHERE NOT coalesce(len(vector) = 64, false)) AS failed FROM embedding_result GROUP BY 1",
-    "resync_docs": "SELECT so_hieu, arg_max(node_key, (CASE WHEN coalesce(title, '') <> '' THEN 1 ELSE 0 END) * 1000000000000 - node_key) AS node_key, count(*) AS chunks FROM document_node WHERE so_hieu IS NOT NULL GROUP BY 1",
+    "resync_docs": """
+WITH RECURSIVE r AS (SELECT so_hieu, row_number() OVER (PARTITION BY so_hieu ORDER BY meta_id) AS n, count(*) OVER (PARTITION BY so_hieu) AS rows, coalesce(nullif(nullif(ten_van_ban, ''), 'Chưa xác định'), '') AS ten_van_ban, coalesce(nullif(nullif(loai, ''), 'Chưa xác định'), '') AS loai, coalesce(nullif(nullif(co_quan_ban_hanh, ''), 'Chưa xác định'), '') AS co_quan_ban_hanh, coalesce(nullif(nullif(ngay_ban_hanh, ''), 'Chưa xác định'), '') AS ngay_ban_hanh, coalesce(nullif(nullif(ngay_co_hieu_luc, ''), 'Chưa xác định'), '') AS ngay_co_hieu_luc, coalesce(nullif(nullif(file_path, ''), 'Chưa xác định'), '') AS file_path FROM document_metadata WHERE so_hieu <> ''),
+d AS (SELECT * FROM r WHERE n = 1 UNION ALL SELECT r.so_hieu, r.n, r.rows, CASE WHEN (d.ten_van_ban = '' AND r.ten_van_ban <> '') OR (d.co_quan_ban_hanh = '' AND r.co_quan_ban_hanh <> '') THEN coalesce(nullif(r.ten_van_ban, ''), d.ten_van_ban) ELSE d.ten_van_ban END, CASE WHEN (d.ten_van_ban = '' AND r.ten_van_ban <> '') OR (d.co_quan_ban_hanh = '' AND r.co_quan_ban_hanh <> '') THEN coalesce(nullif(r.loai, ''), d.loai) ELSE d.loai END, CASE WHEN (d.ten_van_ban = '' AND r.ten_van_ban <> '') OR (d.co_quan_ban_hanh = '' AND r.co_quan_ban_hanh <> '') THEN coalesce(nullif(r.co_quan_ban_hanh, ''), d.co_quan_ban_hanh) ELSE d.co_quan_ban_hanh END, CASE WHEN (d.ten_van_ban = '' AND r.ten_van_ban <> '') OR (d.co_quan_ban_hanh = '' AND r.co_quan_ban_hanh <> '') THEN coalesce(nullif(r.ngay_ban_hanh, ''), d.ngay_ban_hanh) ELSE d.ngay_ban_hanh END, CASE WHEN (d.ten_van_ban = '' AND r.ten_van_ban <> '') OR (d.co_quan_ban_hanh = '' AND r.co_quan_ban_hanh <> '') THEN coalesce(nullif(r.ngay_co_hieu_luc, ''), d.ngay_co_hieu_luc) ELSE d.ngay_co_hieu_luc END, CASE WHEN (d.ten_van_ban = '' AND r.ten_van_ban <> '') OR (d.co_quan_ban_hanh = '' AND r.co_quan_ban_hanh <> '') THEN coalesce(nullif(r.file_path, ''), d.file_path) ELSE d.file_path END FROM d JOIN r ON r.so_hieu = d.so_hieu AND r.n = d.n + 1)
+SELECT so_hieu, rows, coalesce(nullif(ten_van_ban, ''), 'Chưa xác định') AS ten_van_ban, coalesce(nullif(loai, ''), 'Văn bản') AS loai, coalesce(nullif(co_quan_ban_hanh, ''), '') AS co_quan_ban_hanh, coalesce(nullif(ngay_ban_hanh, ''), '') AS ngay_ban_hanh, coalesce(nullif(ngay_co_hieu_luc, ''), '') AS ngay_co_hieu_luc, coalesce(nullif(file_path, ''), '') AS file_path FROM d WHERE n = rows""",
     "ordered_concat": "SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), '. ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS parts FROM lineitem GROUP BY 1",
     "fan_in": "SELECT user_id, count(*) AS n, arg_min(event_id, (CASE event_type WHEN 'purchase' THEN 0 ELSE 1 END) * 1000000000000 + event_id) AS first_event FROM events WHERE event_type IN ('purchase', 'click') GROUP BY 1",
     "eval_join": f"SELECT o_orderkey, predicted, truth, predicted = truth AS is_correct FROM {_EVAL}",

@@ -215,3 +215,15 @@ def test_whole_context_for_every_sub_question(spark):
     gathered = spark.createDataFrame([("q", "x", 2), ("q", "y", 1), ("q", "x", 3), ("q", None, 0)], "req string, chunk string, pos int")
     got = {r.sub: r.context for r in P.merge_results(asked, gathered, "req", "chunk", "pos").collect()}
     assert got == {"a": ["y", "x"], "b": ["y", "x"], "c": []}
+
+
+def test_deliveries_collapse_to_the_best_description(spark):
+    from quillon.operators import store
+
+    columns = "so_hieu string, k int, ten_van_ban string, loai string, co_quan_ban_hanh string, ngay_ban_hanh string, ngay_co_hieu_luc string, file_path string"
+    rows = [
+        ("a", 3, "Tên", None, "", "1", "", None), ("a", 1, "Chưa xác định", "luat", "", "0", "", "f"), ("a", 2, "", "", "Bộ", "", "", "g"), ("a", 4, "Khác", "x", "Sở", "9", "9", "h"),
+        ("b", 1, None, None, None, None, None, None), ("", 1, "x", "x", "x", "x", "x", "x"), (None, 1, "x", "x", "x", "x", "x", "x"),
+    ]
+    got = {r.so_hieu: tuple(r)[1:] for r in store.collapse(spark.createDataFrame(rows, columns), "so_hieu", "k").collect()}
+    assert got == {"a": (4, "Tên", "luat", "Bộ", "1", "", "g"), "b": (1, "Chưa xác định", "Văn bản", "", "", "", "")}
