@@ -132,4 +132,9 @@ FROM (SELECT node_key, 'content' AS field, content AS v FROM document_node UNION
     "p5_contents": f"SELECT k AS node_key, f AS canonical FROM ({_shown('document_node', 'node_key', 'content')})",
     "p1_limits": "SELECT node_key, field, TRUE AS within, TRUE AS joined, md5(v) AS digest FROM (SELECT node_key, 'content' AS field, content AS v FROM document_node UNION ALL SELECT node_key, 'full_text', full_text FROM document_node) WHERE v <> ''",
     "p7_met": "SELECT source, EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND d.text <> '') AS live, TRUE AS met, TRUE AS capped FROM mix_target t",
+    "p2_found": """
+WITH w AS (SELECT vec_id AS k, vector::DOUBLE[] AS v FROM embedding_result WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT k, list_transform(v, lambda x: x / n)::DOUBLE[64] AS v FROM (SELECT k, v, sqrt(list_inner_product(v, v)) AS n FROM w) WHERE n > 0),
+p AS (SELECT a.k AS a, b.k AS b, array_inner_product(a.v, b.v) AS s FROM u a JOIN u b ON a.k <> b.k WHERE array_inner_product(a.v, b.v) >= 0.9)
+SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM p) WHERE n <= 5""",
 }
