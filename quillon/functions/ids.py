@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +68,38 @@ def number_repeats(rows: DataFrame, key: list[str], chunk_id: str, *order: str)
     return rows.withColumn("unique_id", F.when(at > 0, F.concat(F.col(chunk_id), F.lit("."), at.cast("string"))).otherwise(F.col(chunk_id)))
 
 
+def unique_in_document(rows: DataFrame, document: str, chunk_id: str, order: str) -> DataFrame:
+    """Ids made unique inside a document in the order of the unique key ``order``: a later one gets the first of ``.1``, ``.2`` ... that is not in use yet; adds ``unique_id``.
+
+    An id can only meet ids of its own family, those with the same text before trailing
+    numbers.  Families without such numbers, or without repeats, are numbered by windows;
+    only the others are gone through row by row, each by itself.  Null ids stay null.
+    """
+    family = F.regexp_replace(chunk_id, r"(\.[0-9]+)+$", "")
+    marked = rows.withColumn("_family", family).withColumn("_at", F.row_number().over(Window.partitionBy(document, chunk_id).orderBy(order)))
+    kin = Window.partitionBy(document, "_family")
+    judged = marked.withColumn("_mixed", F.coalesce(F.max(F.col(chunk_id) != F.col("_family")).over(kin) & (F.max("_at").over(kin) > 1), F.lit(False)))
+    plain = F.when((F.col("_at") > 1) & F.col(chunk_id).isNotNull(), F.concat(F.col(chunk_id), F.lit("."), (F.col("_at") - 1).cast("string"))).otherwise(F.col(chunk_id))
+    slim = judged.where("_mixed").select(F.col(document).alias("d"), F.col("_family").alias("f"), F.col(chunk_id).alias("i"), F.col(order).alias("o"))
+
+    def in_order(table: pa.Table) -> pa.Table:
+        used: set[str] = set()
+        names = []
+        table = table.sort_by("o")
+        for own in table["i"].to_pylist():
+            name, n = own, 0
+            while name in used:
+                n += 1
+                name = f"{own}.{n}"
+            used.add(name)
+            names.append(name)
+        return pa.table({"_o": table["o"], "_u": pa.array(names, pa.string())})
+
+    named = slim.groupBy("d", "f").applyInArrow(in_order, f"_o {rows.schema[order].dataType.simpleString()}, _u string")
+    both = judged.join(named, F.col(order) == F.col("_o"), "left")
+    return both.withColumn("unique_id", F.coalesce("_u", plain)).drop("_family", "_at", "_mixed", "_o", "_u")
+
+
 def batch_numbers(rows: DataFrame, batch: str, chunk_id: str, order: str) -> DataFrame:
     """The second and later occurrences of an id in a batch get ``.batch.K``, K counting such occurrences over the whole batch in the order of the integer key ``order``; adds ``unique_id``."""
     at = F.row_number().over(Window.partitionBy(batch, chunk_id).orderBy(order))

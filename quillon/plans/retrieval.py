@@ -194,7 +194,7 @@ def dup_suffix(spark: SparkSession, sf: str) -> DataFrame:
 
 def id_uniquify(spark: SparkSession, sf: str) -> DataFrame:
     nodes = table(spark, sf, "document_node").where("id is not null")
-    return ids.number_repeats(nodes, ["so_hieu"], "id", "node_key").select("node_key", "unique_id")
+    return ids.unique_in_document(nodes, "so_hieu", "id", "node_key").select("node_key", "unique_id")
 
 
 def batch_dedup(spark: SparkSession, sf: str) -> DataFrame:

@@ -174,3 +174,13 @@ def test_top_k_limits(spark):
     assert [r.k for r in search.top_k(rows, "v", [1.0, 0.0], 3, "k").collect()] == [1, 4]
     with pytest.raises(ValueError):
         search.top_k(rows, "v", [1.0, 0.0], 101, "k")
+
+
+def test_ids_unique_in_a_document_and_in_a_batch(spark):
+    rows = [(1, "d", "a"), (2, "d", "a"), (3, "d", "a.1"), (4, "d", "a"), (5, "d", "b"), (6, "d", "b"), (7, "e", "a"), (8, "d", "c.1"), (9, "d", "c"), (10, "d", "c"), (11, "d", None), (12, "d", None), (13, None, "a"), (14, None, "a")]
+    df = spark.createDataFrame(rows, "o long, doc string, id string")
+    got = {r.o: r.unique_id for r in ids.unique_in_document(df, "doc", "id", "o").collect()}
+    assert got == {1: "a", 2: "a.1", 3: "a.1.1", 4: "a.2", 5: "b", 6: "b.1", 7: "a", 8: "c.1", 9: "c", 10: "c.2", 11: None, 12: None, 13: "a", 14: "a.1"}
+    assert ids.unique_in_document(df.where("false"), "doc", "id", "o").count() == 0
+    batch = df.where("id is not null").withColumn("batch", F.lit(1))
+    assert {r.o: r.unique_id for r in ids.batch_numbers(batch, "batch", "id", "o").collect() if ".batch." in r.unique_id} == {2: "a.batch.1", 4: "a.batch.2", 6: "b.batch.3", 7: "a.batch.4", 10: "c.batch.5", 13: "a.batch.6", 14: "a.batch.7"}

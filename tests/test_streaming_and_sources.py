@@ -29,6 +29,19 @@ def test_orphans_follow_a_stream(spark, tmp_path):
     assert seen == [{2: "missing"}, {2: "late"}, {1: "deleted", 2: "late"}]
 
 
+def test_a_stream_that_is_started_again_goes_on(spark, tmp_path):
+    """A new state on the same folder, and the same checkpoint, as after the loss of the driver."""
+    steps = [[event("reference", "a", 3, 1), event("reference", "b", 3, 2), event("parent", "a", 1)], [event("parent", "b", 9)], [event("removal", "a", 1), event("reference", "c", 4, 3)]]
+    seen = []
+    for rows in steps:
+        spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        state = OrphanState(spark, path=str(tmp_path / "state"))
+        stream = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in"))
+        follow_orphans(stream, state, str(tmp_path / "checkpoint"), availableNow=True).awaitTermination()
+        seen.append({r.id: r.kind for r in OrphanState(spark, path=str(tmp_path / "state")).orphans().collect()})
+    assert seen == [{2: "missing"}, {2: "late"}, {1: "missing", 2: "late", 3: "missing"}]
+
+
 def test_ingest(spark, tmp_path):
     spark.createDataFrame([(1, "x"), (2, "y")], "id long, text string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long, text string").parquet(str(tmp_path / "in"))
