@@ -87,12 +87,12 @@ def top_k_of_queries(rows: DataFrame, key: str, vector: str, queries: DataFrame,
     Rows and queries are packed into blocks, every block of rows meets every block of
     queries once, as a tile of one matrix product, and a tile keeps ``k`` rows a query.
     So any number of queries is one pass.  With ``unlike``, a column of the rows and one
-    of the queries must differ.  Vectors that are null, empty, hold a null or have
+    of the queries must differ (null equals null).  Rows and queries without a key take no part.  Vectors that are null, empty, hold a null or have
     another length than the query's, and cosines with a zero vector, give no pair.
     """
     own, theirs = ([unlike[0]], [unlike[1]]) if unlike else ([], [])
-    r = _blocks(rows, [key, vector, *own], ROW_BLOCK, "r")
-    q = _blocks(queries, [query, query_vector, *theirs], QUERY_BLOCK, "q")
+    r = _blocks(rows.where(F.col(key).isNotNull()), [key, vector, *own], ROW_BLOCK, "r")
+    q = _blocks(queries.where(F.col(query).isNotNull()), [query, query_vector, *theirs], QUERY_BLOCK, "q")
     schema = StructType([StructField("query", queries.schema[query].dataType), StructField("key", rows.schema[key].dataType), StructField("distance", DoubleType())])
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -76,8 +76,8 @@ def test_queries_in_blocks(spark, chunks, monkeypatch):
 
 @pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
 def test_blocks_of_odd_vectors(spark, metric):
-    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0, None]), (5, []), (6, [1.0, 0.0]), (7, [1.0, 2.0, 3.0]), (8, [0.0, 0.0])], "k long, v array<float>")
-    got = search.top_k_of_queries(rows, "k", "v", rows.where("k in (1, 3, 7)"), "k", "v", 2, metric).orderBy("query", "rank").collect()
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0, None]), (5, []), (6, [1.0, 0.0]), (7, [1.0, 2.0, 3.0]), (8, [0.0, 0.0]), (None, [1.0, 0.0])], "k long, v array<float>")
+    got = search.top_k_of_queries(rows, "k", "v", rows.where("k in (1, 3, 7) or k is null"), "k", "v", 2, metric).orderBy("query", "rank").collect()
     assert [(r.query, r.key) for r in got] == [(1, 1), (1, 6), (7, 7)]
 
 
