@@ -174,7 +174,7 @@ def alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     digests = scratch.save(canonical_digests(df, key, text).withColumnRenamed(key, "k"), "digests")
     mixed = digests.groupBy("form").agg(F.min("stored").alias("low"), F.max("stored").alias("high")).where("low <> high").select("form")
     rows = scratch.save(digests.join(mixed, "form", "left_semi"), "rows")
-    classes = scratch.save(rows.select("form", "stored").distinct(), "classes")
+    classes = rows.select("form", "stored").distinct()
     other = classes.select(F.col("form").alias("o_form"), F.col("stored").alias("b"))
     pairs = classes.join(other, (F.col("form") == F.col("o_form")) & (F.col("stored") < F.col("b"))).select(F.col("stored").alias("a"), "b")
     first = pairs.join(rows.select(F.col("stored").alias("a"), F.col("k").alias("k_a")), "a").select("b", "k_a")
