@@ -54,6 +54,20 @@ def decode(chunk_id: Column) -> dict[str, Column]:
     return out
 
 
+def known_types(chunk_id: Column) -> Column:
+    """The id as it is; an id with a segment of an unknown type is an error of the job.  Segments without ``_`` do not count."""
+    kinds = F.transform(F.filter(F.slice(F.split(chunk_id, r"\."), 2, 1000), lambda s: s.contains("_")), lambda s: F.regexp_replace(F.regexp_replace(s, "__dup_[0-9]+$", ""), "_[^_]*$", ""))
+    strange = F.filter(kinds, lambda k: ~k.isin(*LABELS, "phu_luc_phan", "modau"))
+    return F.when(F.size(strange) > 0, F.raise_error(F.concat(F.lit("unknown section type in "), chunk_id))).otherwise(chunk_id)
+
+
+def reference_ids(stored: Column) -> Column:
+    """Ids out of a JSON list of ids or of objects with a ``ref_id``: trimmed, each once, in order; an empty list for anything else."""
+    items = F.coalesce(F.from_json(stored, "array<string>"), F.array().cast("array<string>"))
+    plain = F.transform(items, lambda x: F.trim(F.when(F.startswith(F.ltrim(x), F.lit("{")), F.get_json_object(x, "$.ref_id")).otherwise(x)))
+    return F.array_distinct(F.filter(plain, lambda x: F.coalesce(x != "", F.lit(False))))
+
+
 def dup_suffix(rows: DataFrame, document: str, chunk_id: str, *order: str) -> DataFrame:
     """Ids that occur more than once in a document get ``__dup_N`` in document order, N from 0; adds ``unique_id``."""
     group = Window.partitionBy(document, chunk_id)

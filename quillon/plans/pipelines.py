@@ -58,16 +58,25 @@ def index_documents(docs: DataFrame, document: str, text: str, embedder: Callabl
     return chunks.join(embedded, F.col("chunk_id") == F.col("_c")).drop("_c").withColumn("trang_thai", F.lit(1))
 
 
-def replace_documents(metadata: DataFrame, chunks: DataFrame, relations: DataFrame, new_metadata: DataFrame, new_chunks: DataFrame, replacements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def replace_documents(metadata: DataFrame, chunks: DataFrame, relations: DataFrame, new_metadata: DataFrame, new_chunks: DataFrame, replacements: DataFrame, once: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Next state of the three stores after new documents; ``replacements(entity_start, entity_end, relation_type)``.
 
     Only what is replaced (``thay_the``) loses its validity, in both stores alike; a
-    relation that is there already is not added again.
+    relation that is there already is not added again, unless ``once`` is switched off.
     """
     gone = replacements.where("relation_type = 'thay_the'")
     meta = store.deactivate(store.upsert(metadata, new_metadata, "so_hieu", keep=("trang_thai",)), "so_hieu", gone, "entity_end", "trang_thai")
     held = store.deactivate(store.upsert(chunks, new_chunks, "chunk_id"), "so_hieu", gone, "entity_end", "trang_thai")
-    return meta, held, store.add_missing(relations, replacements, ["entity_start", "entity_end", "relation_type"])
+    related = store.add_missing(relations, replacements, ["entity_start", "entity_end", "relation_type"]) if once else store.append(relations, replacements)
+    return meta, held, related
+
+
+def refuse_long(items: DataFrame, request: str, place: str, text: str, most: int = 256, preview: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Requests of texts for a model that takes at most ``most`` words: the items of requests that fit as a whole, and, of the others, ``(request, place, words, preview)`` of every text that is too long."""
+    long = items.withColumn("_words", T.word_count(F.coalesce(text, F.lit("")))).where(F.col("_words") > most)
+    refused = long.select(request, place, F.col("_words").alias("words"), F.left(text, F.lit(preview)).alias("preview"))
+    gone = long.select(F.col(request).alias("_gone")).distinct()
+    return items.join(gone, F.col(request) == F.col("_gone"), "left_anti"), refused
 
 
 def sub_questions(answers: DataFrame, question: str, answer: str) -> DataFrame:

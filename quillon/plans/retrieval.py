@@ -256,6 +256,13 @@ def parse_reference(spark: SparkSession, sf: str) -> DataFrame:
     return stored.select("node_key", F.size(refs).alias("n"), F.array_join(refs, "|").alias("refs"))
 
 
+def reference_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """References stored as a list of ids, or, for odd rows, of objects."""
+    n = table(spark, sf, "document_node").where("reference is not null")
+    stored = F.when(F.col("node_key") % 2 == 0, F.to_json("reference")).otherwise(F.to_json(F.transform("reference", lambda x: F.struct(F.concat(F.lit(" "), x).alias("ref_id"), F.lit(1).alias("score")))))
+    return n.select("node_key", F.array_join(ids.reference_ids(stored), "|").alias("refs"))
+
+
 def merge_shards(spark: SparkSession, sf: str) -> DataFrame:
     """Shards merged one after the other, an id that is there already being left out: the first shard wins."""
     v = table(spark, sf, "embedding_result").where("chunk_id <> ''").withColumn("shard", F.pmod(F.col("vec_id"), F.lit(3)))
@@ -265,7 +272,7 @@ def merge_shards(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f"vector_topk_{m}": _topk(m) for m in METRIC_SQL} | {
     f.__name__: f
-    for f in (vector_threshold, search_by_type, batch_knn, search_two_stage, rerank_topk, agent_vector_search, mean_pool, vec_resize, vec_normalize, vector_upsert, get_by_ids, get_by_metadata, leaf_filter, metadata_filter, decode_section_id, chunk_metadata_search, base_chunk_id, explode_ancestors, filter_redundant, ref_family_filter, top_refs, evaluate_refs, dup_suffix, id_uniquify, batch_dedup, chunk_index, parent_context, flatten_tree, embed_text, embed_metadata, ordered_distinct, parse_reference, merge_shards)
+    for f in (vector_threshold, search_by_type, batch_knn, search_two_stage, rerank_topk, agent_vector_search, mean_pool, vec_resize, vec_normalize, vector_upsert, get_by_ids, get_by_metadata, leaf_filter, metadata_filter, decode_section_id, chunk_metadata_search, base_chunk_id, explode_ancestors, filter_redundant, ref_family_filter, top_refs, evaluate_refs, dup_suffix, id_uniquify, batch_dedup, chunk_index, parent_context, flatten_tree, embed_text, embed_metadata, ordered_distinct, parse_reference, reference_ids, merge_shards)
 }
 
 _BASE = "regexp_replace(id, '__dup_[^.]*', '', 'g')"
@@ -323,5 +330,6 @@ SELECT vec_id, chunk_id, distance, rank FROM (SELECT *, row_number() OVER (ORDER
     "embed_metadata": f"SELECT d.node_key, d.so_hieu, d.dieu, d.khoan, nullif(n.type, '') AS section_type, nullif(n.parent_id, '') AS parent_id, CASE WHEN len(n.reference) > 0 THEN CAST(to_json(n.reference) AS VARCHAR) END AS reference, md5(CASE WHEN n.type IN ('khoan', 'dieu') THEN nullif(n.full_text, '') END) AS full_digest, 1 AS trang_thai FROM (SELECT node_key, {_DECODE} FROM document_node WHERE id IS NOT NULL) d JOIN document_node n USING (node_key)",
     "ordered_distinct": "SELECT node_key, array_to_string(list_filter(reference, lambda x, i: list_position(reference, x) = i), '|') AS refs FROM document_node WHERE len(reference) > 0",
     "parse_reference": "SELECT node_key, len(r) AS n, coalesce(array_to_string(r, '|'), '') AS refs FROM (SELECT node_key, list_filter(list_transform(reference, lambda x: trim(x)), lambda x: x <> '') AS r FROM document_node WHERE reference IS NOT NULL)",
+    "reference_ids": "SELECT node_key, coalesce(array_to_string(list_filter(r, lambda x, i: x <> '' AND list_position(r, x) = i), '|'), '') AS refs FROM (SELECT node_key, list_transform(reference, lambda x: trim(x)) AS r FROM document_node WHERE reference IS NOT NULL)",
     "merge_shards": "SELECT chunk_id, CAST(vec_id % 3 AS INT) AS shard, vec_id FROM (SELECT chunk_id, vec_id, row_number() OVER (PARTITION BY chunk_id ORDER BY vec_id % 3, vec_id) AS n FROM embedding_result WHERE chunk_id <> '') WHERE n = 1",
 }

@@ -227,3 +227,30 @@ def test_deliveries_collapse_to_the_best_description(spark):
     ]
     got = {r.so_hieu: tuple(r)[1:] for r in store.collapse(spark.createDataFrame(rows, columns), "so_hieu", "k").collect()}
     assert got == {"a": (4, "Tên", "luat", "Bộ", "1", "", "g"), "b": (1, "Chưa xác định", "Văn bản", "", "", "", "")}
+
+
+def test_stored_references_and_types(spark):
+    from quillon.functions import ids
+
+    got = [one(spark, ids.reference_ids(F.lit(x).cast("string"))) for x in ('["a", " b ", "a", ""]', '[{"ref_id": "a.dieu_1"}, {"x": 1}, "c"]', "[]", "không", None)]
+    assert got == [["a", "b"], ["a.dieu_1", "c"], [], [], []]
+    good = ["a.chuong_i.dieu_2__dup_1", "a", "a.phu_luc_phan_1", "a.x", None]
+    assert [one(spark, ids.known_types(F.lit(x).cast("string"))) for x in good] == good
+    with pytest.raises(Exception):
+        one(spark, ids.known_types(F.lit("a.lạ_1")))
+
+
+def test_requests_with_long_texts_are_refused_whole(spark):
+    items = spark.createDataFrame([("q", 0, "một hai"), ("q", 1, "một " * 5), ("r", 0, None), ("r", 1, "hai")], "req string, at int, t string")
+    taken, refused = P.refuse_long(items, "req", "at", "t", 3, 4)
+    assert {(r.req, r["at"]) for r in taken.collect()} == {("r", 0), ("r", 1)}
+    assert [tuple(r) for r in refused.collect()] == [("q", 1, 5, "một ")]
+
+
+def test_relations_of_replacements_may_repeat(spark):
+    meta = spark.createDataFrame([("a", 1)], "so_hieu string, trang_thai int")
+    chunks = spark.createDataFrame([("a.dieu_1", "a", 1)], "chunk_id string, so_hieu string, trang_thai int")
+    relation = spark.createDataFrame([("b", "a", "thay_the")], "entity_start string, entity_end string, relation_type string")
+    for once, n in ((True, 1), (False, 2)):
+        m, c, r = P.replace_documents(meta, chunks, relation, meta.where("false"), chunks.where("false"), relation, once=once)
+        assert r.count() == n and m.first().trang_thai == 0 == c.first().trang_thai
