@@ -4,8 +4,9 @@ All pairs are compared.  The likeness is ``2 * M / (len(a) + len(b))`` of the no
 names, ``M`` being the characters in matching blocks.  These blocks are a common
 subsequence, so the length of the longest one, found for many titles at once by bit
 vectors, bounds ``M``: only pairs whose bound reaches the least likeness asked for are
-scored and, where the ``most`` best of each title are asked for, best bounds first until
-no bound is left that reaches the last of them.  Nothing else drops a pair.
+scored, all titles of a block at once (:mod:`quillon.functions.matching`).  Where the
+``most`` best of each title are asked for they are scored one by one, best bounds first
+until no bound is left that reaches the last of them.  Nothing else drops a pair.
 
 Defined results: titles that are null, or empty after normalization, take no part.
 """
@@ -20,10 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions import matching
 from quillon.functions.legal import normalize_name
 
 #: Titles that meet in one task at a time.
-ASKED_BLOCK, TITLE_BLOCK, CHUNK = 64, 4096, 2048
+ASKED_BLOCK, TITLE_BLOCK, CHUNK = 64, 4096, 4096
+#: Tasks for all pairs, where blocks of asked titles are fewer.
+MOST_TASKS = 512
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -72,54 +76,93 @@ def common(name: str, alphabet: np.ndarray, chunks: list) -> np.ndarray:
     return out
 
 
+def _ratios(a: str, names: list[str], places: list[int]) -> list[float]:
+    matcher = difflib.SequenceMatcher(None, a)
+    out = []
+    for p in places:
+        matcher.set_seq2(names[p])
+        out.append(round(matcher.ratio(), 6))
+    return out
+
+
+def alike_in(name: str, names: list[str], alphabet: np.ndarray, chunks: list, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ``names``, encoded in ``chunks``, with a likeness to ``name`` of at least ``least``, and the likenesses."""
+    points = np.frombuffer(name.encode("utf-32-le"), dtype=np.uint32)
+    codes = np.searchsorted(alphabet, points)
+    codes[alphabet[np.minimum(codes, len(alphabet) - 1)] != points] = len(alphabet)  # no title has it
+    length = common(name, alphabet, chunks)
+    found, likenesses = [], []
+    for places, lengths, columns in chunks:
+        total = lengths + len(name)
+        near = 2.0 * length[places] / total + 1e-6 >= least  # likenesses are rounded
+        alone = near & ((lengths >= matching.FREQUENT) | (len(name) > matching.LONGEST))
+        found.append(places[alone])
+        likenesses.append(np.array(_ratios(name, names, places[alone].tolist()), dtype=float))
+        at = np.flatnonzero(near & ~alone)
+        need = np.ceil((least - 1e-6) * total[at] / 2 - 1e-9)
+        m = matching.matched(codes, columns[:, at].T, lengths[at], need)
+        reached = m >= need
+        found.append(places[at[reached]])
+        likenesses.append(np.array([round(x, 6) for x in (2.0 * m[reached] / total[at[reached]]).tolist()], dtype=float))
+    place, ratio = np.concatenate(found), np.concatenate(likenesses)
+    return place[ratio >= least], ratio[ratio >= least]
+
+
+def _best_in(name: str, names: list[str], lengths: np.ndarray, alphabet: np.ndarray, chunks: list, least: float, most: int, top: list[float]) -> tuple[list[int], list[float]]:
+    """As :func:`alike_in`, without those that are certainly not among the ``most`` best; ``top`` has the best likenesses so far."""
+    bound = 2.0 * common(name, alphabet, chunks) / (lengths + len(name)) + 1e-6  # likenesses are rounded
+    near = np.flatnonzero(bound >= least)
+    near = near[np.argsort(-bound[near], kind="stable")]
+    places, ratios = [], []
+    for p in near.tolist():
+        if len(top) == most and bound[p] < top[-1]:
+            break
+        ratio = _ratios(name, names, [p])[0]
+        if ratio >= least:
+            places.append(p)
+            ratios.append(ratio)
+            top.append(ratio)
+            top.sort(reverse=True)
+            del top[most:]
+    return places, ratios
+
+
 def _score(least: float, most: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple, list[float]] = {}  # of the asked titles of this task: their best likenesses so far
         for b in batches:
             for asked, titles in zip(b.column("asked").to_pylist(), b.column("titles").to_pylist()):
-                titles = [(x, n) for x in titles if (n := normalize_name(x["title"]))]
-                if not titles:
-                    continue
-                names = [n for _, n in titles]
+                names = [x["name"] for x in titles]
                 alphabet, chunks = encode(names)
                 lengths = np.array([len(n) for n in names])
-                matcher = difflib.SequenceMatcher(None)
-                scored: list[tuple[int, int, float]] = []
-                for a, one in enumerate(asked):
-                    name = normalize_name(one["title"])
-                    if not name:
-                        continue
-                    bound = 2.0 * common(name, alphabet, chunks) / (lengths + len(name)) + 1e-6  # likenesses are rounded
-                    near = np.flatnonzero(bound >= least)
-                    near = near[np.argsort(-bound[near], kind="stable")]
-                    top = best.setdefault((one["key"], name), []) if most else []
-                    for p in near.tolist():
-                        if most and len(top) == most and bound[p] < top[-1]:
-                            break
-                        matcher.set_seqs(name, names[p])
-                        ratio = round(matcher.ratio(), 6)
-                        if ratio >= least:
-                            scored.append((a, p, ratio))
-                            if most:
-                                top.append(ratio)
-                                top.sort(reverse=True)
-                                del top[most:]
-                keys, places, ratios = ([s[i] for s in scored] for i in range(3))
-                columns = [
-                    pa.array([asked[a]["key"] for a in keys], pa.string()),
-                    pa.array([titles[p][0]["key"] for p in places], pa.int64()),
-                    pa.array([titles[p][0]["number"] for p in places], pa.string()),
-                    pa.array(ratios, pa.float64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["asked", "meta_id", "so_hieu", "ratio"])
+                for one in asked:
+                    if most:
+                        places, ratios = _best_in(one["name"], names, lengths, alphabet, chunks, least, most, best.setdefault((one["key"], one["name"]), []))
+                    else:
+                        places, ratios = alike_in(one["name"], names, alphabet, chunks, least)
+                    columns = [
+                        pa.array([one["key"]] * len(places), pa.string()),
+                        pa.array([titles[p]["key"] for p in places], pa.int64()),
+                        pa.array([titles[p]["number"] for p in places], pa.string()),
+                        pa.array(ratios, pa.float64()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["asked", "meta_id", "so_hieu", "ratio"])
 
     return run
 
 
-def _packed(df: DataFrame, size: int, block: str, rows: str) -> DataFrame:
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        names = pa.array([normalize_name(t) for t in b.column("title").to_pylist()], pa.string())
+        yield b.set_column(b.schema.get_field_index("title"), "name", names)
+
+
+def _packed(df: DataFrame, size: int, block: str, rows: str) -> tuple[DataFrame, int]:
     blocks = max(1, -(-df.count() // size))
+    schema = ", ".join(f"{'name' if c == 'title' else c} {kind}" for c, kind in df.dtypes)
+    df = df.mapInArrow(_named, schema).where("name <> ''")  # each title is normalized once, not for every block that it meets
     row = F.struct(*df.columns)
-    return df.groupBy(F.pmod(F.xxhash64(*df.columns), F.lit(blocks)).alias(block)).agg(F.collect_list(row).alias(rows))
+    return df.groupBy(F.pmod(F.xxhash64(*df.columns), F.lit(blocks)).alias(block)).agg(F.collect_list(row).alias(rows)), blocks
 
 
 def alike(asked: DataFrame, titles: DataFrame, least: float, most: int | None = None) -> DataFrame:
@@ -128,10 +171,14 @@ def alike(asked: DataFrame, titles: DataFrame, least: float, most: int | None =
     With ``most`` pairs may be missing that are certainly not among the ``most`` best of
     their asked title (later pairs of equal likeness are kept); else all pairs are given.
     """
-    a = _packed(asked.where("title is not null"), ASKED_BLOCK, "block", "asked")
-    t = _packed(titles.where("title is not null"), TITLE_BLOCK, "t_block", "titles")
-    tasks = max(1, -(-asked.count() // ASKED_BLOCK))
-    met = a.crossJoin(t).repartition(tasks, "block")
+    a, blocks = _packed(asked.where("title is not null"), ASKED_BLOCK, "block", "asked")
+    t, t_blocks = _packed(titles.where("title is not null"), TITLE_BLOCK, "t_block", "titles")
+    met = a.crossJoin(t)
+    if most:  # the best of an asked title so far are known in one task
+        met = met.repartition(blocks, "block")
+    else:
+        tasks = max(blocks, min(blocks * t_blocks, MOST_TASKS))
+        met = met.repartitionById(tasks, F.pmod(F.col("block") * t_blocks + F.col("t_block"), F.lit(tasks)).cast("int"))
     return met.select("asked", "titles").mapInArrow(_score(least, most), "asked string, meta_id long, so_hieu string, ratio double")
 
 

@@ -1,4 +1,8 @@
+import difflib
 import random
+import time
+
+import pytest
 
 from quillon.functions.legal import likeness, normalize_name
 from quillon.operators import titles
@@ -53,3 +57,36 @@ def test_registered_queries_compare_all_titles(spark, sf):
     now = list(read("document_metadata", "meta_id", "ten_van_ban"))
     truth = {(k, m, round(likeness(x, y), 6)) for k, x in read("document_legacy", "so_hieu", "ten_van_ban") for m, y in now if x and y and likeness(x, y) >= 0.5}
     assert {(r.asked, r.meta_id, r.ratio) for r in legal.fuzzy_ratio(spark, sf).collect()} == truth
+
+
+def alike_by_difflib(a, plain, least):
+    ratios = [round(difflib.SequenceMatcher(None, a, b).ratio(), 6) for b in plain]
+    return {i: r for i, r in enumerate(ratios) if r >= least}
+
+
+@pytest.mark.parametrize("letters", ["ab ", "abcdefghij ", "ab\U00010000é漢"])
+@pytest.mark.parametrize("longest", [3, 70, 199, 260])
+def test_blocks_of_many_titles_are_those_of_difflib(letters, longest):
+    rng = random.Random(f"{letters}{longest}")
+    some = lambda: "".join(rng.choices(letters, k=rng.randint(1, longest)))
+    asked = [some() for _ in range(4)] + ["zz", "a" * 200, "ab c" * 260]
+    plain = [some() for _ in range(15)] + [a[5:60] + a[:9] + "q" for a in asked]
+    alphabet, chunks = titles.encode(plain)
+    for a in asked:
+        for least in (0.1, 0.6):
+            place, ratio = titles.alike_in(a, plain, alphabet, chunks, least)
+            assert dict(zip(place.tolist(), ratio.tolist())) == alike_by_difflib(a, plain, least)
+
+
+def test_all_pairs_take_a_part_of_the_time_of_difflib(spark):
+    old, now = ([" ".join(random.Random(f"{s}{i}").choices(WORDS, k=30)) for i in range(n)] for s, n in (("old", 25), ("now", 2000)))
+    a = spark.createDataFrame([(f"o{i}", x) for i, x in enumerate(old)], "key string, title string")
+    t = spark.createDataFrame([(i, f"n{i}", x) for i, x in enumerate(now)], "key long, number string, title string")
+    assert titles.alike(a.limit(1), t.limit(1), 0.0).count() == 1  # starts the workers
+    began = time.perf_counter()
+    found = titles.alike(a, t, 0.5).select("asked", "meta_id").collect()
+    took = time.perf_counter() - began
+    began = time.perf_counter()
+    truth = alike_by_difflib(normalize_name(old[0]), [normalize_name(x) for x in now], 0.5)
+    assert {r.meta_id for r in found if r.asked == "o0"} == set(truth)
+    assert took < (time.perf_counter() - began) * len(old) / 2
