@@ -25,7 +25,7 @@ from quillon.functions import matching
 from quillon.functions.legal import normalize_name
 
 #: Titles that meet in one task at a time.
-ASKED_BLOCK, TITLE_BLOCK, CHUNK = 64, 4096, 4096
+ASKED_BLOCK, TITLE_BLOCK, CHUNK = 64, 16384, 16384
 #: Tasks for all pairs, where blocks of asked titles are fewer.
 MOST_TASKS = 512
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
