@@ -4,9 +4,11 @@ All pairs are compared.  The likeness is ``2 * M / (len(a) + len(b))`` of the no
 names, ``M`` being the characters in matching blocks.  These blocks are a common
 subsequence, so the length of the longest one, found for many titles at once by bit
 vectors, bounds ``M``: only pairs whose bound reaches the least likeness asked for are
-scored, all titles of a block at once (:mod:`quillon.functions.matching`).  Where the
-``most`` best of each title are asked for they are scored one by one, best bounds first
-until no bound is left that reaches the last of them.  Nothing else drops a pair.
+scored.  Where all pairs are asked for this is done inside the JVM, for distinct names
+(:mod:`quillon.functions.blocks`; :mod:`quillon.functions.matching` for remote sessions,
+which have none).  Where the ``most`` best of each title are asked for they are scored one
+by one, best bounds first until no bound is left that reaches the last of them.  Nothing
+else drops a pair.
 
 Defined results: titles that are null, or empty after normalization, take no part.
 """
@@ -20,7 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.utils import is_remote
 
+from quillon.functions import blocks as jvm_blocks
 from quillon.functions import matching
 from quillon.functions.legal import normalize_name
 
@@ -28,6 +32,8 @@ from quillon.functions.legal import normalize_name
 ASKED_BLOCK, TITLE_BLOCK, CHUNK = 64, 16384, 16384
 #: Tasks for all pairs, where blocks of asked titles are fewer.
 MOST_TASKS = 512
+#: Rows of a name that are kept in one list, and rows for each distinct name of a block on the average, at most.
+ROWS, COPIES = 1024, 8
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -165,14 +171,43 @@ def _packed(df: DataFrame, size: int, block: str, rows: str) -> tuple[DataFrame,
     return df.groupBy(F.pmod(F.xxhash64(*df.columns), F.lit(blocks)).alias(block)).agg(F.collect_list(row).alias(rows)), blocks
 
 
+def _grouped(df: DataFrame, size: int, block: str, names: str) -> tuple[DataFrame, int]:
+    """Blocks of some ``size`` distinct names, sorted, each with its rows."""
+    own = [c for c in df.columns if c != "title"]
+    schema = ", ".join(f"{'name' if c == 'title' else c} {kind}" for c, kind in df.dtypes)
+    df = df.mapInArrow(_named, schema).where("name <> ''")
+    rows, distinct = df.agg(F.count("*"), F.count_distinct("name")).first()
+    blocks = max(1, -(-distinct // size), -(-rows // (size * COPIES)))
+    salt = F.pmod(F.xxhash64(*own), F.lit(max(1, rows >> 20)))  # of a name with very many rows no list has all
+    lists = df.groupBy("name", salt.alias("salt")).agg(F.collect_list(F.struct(*own)).alias("rows"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("rows") - 1) / ROWS).cast("int")), lambda i: F.slice("rows", i * ROWS + 1, ROWS))
+    lists = lists.select("name", "salt", F.posexplode(parts).alias("part", "rows"))
+    return lists.groupBy(F.pmod(F.xxhash64("name", "salt", "part"), F.lit(blocks)).alias(block)).agg(F.sort_array(F.collect_list(F.struct("name", "rows"))).alias(names)), blocks
+
+
+def _all_alike(asked: DataFrame, titles: DataFrame, least: float) -> DataFrame:
+    a, blocks = _grouped(asked, ASKED_BLOCK, "block", "asked")
+    t, t_blocks = _grouped(titles, TITLE_BLOCK, "t_block", "titles")
+    tasks = max(blocks, min(blocks * t_blocks, MOST_TASKS))
+    met = a.crossJoin(t).repartitionById(tasks, F.pmod(F.col("block") * t_blocks + F.col("t_block"), F.lit(tasks)).cast("int"))
+    packed = jvm_blocks.alike_of(asked.sparkSession, least)(F.col("asked.name"), F.col("titles.name"))
+    at = lambda shift: F.shiftright("x", shift).bitwiseAND(F.lit(jvm_blocks.LAST)).cast("int")
+    pairs = met.select("asked", "titles", F.explode(packed).alias("x"))
+    pairs = pairs.select(F.col("asked")[at(jvm_blocks.ASKED)]["rows"].alias("of"), F.col("titles")[at(jvm_blocks.TITLE)]["rows"].alias("by"), (at(0) / F.lit(1e6)).alias("ratio"))
+    return pairs.select(F.inline("of").alias("asked"), "by", "ratio").select("asked", F.inline("by").alias("meta_id", "so_hieu"), "ratio")
+
+
 def alike(asked: DataFrame, titles: DataFrame, least: float, most: int | None = None) -> DataFrame:
     """``(asked, meta_id, so_hieu, ratio)`` of pairs of ``asked (key, title)`` and ``titles (key, number, title)`` with a likeness of at least ``least``.
 
     With ``most`` pairs may be missing that are certainly not among the ``most`` best of
     their asked title (later pairs of equal likeness are kept); else all pairs are given.
     """
-    a, blocks = _packed(asked.where("title is not null"), ASKED_BLOCK, "block", "asked")
-    t, t_blocks = _packed(titles.where("title is not null"), TITLE_BLOCK, "t_block", "titles")
+    asked, titles = asked.where("title is not null"), titles.where("title is not null")
+    if not most and not is_remote():
+        return _all_alike(asked, titles, least)
+    a, blocks = _packed(asked, ASKED_BLOCK, "block", "asked")
+    t, t_blocks = _packed(titles, TITLE_BLOCK, "t_block", "titles")
     met = a.crossJoin(t)
     if most:  # the best of an asked title so far are known in one task
         met = met.repartition(blocks, "block")

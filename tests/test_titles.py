@@ -90,3 +90,38 @@ def test_all_pairs_take_a_part_of_the_time_of_difflib(spark):
     truth = alike_by_difflib(normalize_name(old[0]), [normalize_name(x) for x in now], 0.5)
     assert {r.meta_id for r in found if r.asked == "o0"} == set(truth)
     assert took < (time.perf_counter() - began) * len(old) / 2
+
+
+def pairs_by_difflib(a, t, least):
+    return sorted((f"o{i}", j, r) for i, x in enumerate(a) for j, r in alike_by_difflib(normalize_name(x), [normalize_name(y) for y in t], least).items())
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefghij ", "ab\U00010000ø漢"])
+def test_all_pairs_are_those_of_difflib(spark, monkeypatch, letters):
+    monkeypatch.setattr(titles, "TITLE_BLOCK", 20)
+    monkeypatch.setattr(titles, "ROWS", 2)
+    rng = random.Random(letters)
+    some = lambda longest: "x" + "".join(rng.choices(letters, k=rng.randint(1, longest))) + "y"
+    old = [some(n) for n in (3, 30, 70, 130, 180, 260, 700)] + ["ab b" * 160, "zz"]
+    now = [some(n) for n in (3, 30, 70, 130, 190, 190, 260, 700)] + [x[5:60] + x[:9] + "q" for x in old] + [x[:120] + "b" * 40 + x[125:150] for x in old for _ in range(8)]
+    old, now = old + old[:3], now + now[:9] * 5
+    a = spark.createDataFrame([(f"o{i}", x) for i, x in enumerate(old)], "key string, title string")
+    t = spark.createDataFrame([(i, None, x) for i, x in enumerate(now)], "key long, number string, title string")
+    for least in (0.1, 0.5, 0.8):
+        got = titles.alike(a, t, least).collect()
+        assert sorted((r.asked, r.meta_id, r.ratio) for r in got) == pairs_by_difflib(old, now, least)
+
+
+def test_repeated_titles_are_compared_once(spark):
+    old, now = ([" ".join(random.Random(f"{s}{i}").choices(WORDS, k=30)) for i in range(n)] for s, n in (("old", 20), ("now", 100)))
+    a = spark.createDataFrame([(f"o{i}", x) for i, x in enumerate(old * 20)], "key string, title string")
+    t = spark.createDataFrame([(i, f"n{i}", x) for i, x in enumerate(now * 60)], "key long, number string, title string")
+    assert titles.alike(a.limit(1), t.limit(1), 0.0).count() == 1  # starts the workers
+    began = time.perf_counter()
+    found = titles.alike(a, t, 0.5).groupBy("asked").count().collect()
+    took = time.perf_counter() - began
+    began = time.perf_counter()
+    truth = pairs_by_difflib(old, now, 0.5)
+    once = time.perf_counter() - began
+    assert sum(r["count"] for r in found) == len(truth) * 20 * 60
+    assert took < once * 20 * 60 / 200
